@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from twinlens.llm.common import id_and_text
+from twinlens.llm.common import id_and_text, parts
 
 #: Symbols in the widest forest; longer runs get a tree each.
 WIDEST = 64
 #: Words that a worker remembers at most.
-KNOWN = 250_000
+KNOWN = 200_000
 _NONE = np.int64(2**62)
 
 
@@ -315,7 +315,7 @@ def coder(path: str) -> WordBpe:
 def _encode(path: str, digest: bool):
     def run(batches):
         bpe = coder(path)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 2000)):
             texts = batch.column("text").to_pylist()
             counts, ids, decoded = [], [], []
             for at in range(0, len(texts), 500):

@@ -47,6 +47,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlens.llm.substring_dedup import removal_digests
+
+    return removal_digests(table(spark, sf_dir, "documents"), width=20)
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlens.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinlens.llm.quality_rules import quality_rules
 
@@ -58,6 +70,8 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op6_bpe": op6_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 

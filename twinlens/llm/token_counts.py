@@ -1,16 +1,17 @@
 """Token counts without token ids.
 
-A *pre-token* here is a run between single spaces or line ends, together with the white space before it.  The
-tokenizer's own pattern never matches across such a border, so a text's tokens are its pre-tokens' tokens one after the
-other.  Pieces are therefore counted once per distinct pre-token of the corpus, by the tokenizers library, and each text's
-count is the sum of frequency times pieces over its pre-tokens:
+Pieces are counted once per distinct pre-token of the corpus, by the tokenizers library, and each text's count is the sum
+of frequency times pieces over its pre-tokens:
 
 1. count the corpus's distinct pre-tokens (map-side counts, one shuffle of distinct strings);
 2. count the pieces of each distinct pre-token, write that table;
 3. join it to the per-document frequencies.  The most frequent ``head_size`` pre-tokens are held as a broadcast table of
    bounded size; all others go through an ordinary shuffle join.  Nothing is left out on either side.
 
-Where white space stands beside white space, the border isn't clean and the neighbours stay one pre-token.
+Texts are first cut into runs at single spaces and line ends, borders that the tokenizer's pattern never matches across
+(where white space stands beside white space there is no cut).  A run of Latin characters is split by the pattern into
+its pre-tokens; any other run, and one with a special string, is a pre-token of its own: that changes how often the
+library is asked, not what it counts.  What runs split into is remembered in a bounded table.
 
 Defined cases: null text counts as empty; empty texts have 0 tokens; repeated rows each give a row; special strings in a
 text are counted as the library does by default; other columns of the input are ignored.
@@ -18,47 +19,78 @@ text are counted as the library does by default; other columns of the input are
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import id_and_text, written
+from twinlens.llm.common import id_and_text, parts, written
 
 #: Longest pre-token that may be in the broadcast head, in bytes; with head_size it bounds the broadcast.
 HEAD_BYTES = 64
 #: Distinct pre-tokens that a task counts before it hands them on.
-FLUSH = 200_000
+FLUSH = 150_000
 
 
-#: Bytes that only rarely occur and may mean white space other than the space and the line end, or need care as keys.
-_RARE = (b"\x00", b"\t", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-#: A space or line end whose neighbours aren't white space: the only place where _slow() cuts.
+#: Bytes that only rarely occur and may mean white space other than the space and the line end.
+_RARE = (b"\t", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: A space or line end whose neighbours aren't white space: the only place where a text with rare white space is cut.
 _BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
-
-
-def pre_tokens(data: bytes) -> list[bytes]:
-    """Keys of a UTF-8 text's pre-tokens, in order; ``spelled`` gives the bytes that a key stands for.
-
-    A key is the run itself: the space before it goes without saying, a line end before it is its first byte, and a zero
-    byte before it says that it stands as it is.
-    """
+_LATIN = re.compile("[\n -~\u00a1-\u017f]*")
+_LETTERS = "".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == "L")
+_NUMBERS = "".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == "N")
+#: The byte-level pattern for such characters (its fixed alternatives, in their order).
+_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
+#: Runs whose split a worker remembers, and the longest of them in bytes.
+KNOWN, KNOWN_BYTES = 150_000, 64
+
+
+def runs(data: bytes) -> list[bytes]:
+    """A UTF-8 text cut at clean borders.  The space before a run goes without saying (``b"\\x00"`` first says there is
+    none); a line end before it is its first byte."""
     if not data:
         return []
-    if b"  " in data or b"\n\n" in data or b" \n" in data or b"\n " in data or any(x in data for x in _RARE):
+    if b"\x00" in data or b"  " in data or b"\n\n" in data or b" \n" in data or b"\n " in data or any(x in data for x in _RARE):
         return [b"\x00" + p.encode() for p in _BORDER.split(data.decode("utf-8", "replace"))]
-    parts = data.replace(b"\n", b" \n").split(b" ")
+    found = data.replace(b"\n", b" \n").split(b" ")
     if data[0] == 10:
-        return parts[1:]
-    parts[0] = b"\x00" + parts[0]
-    return parts
+        return found[1:]
+    found[0] = b"\x00" + found[0]
+    return found
+
+
+def split_run(run: bytes) -> tuple[bytes, ...]:
+    """The pre-tokens of a run, concatenating to it."""
+    run = run[1:] if run[:1] == b"\x00" else run if run[:1] == b"\n" else b" " + run
+    text = run.decode("utf-8", "replace")
+    if "<|" in text or not _LATIN.fullmatch(text):
+        return (run,)
+    return tuple([p.encode() for p in _PATTERN.findall(text)])
 
 
-def spelled(key: bytes) -> str:
-    text = key[1:] if key[:1] == b"\x00" else key if key[:1] == b"\n" else b" " + key
-    return text.decode("utf-8", "replace")
+class Splitter(dict):
+    """Run to pre-tokens, remembered for short runs up to a bound."""
+
+    def __missing__(self, run: bytes) -> tuple[bytes, ...]:
+        found = split_run(run)
+        if len(run) <= KNOWN_BYTES:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[run] = found
+        return found
+
+
+def frequencies(data: bytes, split: Splitter) -> Counter:
+    """Pre-token frequencies of a text."""
+    counts: Counter = Counter()
+    for pieces, n in [(split[r], n) for r, n in Counter(runs(data)).items()]:
+        for p in pieces:
+            counts[p] += n
+    return counts
 
 
 def _distinct(batches):
@@ -70,9 +102,15 @@ def _distinct(batches):
         )
         counts.clear()
 
+    split = Splitter()
     for batch in batches:
-        for data in batch.column("text").to_pylist():
-            counts.update(pre_tokens(data))
+        for part in parts(batch):
+            seen: Counter = Counter()
+            for data in part.column("text").to_pylist():
+                seen.update(runs(data))
+            for run, n in seen.items():
+                for piece in split[run]:
+                    counts[piece] += n
             if len(counts) > FLUSH:
                 yield from flush()
     yield from flush()
@@ -82,6 +120,7 @@ def _count_pieces(path: str):
     def run(batches):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
@@ -89,7 +128,7 @@ def _count_pieces(path: str):
             pieces = batch.column("piece").to_pylist()
             sizes: list[int] = []
             for k in range(0, len(pieces), 2000):
-                texts = [spelled(p) for p in pieces[k : k + 2000]]
+                texts = [p.decode("utf-8", "replace") for p in pieces[k : k + 2000]]
                 sizes += [len(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array(sizes, pa.int64())], ["piece", "n", "pieces"])
 
@@ -98,13 +137,13 @@ def _count_pieces(path: str):
 
 def _per_document(head):
     def run(batches):
-        known = head.value
-        for batch in batches:
+        known, split = head.value, Splitter()
+        for batch in (p for b in batches for p in parts(b)):
             base, tail_at, tail_piece, tail_n = [], [0], [], []
             texts = batch.column("text").to_pylist()
             for data in texts:
                 total = 0
-                for piece, n in Counter(pre_tokens(data)).items():
+                for piece, n in frequencies(data, split).items():
                     size = known.get(piece)
                     if size is None:
                         tail_piece.append(piece)
@@ -129,7 +168,7 @@ def piece_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     return written(distinct.mapInArrow(_count_pieces(tokenizer_path), "piece binary, n long, pieces long"))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head_size: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head_size: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
     spark = docs.sparkSession
     table = piece_table(docs, tokenizer_path, id_col, text_col)
@@ -139,9 +178,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head_si
     per_doc = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     mapped = per_doc.mapInArrow(_per_document(head), "row long, doc_id long, n_bytes long, base long, tail array<struct<piece: binary, n: long>>")
     # a first entry of each row carries what the head gave; its key is the row's own and matches no pre-token
-    own = F.struct(F.concat(F.lit(b"\xff\xfe"), F.col("row").cast("string").cast("binary")).alias("piece"), F.lit(0).cast("long").alias("n"), F.col("base").alias("add"))
-    rest = F.transform("tail", lambda x: F.struct(x.piece.alias("piece"), x.n.alias("n"), F.lit(0).cast("long").alias("add")))
-    entries = mapped.select("row", "doc_id", "n_bytes", F.explode(F.concat(F.array(own), rest)).alias("e")).select("row", "doc_id", "n_bytes", "e.*")
+    none = F.lit(None).cast("long")
+    own = F.struct(F.concat(F.lit(b"\xff\xfe"), F.col("row").cast("string").cast("binary")).alias("piece"), none.alias("n"), F.col("base").alias("add"), F.col("doc_id").alias("doc_id"), F.col("n_bytes").alias("n_bytes"))
+    rest = F.transform("tail", lambda x: F.struct(x.piece.alias("piece"), x.n.alias("n"), none.alias("add"), none.alias("doc_id"), none.alias("n_bytes")))
+    entries = mapped.select("row", F.explode(F.concat(F.array(own), rest)).alias("e")).select("row", "e.*")
     joined = entries.join(table.select("piece", "pieces"), "piece", "left")
-    total = F.sum(F.col("add") + F.col("n") * F.coalesce("pieces", F.lit(0)))
-    return joined.groupBy("row", "doc_id", "n_bytes").agg(total.alias("n_tokens")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    total = F.coalesce(F.sum("add"), F.lit(0)) + F.coalesce(F.sum(F.col("n") * F.col("pieces")), F.lit(0))
+    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), total.alias("n_tokens"))
+    return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
