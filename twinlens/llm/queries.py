@@ -48,6 +48,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlens.llm import kneser_ney
+
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.fit(docs))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinlens.llm.bpe import round_trip_digests
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,
