@@ -46,7 +46,7 @@ _NUMBERS = "".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[
 #: The byte-level pattern for such characters (its fixed alternatives, in their order).
 _PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
 #: Runs whose split a worker remembers, and the longest of them in bytes.
-KNOWN, KNOWN_BYTES = 150_000, 64
+KNOWN, KNOWN_BYTES = 300_000, 64
 
 
 def runs(data: bytes) -> list[bytes]:
@@ -77,20 +77,38 @@ class Splitter(dict):
 
     def __missing__(self, run: bytes) -> tuple[bytes, ...]:
         found = split_run(run)
-        if len(run) <= KNOWN_BYTES:
-            if len(self) >= KNOWN:
-                self.clear()
+        if len(run) <= KNOWN_BYTES and len(self) < KNOWN:
             self[run] = found
         return found
 
 
-def frequencies(data: bytes, split: Splitter) -> Counter:
-    """Pre-token frequencies of a text."""
-    counts: Counter = Counter()
-    for pieces, n in [(split[r], n) for r, n in Counter(runs(data)).items()]:
-        for p in pieces:
-            counts[p] += n
-    return counts
+class Sizes:
+    """What the head's table gives for a text, and frequencies of the pre-tokens that it lacks."""
+
+    def __init__(self, known: dict[bytes, int]):
+        self.known = known
+        #: Runs whose pre-tokens are all in the head, up to a bound.
+        self.whole: dict[bytes, int] = {}
+
+    def of(self, data: bytes) -> tuple[int, Counter]:
+        found = runs(data)
+        got = list(map(self.whole.get, found))
+        if None not in got:
+            return sum(got), Counter()
+        total, rest = sum(filter(None, got)), Counter()
+        for run, n in Counter([r for r, x in zip(found, got, strict=True) if x is None]).items():
+            size, whole = 0, True
+            for piece in split_run(run):
+                pieces = self.known.get(piece)
+                if pieces is None:
+                    rest[piece] += n
+                    whole = False
+                else:
+                    size += pieces
+            total += n * size
+            if whole and len(run) <= KNOWN_BYTES and len(self.whole) < KNOWN:
+                self.whole[run] = size
+        return total, rest
 
 
 def _distinct(batches):
@@ -137,19 +155,14 @@ def _count_pieces(path: str):
 
 def _per_document(head):
     def run(batches):
-        known, split = head.value, Splitter()
+        sizes = Sizes(head.value)
         for batch in (p for b in batches for p in parts(b)):
             base, tail_at, tail_piece, tail_n = [], [0], [], []
             texts = batch.column("text").to_pylist()
             for data in texts:
-                total = 0
-                for piece, n in frequencies(data, split).items():
-                    size = known.get(piece)
-                    if size is None:
-                        tail_piece.append(piece)
-                        tail_n.append(n)
-                    else:
-                        total += n * size
+                total, rest = sizes.of(data)
+                tail_piece += rest.keys()
+                tail_n += rest.values()
                 base.append(total)
                 tail_at.append(len(tail_piece))
             entries = pa.StructArray.from_arrays([pa.array(tail_piece, pa.binary()), pa.array(tail_n, pa.int64())], ["piece", "n"])
