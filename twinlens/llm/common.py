@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,6 +24,11 @@ _WORD_TABLE = bytes(
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
+SPACE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: The words of alnum_words in a text that isn't lower-cased: A-Z belong to words too.
+ALNUM_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
 def alnum_words(data: bytes) -> list[bytes]:
     r"""Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of a UTF-8 text after lower-casing A-Z."""
     return data.translate(_WORD_TABLE).split()
@@ -86,6 +92,28 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(fn, schema)
 
 
+def cut_spans(data: bytes, word: re.Pattern, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of some sorted spans [start, end); a span takes what follows it up to the next word."""
+    begins = [m.start() for m in word.finditer(data)] + [len(data)]
+    out, at = [], 0
+    for start, end in spans:
+        out.append(data[at : begins[start]])
+        at = begins[end]
+    out.append(data[at:])
+    return b"".join(out).rstrip() if spans and spans[-1][1] == len(begins) - 1 else b"".join(out)
+
+
+def with_text(table: pa.Table, text_col: str, texts: list[bytes | None], keep: list[bool]) -> list[pa.RecordBatch]:
+    """A table's rows that stay, with new texts."""
+    at = table.schema.get_field_index(text_col)
+    table = table.set_column(at, table.schema.field(at), pa.array(texts, pa.binary()).cast(table.schema.field(at).type))
+    return table.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
+
+
+def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """A batch in slices, so that a worker turns few rows into Python objects at a time."""
     for at in range(0, batch.num_rows, rows):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import alnum_words, id_and_text
+from twinlens.llm.common import ALNUM_WORD, alnum_words, cut_spans, id_and_text, parts, text_bytes, with_text
 from twinlens.llm.fm_index import FmIndex
 
 #: Symbols in a shard's index, at most about.
@@ -126,7 +126,7 @@ def _search(shared):
                 ["row", "doc_id", "n_words", "spans", "items"],
             )
 
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             for row, i, data in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 shard.add(data)
                 rows.append(row)
@@ -190,3 +190,72 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def _cut(data: bytes | None, spans: list[tuple[int, int]], n_words: int) -> tuple[bytes | None, bool]:
+    if not data or not spans:
+        return data, True
+    return cut_spans(data, ALNUM_WORD, spans), sum(b - a for a, b in spans) < n_words
+
+
+def _cut_rows(shared, text_col: str):
+    def run(batches):
+        windows: Windows = shared.value
+        shard, held = Shard(windows), []
+
+        def flush():
+            doc, start, end, _, _ = shard.spans()
+            at = np.searchsorted(doc, np.arange(shard.docs + 1)).tolist()
+            table = pa.Table.from_batches(held)
+            texts, keep = text_bytes(table.column(text_col)), []
+            for k in range(len(texts)):
+                spans = list(zip(start[at[k] : at[k + 1]].tolist(), end[at[k] : at[k + 1]].tolist(), strict=True))
+                texts[k], stays = _cut(texts[k], spans, shard.n_words[k])
+                keep.append(stays)
+            return with_text(table, text_col, texts, keep)
+
+        for batch in (p for b in batches for p in parts(b)):
+            held.append(batch)
+            for data in text_bytes(batch.column(text_col)):
+                shard.add(data or b"")
+            if shard.size >= SHARD or shard.bytes >= SHARD_BYTES // 4:
+                yield from flush()
+                shard, held = Shard(windows), []
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _cut_joined(text_col: str):
+    def run(batches):
+        for batch in (p for b in batches for p in parts(b)):
+            texts, keep = text_bytes(batch.column(text_col)), []
+            rows = batch.select(["__twinlens_spans", "__twinlens_words"]).to_pylist()
+            for k, row in enumerate(rows):
+                spans = [(x["start"], x["end"]) for x in row["__twinlens_spans"] or []]
+                texts[k], stays = _cut(texts[k], spans, row["__twinlens_words"] or 0)
+                keep.append(stays)
+            yield from with_text(pa.Table.from_batches([batch]).drop_columns(["__twinlens_spans", "__twinlens_words"]), text_col, texts, keep)
+
+    return run
+
+
+def cut_rows(docs: DataFrame, benchmark: DataFrame, columns: list[str], width: int = 10, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``columns`` of ``docs`` with benchmark words cut out of the texts; rows that lose all their words go.
+
+    A benchmark of one block is searched where the rows are; for a larger one the spans of all blocks are joined by id.
+    """
+    blocks = list(benchmark_blocks(benchmark, width, block_bytes, item_col, item_text_col)) if _one_block(benchmark, block_bytes, item_text_col) else []
+    docs = docs.select(*columns)
+    if blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+        return docs.mapInArrow(_cut_rows(shared, text_col), docs.schema)
+    spans = benchmark_spans(docs, benchmark, width, block_bytes, id_col, text_col, item_col, item_text_col).where(F.size("spans") > 0)
+    of_doc = spans.groupBy(F.col("doc_id").alias("__twinlens_id")).agg(F.first("spans").alias("__twinlens_spans"), F.first("n_words").alias("__twinlens_words"))
+    joined = docs.join(of_doc, F.col(id_col).cast("long") == F.col("__twinlens_id"), "left").drop("__twinlens_id")
+    return joined.mapInArrow(_cut_joined(text_col), docs.schema)
+
+
+def _one_block(benchmark: DataFrame, block_bytes: int, text_col: str) -> bool:
+    return (benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) <= block_bytes

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import buckets_for, id_and_text, space_words, written
+from twinlens.llm.common import SPACE_WORD, buckets_for, cut_spans, id_and_text, parts, space_words, text_bytes, with_text, written
 
 #: Odd multipliers of the two polynomials (fixed values: digits of the golden ratio and of e).
 _WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -230,7 +230,7 @@ def intervals(starts: list, width: int, n_words: int) -> np.ndarray:
 
 def _cut(width: int, keep_text: bool):
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             out, rows = [], batch.select(["text", "starts"]).to_pylist()
             for row in rows:
                 words = space_words(row["text"])
@@ -262,3 +262,34 @@ def substring_dedup(docs: DataFrame, width: int = 20, digest: bool = False, id_c
 def removal_digests(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
     return substring_dedup(docs, digest=True, **options).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+def _cut_rows(width: int, text_col: str):
+    def run(batches):
+        for batch in (p for b in batches for p in parts(b)):
+            texts, keep = text_bytes(batch.column(text_col)), []
+            starts = batch.column(_STARTS).to_pylist()
+            for k, (data, found) in enumerate(zip(texts, starts, strict=True)):
+                keep.append(True)
+                if data and found:
+                    gone = intervals(found, width, len(space_words(data)))
+                    spans = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2).tolist()
+                    if spans:
+                        texts[k] = cut_spans(data, SPACE_WORD, spans)
+                        keep[-1] = not gone.all()
+            yield from with_text(pa.Table.from_batches([batch]).drop_columns([_STARTS]), text_col, texts, keep)
+
+    return run
+
+
+#: Name of the column that carries window starts beside a caller's own.
+_STARTS = "__twinlens_starts"
+
+
+def cut_rows(docs: DataFrame, columns: list[str], width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``columns`` of ``docs`` with repeated words cut out of the texts; rows that lose all their words go."""
+    starts = written(repeated_starts(docs, width, id_col, text_col))
+    per_doc = starts.groupBy(F.col("doc_id").alias("__twinlens_id")).agg(F.collect_list("starts").alias(_STARTS))
+    docs = docs.select(*columns)
+    joined = docs.join(per_doc, F.col(id_col).cast("long") == F.col("__twinlens_id"), "left").drop("__twinlens_id")
+    return joined.mapInArrow(_cut_rows(width, text_col), docs.schema)

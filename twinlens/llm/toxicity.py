@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import alnum_words, fold, id_and_text, parts
+from twinlens.llm.common import alnum_words, fold, id_and_text, parts, text_bytes
 
 BLOCK = 64
 #: Similarities within this of each other count as equal votes.
@@ -137,6 +137,7 @@ class Model:
         total = self.rows.sum()
         self.base = float((self.toxic.sum() + 0.5) / (total + 1)) if total else 0.5
         self.slope, self.shift = 1.0, 0.0
+        self.known: dict[tuple, tuple] = {}
         self._calibrate()
 
     def votes(self, terms: np.ndarray, values: np.ndarray, without: int = -1, label: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
@@ -178,11 +179,16 @@ class Model:
             self.slope, self.shift = float(a), float(b)
 
     def score(self, counts: dict[int, int], other: int) -> tuple[float, list[tuple[int, float, float]]]:
-        """Score, and the nearest examples as (doc_id, similarity, share of label 1)."""
-        share, near, sims = self.votes(*self.weights.vector(counts, other))
-        x = min(30.0, max(-30.0, self.slope * _logit(share) + self.shift))
-        evidence = [(int(self.doc[i]), float(s), float(self.toxic[i] / self.rows[i])) for i, s in zip(near[:5].tolist(), sims[:5].tolist(), strict=True)]
-        return 1 / (1 + math.exp(-x)), evidence
+        """Score, and the nearest examples as (doc_id, similarity, share of label 1).  Equal vectors are asked once."""
+        key = (tuple(sorted(counts.items())), other if counts else other > 0)
+        if key not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            share, near, sims = self.votes(*self.weights.vector(counts, other))
+            x = min(30.0, max(-30.0, self.slope * _logit(share) + self.shift))
+            evidence = [(int(self.doc[i]), float(s), float(self.toxic[i] / self.rows[i])) for i, s in zip(near[:5].tolist(), sims[:5].tolist(), strict=True)]
+            self.known[key] = 1 / (1 + math.exp(-x)), evidence
+        return self.known[key]
 
 
 def _logit(p: float) -> float:
@@ -282,17 +288,11 @@ def _score(shared):
     def run(batches):
         model: Model = shared.value
         seen: dict[bytes, tuple[int, ...]] = {}
-        known: dict[tuple, tuple] = {}
         for batch in (p for b in batches for p in parts(b)):
             scores, evidence = [], []
             for data in batch.column("text").to_pylist():
                 counts, other = term_counts(data, model.terms, seen)
-                key = (tuple(sorted(counts.items())), other if counts else other > 0)
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = model.score(counts, other)
-                s, e = known[key]
+                s, e = model.score(counts, other)
                 scores.append(s)
                 evidence.append([{"doc_id": i, "similarity": x, "share": y} for i, x, y in e])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("share", pa.float64())]))
@@ -306,3 +306,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = id_and_text(docs, id_col, text_col).mapInArrow(_score(shared), "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, share: double>>")
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def _keep(shared, text_col: str, threshold: float):
+    def run(batches):
+        model: Model = shared.value
+        seen: dict[bytes, tuple[int, ...]] = {}
+        for batch in (p for b in batches for p in parts(b)):
+            keep = []
+            for data in text_bytes(batch.column(text_col)):
+                counts, other = term_counts(data or b"", model.terms, seen)
+                keep.append(model.score(counts, other)[0] < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def filter_rows(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(shared, text_col, threshold), docs.schema)
