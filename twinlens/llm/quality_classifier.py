@@ -26,6 +26,8 @@ from twinlens.llm.common import id_and_text, parts
 from twinlens.llm.quality_rules import STOP_WORDS
 
 LOW, GOOD, NONE = 0, 1, 2
+#: A shorter text, unless empty, is too little to call low: it scores the share of good texts at least.
+LEAST_WORDS = 10
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 _SYMBOLS, _CAPITALS = b"#*$%&|<>", bytes(range(65, 91))
 _SHAPE = (re.compile(rb"[\x80-\xff]+|[a-z]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+"))
@@ -56,7 +58,7 @@ def _vote(low: bool, good: bool) -> int:
 
 #: Labellers: name and vote on the measures.
 LABELLERS = (
-    ("empty", lambda m: _vote(m["words"] == 0, m["words"] >= 100)),
+    ("empty", lambda m: _vote(m["words"] == 0, m["words"] >= 1)),
     ("symbols", lambda m: _vote(m["words"] >= 10 and m["symbols"] > 0.1, m["symbols"] < 0.01)),
     ("stop_words", lambda m: _vote(m["words"] >= 20 and m["stop"] < 0.06, m["stop"] > 0.15)),
     ("distinct", lambda m: _vote(m["words"] >= 20 and m["distinct"] < 0.5, m["distinct"] > 0.9)),
@@ -207,7 +209,8 @@ def _score(shared):
                 n.append(len(words))
                 weak.append(model.posterior.get(pattern(m), model.share))
                 z = float(model.weight[places] @ values) + model.shift
-                scores.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
+                judged = 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+                scores.append(judged if not words or len(words) >= LEAST_WORDS else max(judged, model.share))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(weak, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "n_words", "weak_label", "score"])
 
     return run
