@@ -10,7 +10,7 @@ How the rows move:
    they become intervals at once, so a passage in a third of all documents sends one entry per task.
 2. First occurrences go to buckets by hash, as sorted, compressed arrays of (hash, doc_id, start); the number of buckets
    follows the input's size.  A bucket counts its hashes and returns every occurrence but the first.
-3. Repeats are gathered per document, merged, and joined to the texts by doc_id.
+3. Repeats go on packed, by parts of the documents, are merged there per document and joined to the texts by doc_id.
 
 Hashes have 64 bits and are mixed, so that unequal windows agree with a chance of about n * n / 2 ** 65 over n windows.
 
@@ -117,13 +117,23 @@ def _unpack(data: bytes, n: int, kinds) -> list[np.ndarray]:
 
 
 _KINDS = (np.uint64, np.int64, np.int32)
-_ROWS = ["bucket", "n", "data", "doc_id", "starts"]
+_ROWS = ["bucket", "part", "n", "data"]
+_SCHEMA = "bucket int, part int, n long, data binary"
 
 
-def _by_document(doc: np.ndarray, start: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Arrays doc_id and starts, one entry per document, for pairs sorted by document."""
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    return pa.array(doc[first], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)], pa.int32()), pa.array(start, pa.int32()))
+def _row(bucket: int, part: int | None, n: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], _ROWS)
+
+
+def _marks(doc: np.ndarray, start: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows as packed (doc_id, start), a row per part of the documents."""
+    part = (_mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((start, doc, part))
+    doc, start, part = doc[order], start[order], part[order]
+    edges = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        some = slice(edges[p], edges[p + 1])
+        yield _row(p, p, edges[p + 1] - edges[p], _pack(doc[some], start[some].astype(np.int32)))
 
 
 def _hash_blocks(width: int, buckets: int):
@@ -144,19 +154,14 @@ def _hash_blocks(width: int, buckets: int):
             leader = np.empty(len(by), np.int64)
             leader[by] = np.repeat(first, np.diff(np.r_[begin, len(by)]))
             later &= (doc != doc[leader]) | (start != start[leader])
-            found, starts = _by_document(doc[later], start[later])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(found)) % buckets, pa.int32()), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.binary()), found, starts], _ROWS
-            )
+            yield from _marks(doc[later], start[later], buckets)
             # one entry per distinct hash, bucket after bucket
             keys = sorted_hashes[begin]
             edges = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
                 data = _pack(keys[part], doc[first[part]], start[first[part]].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([len(keys[part])], pa.int64()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], _ROWS
-                )
+                yield _row(int(b), None, len(keys[part]), data)
 
         for batch in batches:
             for i, data in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -177,51 +182,64 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _count_bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = []
-    for batch in batches:
-        local = batch.filter(batch.column("data").is_null())
-        if local.num_rows:  # repeats that the task found itself
-            yield pa.RecordBatch.from_arrays([local.column("doc_id"), local.column("starts")], ["doc_id", "starts"])
-        for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if data is not None:
-                parts.append(_unpack(data, n, _KINDS))
-    if not parts:
-        return
-    hashes = np.concatenate([p[0] for p in parts])
-    ordered = np.sort(hashes)
-    repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(repeated):
-        return
-    del ordered
-    at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
-    some = np.flatnonzero(repeated[at] == hashes)
-    group = at[some]
-    doc, start = np.concatenate([p[1] for p in parts])[some], np.concatenate([p[2] for p in parts])[some]
-    by = np.lexsort((start, doc, group))
-    group, doc, start = group[by], doc[by], start[by]
-    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    leader = np.repeat(begin, np.diff(np.r_[begin, len(group)]))
-    later = (doc != doc[leader]) | (start != start[leader])
-    doc, start = doc[later], start[later]
-    by = np.argsort(doc, kind="stable")
-    found, starts = _by_document(doc[by], start[by])
-    yield pa.RecordBatch.from_arrays([found, starts], ["doc_id", "starts"])
+def _count_bucket(buckets: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for part, n, data in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if part is None:
+                    found.append(_unpack(data, n, _KINDS))
+                else:  # repeats that a task found itself
+                    yield _row(part, part, n, data)
+        if not found:
+            return
+        hashes = np.concatenate([f[0] for f in found])
+        ordered = np.sort(hashes)
+        repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if not len(repeated):
+            return
+        del ordered
+        at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
+        some = np.flatnonzero(repeated[at] == hashes)
+        group = at[some]
+        doc, start = np.concatenate([f[1] for f in found])[some], np.concatenate([f[2] for f in found])[some]
+        by = np.lexsort((start, doc, group))
+        group, doc, start = group[by], doc[by], start[by]
+        begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        leader = np.repeat(begin, np.diff(np.r_[begin, len(group)]))
+        later = (doc != doc[leader]) | (start != start[leader])
+        yield from _marks(doc[later], start[later], buckets)
+
+    return run
+
+
+def _gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's marks as one row per document."""
+    found = [_unpack(d, n, _KINDS[1:]) for b in batches for n, d in zip(b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True)]
+    doc, start = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    for at in range(0, len(first), 1000):
+        edges = np.r_[first[at : at + 1001], len(doc)][: min(1000, len(first) - at) + 1]
+        starts = pa.ListArray.from_arrays(pa.array(edges - edges[0], pa.int32()), pa.array(start[edges[0] : edges[-1]], pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first[at : at + 1000]], pa.int64()), starts], ["doc_id", "starts"])
 
 
 def repeated_starts(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``starts``: first words of the windows that also start earlier.  A document may have several rows."""
+    """doc_id and ``starts``: first words of the windows that also start earlier; a row per document that has any."""
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = buckets_for(total, BUCKET_BYTES)
-    blocks = texts.mapInArrow(_hash_blocks(width, buckets), "bucket int, n long, data binary, doc_id long, starts array<int>")
-    return blocks.groupBy("bucket").applyInArrow(_count_bucket, "doc_id long, starts array<int>")
+    blocks = texts.mapInArrow(_hash_blocks(width, buckets), _SCHEMA)
+    marks = blocks.groupBy("bucket").applyInArrow(_count_bucket(buckets), _SCHEMA)
+    return marks.groupBy("part").applyInArrow(_gather, "doc_id long, starts array<int>")
 
 
-def intervals(starts: list, width: int, n_words: int) -> np.ndarray:
-    """Which words are covered, for lists of window starts."""
+def intervals(starts: list[int], width: int, n_words: int) -> np.ndarray:
+    """Which words the windows with these starts cover."""
     edge = np.zeros(n_words + 1, np.int64)
-    at = np.unique(np.concatenate([np.asarray(s, np.int64) for s in starts])) if starts else np.zeros(0, np.int64)
+    at = np.asarray(starts, np.int64)
     at = at[at < n_words]
     np.add.at(edge, at, 1)
     np.add.at(edge, np.minimum(at + width, n_words), -1)
@@ -254,8 +272,7 @@ def _cut(width: int, keep_text: bool):
 def substring_dedup(docs: DataFrame, width: int = 20, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (words that stay, or their SHA-256), spans of removed words."""
     starts = written(repeated_starts(docs, width, id_col, text_col))
-    per_doc = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    joined = id_and_text(docs, id_col, text_col).join(per_doc, "doc_id", "left")
+    joined = id_and_text(docs, id_col, text_col).join(starts, "doc_id", "left")
     return joined.mapInArrow(_cut(width, not digest), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>")
 
 
@@ -289,7 +306,7 @@ _STARTS = "__twinlens_starts"
 def cut_rows(docs: DataFrame, columns: list[str], width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``columns`` of ``docs`` with repeated words cut out of the texts; rows that lose all their words go."""
     starts = written(repeated_starts(docs, width, id_col, text_col))
-    per_doc = starts.groupBy(F.col("doc_id").alias("__twinlens_id")).agg(F.collect_list("starts").alias(_STARTS))
+    per_doc = starts.select(F.col("doc_id").alias("__twinlens_id"), F.col("starts").alias(_STARTS))
     docs = docs.select(*columns)
     joined = docs.join(per_doc, F.col(id_col).cast("long") == F.col("__twinlens_id"), "left").drop("__twinlens_id")
     return joined.mapInArrow(_cut_rows(width, text_col), docs.schema)
