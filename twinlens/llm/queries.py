@@ -9,6 +9,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinlens.llm.oracles import SQL
+
 
 def tokenizer(name: str) -> str:
     folder = os.environ.get("TWINLENS_TOKENIZERS")
@@ -99,4 +101,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(SQL)
