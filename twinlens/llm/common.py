@@ -6,22 +6,20 @@ columns (whatever they are called) never reach it.  Text columns may be null; a
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.sources.scratch import drop_path, scratch_dir, written  # noqa: F401
+
 #: What separates words in the licence and benchmark operators: every ASCII byte but digits and letters.
 _WORD_TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
 SPACE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -52,46 +50,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``.
-
-    Only where that is unset and Spark runs in one process (tests, a laptop) is a folder of this machine used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="twinlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/twinlens-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = path or scratch_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
 def buckets_for(n_bytes: float, per_bucket: float, least: int = 1) -> int:
     """Buckets so that each holds about ``per_bucket`` bytes: their number grows with the input, their size doesn't."""
     return max(least, math.ceil(n_bytes / per_bucket))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def cut_spans(data: bytes, word: re.Pattern, spans: list[tuple[int, int]]) -> bytes:
     """A text without the words of some sorted spans [start, end); a span takes what follows it up to the next word."""
     begins = [m.start() for m in word.finditer(data)] + [len(data)]
@@ -118,7 +81,3 @@ def parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """A batch in slices, so that a worker turns few rows into Python objects at a time."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
