@@ -334,3 +334,12 @@ def test_cutting_spans_keeps_the_rest():
     assert cut_spans(b"a, b c.\nd", SPACE_WORD, [(1, 3)]) == b"a, d"
     assert cut_spans(b"One, two three", ALNUM_WORD, [(0, 1)]) == b"two three"
     assert cut_spans(b"a b c", SPACE_WORD, [(0, 1), (2, 3)]) == b"b"
+
+
+def test_words_hash_alike_in_pieces(monkeypatch):
+    texts = [data(t) for _, t in ROWS]
+    whole = substring_dedup.word_hashes(texts)
+    monkeypatch.setattr(substring_dedup, "PIECE", 50)
+    for a, b in zip(whole, substring_dedup.word_hashes(texts), strict=True):
+        assert a.tolist() == b.tolist()
+    assert whole[1].tolist() == np.cumsum([0, *(len(t.split()) for t in texts)]).tolist()

@@ -22,6 +22,7 @@ are ignored; texts of any length are handled whole.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,9 @@ _WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW_BASE = 0xADF85458A2BB4A9B
 _M64 = (1 << 64) - 1
 #: Words after which a task closes a block; bytes of text that make a bucket's share.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 BUCKET_BYTES = 16_000_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -49,16 +51,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose words are hashed together: bounds the arrays beside a text of any length.
+PIECE = 1_000_000
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (one more entry than texts)."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
+    data = b" ".join(texts)
     text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    hashes, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        end = _SPACE.search(data, at + PIECE) if at + PIECE < len(data) else None  # pieces end where a word does
+        end = end.start() if end else len(data)
+        found, begin = _hash_piece(np.frombuffer(data, np.uint8, end - at, at))
+        hashes.append(found)
+        begins.append(begin + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), text_at)
+
+
+def _hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a piece's words and their first bytes' places."""
     solid = ~_SPACES[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     begins = np.flatnonzero(first)
     if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), begins
     letters = data[solid].astype(np.uint64)
     at = np.flatnonzero(first[solid])
     lengths = np.diff(np.r_[at, len(letters)])
@@ -66,8 +85,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.r_[np.uint64(1), np.full(int(lengths.max()), _WORD_BASE, np.uint64)], dtype=np.uint64)
         total = np.add.reduceat((letters + np.uint64(1)) * powers[offset], at)
-        hashes = _mix(total + lengths.astype(np.uint64))
-    return hashes, np.searchsorted(begins, text_at)
+        return _mix(total + lengths.astype(np.uint64)), begins
 
 
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
