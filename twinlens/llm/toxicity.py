@@ -218,7 +218,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, examples: in
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     picked = picked.where(fold() != 0).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     texts = id_and_text(docs, id_col, text_col)
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["text"])
+    rows = texts.join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("r")).select("r.doc_id", "text", "r.label")
 
 
 def choose_terms(sample: DataFrame, terms: int, least_ratio: float = 15.0) -> list[str]:
