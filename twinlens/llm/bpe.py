@@ -18,6 +18,7 @@ too; very long runs cost n log n; columns other than the two named are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -261,12 +262,15 @@ class WordBpe:
                     done[k] = ids
         return done
 
-    def learn(self, runs: set[bytes]) -> bool:
-        """Put runs into the table of known ones: number of ids, ids and tokens as text.  True if it was emptied first."""
-        if emptied := len(self.known) + len(runs) > KNOWN:
-            self.known.clear()
+    def learn(self, runs: set[bytes], bounded: bool = True) -> bool:
+        """Put runs into the table of known ones: number of ids, ids and tokens as text.
+
+        True if the table was full: then the later half, which is rare runs for the most part, was forgotten first.
+        """
+        if full := bounded and len(self.known) + len(runs) > KNOWN:
+            _forget(self.known)
         if len(self.words) > KNOWN:
-            self.words.clear()
+            _forget(self.words)
         order = list(runs)
         for at in range(0, len(order), 20_000):
             some = order[at : at + 20_000]
@@ -283,7 +287,7 @@ class WordBpe:
                     got = [self.words[p] for p in x]
                     self.known[run] = (sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
                     self.blank |= not got
-        return emptied
+        return full
 
     def encode(self, text: str) -> list[int]:
         runs = text.encode("utf-8", "replace").split()
@@ -302,6 +306,11 @@ def _cut(text: str, content: str, i: int) -> list[str | int]:
     return out
 
 
+def _forget(table: dict) -> None:
+    for k in list(itertools.islice(table, KNOWN // 2, None)):
+        del table[k]
+
+
 _CODERS: dict[str, WordBpe] = {}
 
 
@@ -322,8 +331,8 @@ def _encode(path: str, digest: bool):
                 split = [t.split() for t in texts[at : at + 500]]
                 new = set().union(*split)
                 new.difference_update(bpe.known)
-                if new and bpe.learn(new):  # the table was emptied for them
-                    bpe.learn(set().union(*split).difference(new))
+                if new and bpe.learn(new):  # some that are needed now may have gone
+                    bpe.learn(set().union(*split).difference(bpe.known), bounded=False)
                 for s in split:
                     got = list(map(bpe.known.__getitem__, s))
                     if bpe.blank:  # some run has no ids
