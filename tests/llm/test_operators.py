@@ -343,3 +343,25 @@ def test_words_hash_alike_in_pieces(monkeypatch):
     for a, b in zip(whole, substring_dedup.word_hashes(texts), strict=True):
         assert a.tolist() == b.tolist()
     assert whole[1].tolist() == np.cumsum([0, *(len(t.split()) for t in texts)]).tolist()
+
+
+def test_toxicity_counts_every_word_of_rare_groups(spark):
+    """Two toxic examples of a word family are far below any significance; a text like them finds them all the same."""
+    rng = random.Random(12)
+    plain = [(i, " ".join(corpus.words(rng, 40)), 0) for i in range(300)]
+    bad = [(1000 + i, " ".join([*corpus.words(rng, 40), "zornig", "zornig"]), 1) for i in range(40)]
+    rare = "xqua yber wolg hunt jelk dwar"
+    train = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 5][:2]
+    rows = [*plain, *bad, *((i, rare, 1) for i in train[:1]), (train[1], rare + " pfol", 1)]
+    asked = [(5000, "wolg hunt xqua jelk"), (5001, " ".join(corpus.words(rng, 6)))]
+    docs = spark.createDataFrame([*(r[:2] for r in rows), *asked], SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))).collect()}
+    assert {e.doc_id for e in got[5000].evidence[:2]} == set(train) and got[5000].score > 2 * got[5001].score
+
+
+def test_toxicity_terms_are_words_and_their_beginnings():
+    texts = [b"Zornig zorn, \xc3\xa9\xc3\xa9\xc3\xa9\xc3\xa9!", b"", b"zo zornig"]
+    kinds, text, term, counts = toxicity.term_counts(texts)
+    per_text = [sorted(counts[text == i].tolist()) for i in range(3)]
+    # zornig zor| zorn| zorni| zorn (zor| twice) éééé ééé|; nothing; zo zornig zor| zorn| zorni|
+    assert per_text == [[1, 1, 1, 1, 1, 1, 2], [], [1, 1, 1, 1, 1]] and len(kinds) == 8

@@ -1,15 +1,15 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
+"""Toxicity by nearest labelled examples: exact cosine over weighted vectors of all words.
 
-Fitting.  At most ``examples`` labelled training rows (those of smallest id hash; the bound is a parameter) give the terms
-and the examples.  A text's terms are its words and their beginnings of 3 to 6 characters.  The ``terms`` of them that
-speak most for label 1 (log-likelihood ratio of how many texts of each class hold them) are the vocabulary; all other words of
-a text count together as one further term, so that the cosine sees how dense the vocabulary's terms are.  Document
-frequencies are counted over all documents.
+Fitting.  At most ``examples`` labelled training rows (those of smallest id hash; the bound is a parameter) give the
+examples.  A text's terms are all its words and their beginnings of 3 to 6 characters; none is left out and none is
+lumped with others.  A term weighs (1 + ln of its count) * idf * (``FLOOR`` + strength): idf is taken over all documents,
+strength is the root of the log-likelihood ratio by which the term speaks for label 1 among the examples, 0 if it doesn't.
+So the words that tell the classes apart lead, and all others decide among texts without them.  Words that no example
+holds count in a text's length, as words of one document.
 
-Index.  Unit vectors of distinct examples, each with how many rows it stands for and how many of them have label 1, lie
-in blocks of neighbouring vectors.  An inverted list per term holds its weights block by block and each block's greatest
-weight.  A query bounds every block by its terms' maxima, visits blocks from the highest bound down and stops when the
-bound can't reach the k-th best similarity: the k nearest are exact.
+Index.  Vectors of distinct examples, each with how many rows it stands for and how many of them have label 1.  Terms that
+most examples hold are columns of a dense matrix, all others have inverted lists; sums in single precision choose
+candidates with a margin, which are summed again in double precision: the k nearest are exact.  A term is its 64-bit hash.
 
 Score.  Votes of the k nearest weigh rows * 1 / (distance + a little); their share of label 1, shrunk towards the base
 rate, is calibrated by a logistic curve fitted on the examples themselves, each without its own vote.
@@ -21,128 +21,198 @@ score is the base rate (0.5 without labels); extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import alnum_words, fold, id_and_text, parts, text_bytes
+from twinlens.llm.common import _WORD_TABLE, fold, id_and_text, scratch_dir, text_bytes
+from twinlens.llm.shards import load, save
+from twinlens.llm.substring_dedup import _WORD_BASE, _mix
 
-BLOCK = 64
 #: Similarities within this of each other count as equal votes.
 CLOSE = 0.02
-
-
-def beginnings(word: str) -> list[str]:
-    """A word as a term, and its beginnings, marked by a bar."""
-    return [word, *(word[:n] + "|" for n in range(3, 7) if n < len(word))]
-
-
-def term_counts(data: bytes, vocabulary: dict[str, int], seen: dict[bytes, tuple[int, ...]]) -> tuple[dict[int, int], int]:
-    """Counts of vocabulary terms, and of words that are or begin with none.  ``seen`` remembers words, up to a bound."""
-    counts: dict[int, int] = {}
-    rest = 0
-    for word, n in Counter(alnum_words(data)).items():
-        terms = seen.get(word)
-        if terms is None:
-            if len(seen) > 200_000:
-                seen.clear()
-            terms = tuple(vocabulary[t] for t in beginnings(word.decode("utf-8", "replace")) if t in vocabulary)
-            if len(word) <= 64:
-                seen[word] = terms
-        if terms:
-            for t in terms:
-                counts[t] = counts.get(t, 0) + n
-        else:
-            rest += n
-    return counts, rest
-
-
-class Weights:
-    """Unit TF-IDF vectors over the vocabulary and the rest term, which is the last one."""
-
-    def __init__(self, idf: np.ndarray, rest: float):
-        self.idf, self.rest = idf, rest
-
-    def vector(self, counts: dict[int, int], rest: int) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        tf = np.array([counts[t] for t in terms.tolist()], float)
-        values = (1 + np.log(tf)) * self.idf[terms] if len(terms) else np.zeros(0)
-        if rest:
-            terms, values = np.r_[terms, len(self.idf)], np.r_[values, self.rest * (1 + math.log(rest))]
-        norm = math.sqrt(float(values @ values))
-        return terms, values / norm if norm else values
-
-
-class BlockMaxIndex:
-    """Inverted lists with block maxima over unit vectors."""
+#: Weight of a term that doesn't speak for label 1, beside the strengths of those that do.
+FLOOR = 0.1
+#: Terms in the dense part of the index, and texts asked at once.
+HEAD, ASKED = 1536, 64
+#: Beyond rounding in single precision.
+MARGIN = 1e-5
+BLOCK_BYTES = 400_000
+_BEGINNING = np.uint64(0x9E3779B97F4A7C15)
+
+
+def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of some texts as sorted hashes; and each text's terms: text, place among the hashes, count."""
+    data = np.frombuffer(b" ".join(t.translate(_WORD_TABLE) for t in texts), np.uint8)
+    solid = data != 32
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    begins = np.flatnonzero(first)
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begins, "right")
+    letters = data[solid]
+    start = np.flatnonzero(first[solid])
+    lengths = np.diff(np.r_[start, len(letters)])
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(lengths.max()), _WORD_BASE, np.uint64)], dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(letters)) - np.repeat(start, lengths)], dtype=np.uint64)]
+    hashed = lambda low, high: _mix(sums[high] - sums[low] + (high - low).astype(np.uint64))
+    words, one, word = np.unique(hashed(start, start + lengths), return_index=True, return_inverse=True)
+    # beginnings of distinct words, by characters
+    characters = np.flatnonzero((letters & 0xC0) != 0x80)
+    low, high = start[one], start[one] + lengths[one]
+    at = np.searchsorted(characters, low)
+    n = np.searchsorted(characters, high) - at
+    owners, terms = [np.arange(len(words))], [words]
+    for k in range(3, 7):
+        longer = np.flatnonzero(n > k)
+        owners.append(longer)
+        terms.append(_mix(hashed(low[longer], characters[at[longer] + k]) ^ _BEGINNING))
+    kinds, term = np.unique(np.concatenate(terms), return_inverse=True)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    term, of = term[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+    # words of texts, then their terms
+    pairs, counts = np.unique(text * len(words) + word, return_counts=True)
+    text, word = np.divmod(pairs, len(words))
+    place, size = _ranges(of[word], of[word + 1])
+    keys, back = np.unique(np.repeat(text, size) * len(kinds) + term[place], return_inverse=True)
+    text, term = np.divmod(keys, len(kinds))
+    return kinds, text, term, np.bincount(back, np.repeat(counts, size)).astype(np.int64)
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of some ranges one after the other, and each range's size."""
+    size = high - low
+    return np.arange(int(size.sum())) + np.repeat(low - np.cumsum(size) + size, size), size
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys, -1 where there is none."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+class CosineIndex:
+    """Exact nearest unit vectors.  ``store`` moves its arrays to the shared folder, where workers map them."""
+
+    ARRAYS = {"at": "i8", "term": "i4", "value": "f4", "column": "i4", "begin": "i8", "owner": "i4", "weight": "f4", "dense": "f4"}
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n = len(vectors)
-        self.blocks = -(-self.n // BLOCK)
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        value = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
-        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        order = np.lexsort((owner, term))
-        term, self.value, self.owner = term[order], value[order], owner[order]
-        # where each term's entries for each block begin
-        at = np.arange(n_terms)[:, None] * (self.blocks * BLOCK) + np.arange(self.blocks + 1)[None, :] * BLOCK
-        self.begin = np.searchsorted(term * (self.blocks * BLOCK) + self.owner, at)
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (term, self.owner // BLOCK), self.value)
+        self.n, self.folder = len(vectors), None
+        self.at = np.cumsum([0, *(len(t) for t, _ in vectors)])
+        self.term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
+        self.value = np.concatenate([np.zeros(0, np.float32), *(v.astype(np.float32) for _, v in vectors)])
+        df = np.bincount(self.term, minlength=n_terms)
+        head = np.sort(np.argsort(-df, kind="stable")[:HEAD])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[head] = np.arange(len(head))
+        df[head] = 0
+        self.begin = np.r_[0, np.cumsum(df)]
+        self.dense = np.zeros((self.n, len(head)), np.float32)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.at))
+        column = self.column[self.term]
+        inside = column >= 0
+        self.dense[owner[inside], column[inside]] = self.value[inside]
+        rest = np.flatnonzero(~inside)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.owner, self.weight = owner[rest], self.value[rest]
+
+    def store(self, folder: str) -> None:
+        for name, kind in self.ARRAYS.items():
+            if self.__dict__[name].size:  # an empty file can't be mapped
+                save(folder, name, self.__dict__.pop(name).astype(kind, copy=False))
+        self.folder = folder
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not (self.folder and k in self.ARRAYS and v.size)}
+
+    def __getattr__(self, name: str):
+        """A stored array, mapped when it is first asked."""
+        if name not in self.ARRAYS or not self.__dict__.get("folder"):
+            raise AttributeError(name)
+        array = load(self.folder, name, self.ARRAYS[name])
+        self.__dict__[name] = np.asarray(array).reshape(self.n, -1) if name == "dense" else np.asarray(array)
+        return self.__dict__[name]
+
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.at[i], self.at[i + 1])
+        return self.term[part], self.value[part].astype(float)
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per query the k most similar examples (fewer if fewer share a term), most similar first, exactly."""
+        if not self.n:
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in queries)
+            return
+        for low in range(0, len(queries), ASKED):
+            some = queries[low : low + ASKED]
+            wide = np.zeros((len(some), self.dense.shape[1]))
+            for i, (t, v) in enumerate(some):
+                column = self.column[t]
+                wide[i, column[column >= 0]] = v[column >= 0]
+            for (t, v), row, sums in zip(some, wide, wide.astype(np.float32) @ self.dense.T, strict=True):
+                listed = self.column[t] < 0
+                t, v = t[listed], v[listed]
+                place, size = _ranges(self.begin[t], self.begin[t + 1])
+                lists = np.bincount(self.owner[place], self.weight[place] * np.repeat(v, size), self.n)
+                yield self._exact(row, lists, sums + lists, k)
+
+    def _exact(self, row: np.ndarray, lists: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best by double precision sums of those whose single precision sums come near."""
+        least = np.partition(sums, self.n - k)[self.n - k] - MARGIN if self.n > k else 0
+        best = np.flatnonzero((sums >= least) & (sums > 0))
+        sims = self.dense[best].astype(float) @ row + lists[best]
+        order = np.lexsort((best, -np.round(sims, 12)))[:k]
+        return best[order], sims[order]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples (fewer if fewer share a term), most similar first, exactly."""
-        if not len(terms) or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = values @ self.most[terms]
-        best, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(sims) == k and bound[b] < sims[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            lists = np.stack([self.begin[terms, b], self.begin[terms, b + 1]], 1)
-            for q, (low, high) in zip(values.tolist(), lists.tolist(), strict=True):
-                if low < high:
-                    score[self.owner[low:high] - b * BLOCK] += q * self.value[low:high]
-            hit = np.flatnonzero(score)
-            best, sims = np.r_[best, hit + b * BLOCK], np.r_[sims, score[hit]]
-            order = np.lexsort((best, -np.round(sims, 12)))[:k]
-            best, sims = best[order], sims[order]
-        return best, sims
+        return next(self.nearest_of([(terms, values)], k))
 
 
-class Model:
-    """Vocabulary, weights, examples and calibration."""
+#: The index's earlier name.
+BlockMaxIndex = CosineIndex
+
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int], int]], k: int, rest: float):
-        """examples: (doc_id, label, term counts, other words)."""
-        self.terms, self.k = {t: i for i, t in enumerate(vocabulary)}, k
-        self.weights = Weights(idf, rest)
+class Examples:
+    """Vocabulary, weights and the index of examples: what workers hold."""
+
+    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, unknown: float, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int):
+        """vocabulary: sorted hashes; unknown: weight of any other term; examples: (doc_id, label, terms, counts)."""
+        self.vocabulary, self.weights, self.unknown, self.k = vocabulary, weights, unknown, k
         merged: dict[bytes, list] = {}
-        for doc, label, counts, other in sorted(examples, key=lambda e: e[0]):
-            t, v = self.weights.vector(counts, other)
-            entry = merged.setdefault(t.tobytes() + np.round(v, 6).tobytes(), [doc, 0, 0, t, v])
+        for doc, label, terms, counts in sorted(examples, key=lambda e: e[0]):
+            t, v = self.vector(terms, counts)
+            entry = merged.setdefault(hashlib.blake2b(t.tobytes() + np.round(v, 6).tobytes(), digest_size=16).digest(), [doc, 0, 0, t, v.astype(np.float32)])
             entry[1] += 1
             entry[2] += label
-        # neighbours in the index share their strongest term and its weight
-        entries = sorted(merged.values(), key=lambda e: (int(e[3][np.argmax(e[4])]), round(float(e[4].max()), 6), e[0]) if len(e[3]) else (-1, 0.0, e[0]))
+        entries = list(merged.values())
         self.doc = np.array([e[0] for e in entries], np.int64)
         self.rows, self.toxic = np.array([e[1] for e in entries], float), np.array([e[2] for e in entries], float)
-        self.vectors = [(e[3], e[4]) for e in entries]
-        self.index = BlockMaxIndex(self.vectors, len(vocabulary) + 1)
+        self.index = CosineIndex([(e[3], e[4]) for e in entries], len(vocabulary))
         total = self.rows.sum()
         self.base = float((self.toxic.sum() + 0.5) / (total + 1)) if total else 0.5
-        self.slope, self.shift = 1.0, 0.0
-        self.known: dict[tuple, tuple] = {}
-        self._calibrate()
 
-    def votes(self, terms: np.ndarray, values: np.ndarray, without: int = -1, label: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector over the vocabulary; terms outside (-1) only take their share of the length."""
+        known = terms >= 0
+        tf = 1 + np.log(counts)
+        values = tf[known] * self.weights[terms[known]]
+        norm = math.sqrt(float(values @ values) + self.unknown**2 * float(tf[~known] @ tf[~known]))
+        return terms[known].astype(np.int32), values / norm if norm else values
+
+    def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self.vector(t, c) for t, c in _per_text(texts, self.vocabulary)]
+
+    def share(self, near: np.ndarray, sims: np.ndarray, without: int = -1, label: int = 0) -> float:
         """Shrunk share of label 1 among the nearest; ``without``: an example that has one row of ``label`` less."""
-        near, sims = self.index.nearest(terms, values, self.k)
         rows, toxic = self.rows[near], self.toxic[near]
         if without >= 0:
             own = near == without
@@ -151,20 +221,41 @@ class Model:
         weight = np.sqrt(np.maximum(rows, 0)) / (1 - sims + CLOSE)
         share = np.divide(toxic, rows, out=np.zeros(len(rows)), where=rows > 0)
         prior = 0.5 / CLOSE
-        return float(((weight * share).sum() + prior * 0.2 * self.base) / (weight.sum() + prior * 0.2)), near, sims
+        return float(((weight * share).sum() + prior * 0.2 * self.base) / (weight.sum() + prior * 0.2))
 
-    def _calibrate(self) -> None:
-        both = 0 < self.toxic.sum() < self.rows.sum()
-        if not both:
-            return
-        x, y, w = [], [], []
-        for i, (t, v) in enumerate(self.vectors):
-            for label, n in ((1, self.toxic[i]), (0, self.rows[i] - self.toxic[i])):
-                if n:
-                    x.append(_logit(self.votes(t, v, i, label)[0]))
-                    y.append(label)
-                    w.append(n)
-        x, y, w = np.array(x), np.array(y, float), np.array(w)
+
+def _per_text(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's terms, as sorted places in the vocabulary (-1: not in it), and their counts."""
+    kinds, text, term, counts = term_counts(texts)
+    place, edges = _find(vocabulary, kinds)[term], np.searchsorted(text, np.arange(len(texts) + 1))
+    return [(place[a:b], counts[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _pieces(batches, text_col: str = "text"):
+    """Batches in slices of about BLOCK_BYTES of text, and their texts."""
+    for batch in batches:
+        texts = [t or b"" for t in text_bytes(batch.column(text_col))]
+        low = size = 0
+        for i, t in enumerate(texts):
+            size += len(t) + 100
+            if size >= BLOCK_BYTES or i == len(texts) - 1:
+                yield batch.slice(low, i + 1 - low), texts[low : i + 1]
+                low, size = i + 1, 0
+
+
+class Model:
+    """Examples, as workers have them, and their calibration."""
+
+    def __init__(self, spark, examples: Examples):
+        self.examples, self.slope, self.shift = examples, 1.0, 0.0
+        self.shared = spark.sparkContext.broadcast(examples)
+        if 0 < examples.toxic.sum() < examples.rows.sum():
+            n = len(examples.rows)
+            rows = spark.range(0, n, 1, -(-n // 500)).mapInArrow(_own(self.shared), "id long, label int, rows double, share double").toArrow().sort_by([("id", "ascending"), ("label", "descending")])
+            self._calibrate(*(np.array(rows.column(c)) for c in ("share", "label", "rows")))
+
+    def _calibrate(self, shares: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        x = np.array([_logit(p) for p in shares.tolist()])
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps of a logistic regression with a slight pull towards (1, 0)
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -178,17 +269,40 @@ class Model:
         if math.isfinite(a) and a > 0:
             self.slope, self.shift = float(a), float(b)
 
-    def score(self, counts: dict[int, int], other: int) -> tuple[float, list[tuple[int, float, float]]]:
-        """Score, and the nearest examples as (doc_id, similarity, share of label 1).  Equal vectors are asked once."""
-        key = (tuple(sorted(counts.items())), other if counts else other > 0)
-        if key not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            share, near, sims = self.votes(*self.weights.vector(counts, other))
-            x = min(30.0, max(-30.0, self.slope * _logit(share) + self.shift))
-            evidence = [(int(self.doc[i]), float(s), float(self.toxic[i] / self.rows[i])) for i, s in zip(near[:5].tolist(), sims[:5].tolist(), strict=True)]
-            self.known[key] = 1 / (1 + math.exp(-x)), evidence
-        return self.known[key]
+    def scorer(self):
+        """A function from texts to scores and evidence (doc_id, similarity, share of label 1), for workers."""
+        shared, slope, shift = self.shared, self.slope, self.shift
+
+        def run(texts: list[bytes]):
+            known: Examples = shared.value
+            out = []
+            for near, sims in known.index.nearest_of(known.vectors(texts), known.k):
+                x = min(30.0, max(-30.0, slope * _logit(known.share(near, sims)) + shift))
+                evidence = [(int(known.doc[i]), float(s), float(known.toxic[i] / known.rows[i])) for i, s in zip(near[:5].tolist(), sims[:5].tolist(), strict=True)]
+                out.append((1 / (1 + math.exp(-x)), evidence))
+            return out
+
+        return run
+
+
+def _own(shared):
+    """Shares of the examples' own texts, without their votes."""
+
+    def run(batches):
+        known: Examples = shared.value
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            queries = [known.index.vector(i) for i in ids]
+            out = []
+            for i, (near, sims) in zip(ids, known.index.nearest_of(queries, known.k), strict=True):
+                for label, n in ((1, known.toxic[i]), (0, known.rows[i] - known.toxic[i])):
+                    if n:
+                        out.append((i, label, float(n), known.share(near, sims, i, label)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            types = (pa.int64(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "label", "rows", "share"])
+
+    return run
 
 
 def _logit(p: float) -> float:
@@ -197,20 +311,11 @@ def _logit(p: float) -> float:
 
 
 def _class_counts(batches):
-    counts: dict[str, list[int]] = {}
-    for batch in (p for b in batches for p in parts(b)):
-        for data, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            for t in {t for word in set(alnum_words(data)) for t in beginnings(word.decode("utf-8", "replace"))}:
-                counts.setdefault(t, [0, 0])[label] += 1
-        if len(counts) > 200_000:
-            yield _counted(counts)
-            counts = {}
-    yield _counted(counts)
-
-
-def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
-    columns = [pa.array([v[k] for v in counts.values()], pa.int64()) for k in range(2)]
-    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *columns], ["term", "k0", "k1"])
+    for batch, texts in _pieces(batches):
+        kinds, text, term, _ = term_counts(texts)
+        label = np.array(batch.column("label"))[text]
+        columns = [kinds.view(np.int64), *(np.bincount(term, label == k, len(kinds)).astype(np.int64) for k in range(2))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["term", "k0", "k1"])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, examples: int, id_col: str, text_col: str) -> DataFrame:
@@ -222,108 +327,113 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, examples: in
     return rows.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("r")).select("r.doc_id", "text", "r.label")
 
 
-def choose_terms(sample: DataFrame, terms: int, least_ratio: float = 15.0) -> list[str]:
-    """Terms that speak most for label 1: by the log-likelihood ratio of how many texts of the two classes hold them."""
-    counts = sample.mapInArrow(_class_counts, "term string, k0 long, k1 long").groupBy("term").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
+def strengths(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of the sample, as sorted hashes, and how strongly each speaks for label 1: the root of the log-likelihood
+    ratio of how many texts of the two classes hold it, 0 if it doesn't."""
+    counts = sample.mapInArrow(_class_counts, "term long, k0 long, k1 long").groupBy("term").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).toArrow()
     n = {r.label: float(r["count"]) for r in sample.groupBy("label").count().collect()}
+    terms = np.array(counts.column("term"), np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    k0, k1 = (np.array(counts.column(c), float)[order] for c in ("k0", "k1"))
     if len(n) < 2:
-        return []
-    k0, k1 = F.col("k0").cast("double"), F.col("k1").cast("double")
-    ratio = _likelihood_ratio(k0, k1, F.lit(n[0]), F.lit(n[1]))
-    top = counts.where(k1 / n[1] > 2 * (k0 + 0.5) / n[0]).select("term", F.round(ratio, 6).alias("g")).where(F.col("g") >= least_ratio)
-    return [r.term for r in top.orderBy(F.desc("g"), "term").limit(terms).collect()]
+        return terms[order], np.zeros(len(terms))
+    ratio = _likelihood_ratio(k0, k1, n[0], n[1])
+    return terms[order], np.where(k1 / n[1] > k0 / n[0], np.sqrt(np.maximum(ratio, 0)), 0)
 
 
-def _likelihood_ratio(k0, k1, n0, n1):
+def _likelihood_ratio(k0: np.ndarray, k1: np.ndarray, n0: float, n1: float) -> np.ndarray:
     """Twice the log-likelihood ratio of two binomials against one."""
     p = (k0 + k1) / (n0 + n1)
-    part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+    part = lambda k, expected: k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9))
     return 2 * (part(k0, p * n0) + part(n0 - k0, (1 - p) * n0) + part(k1, p * n1) + part(n1 - k1, (1 - p) * n1))
 
 
-def _vectors(vocabulary: dict[str, int]):
+def _vectors(shared):
+    def run(batches):
+        for batch, texts in _pieces(batches):
+            out = _per_text(texts, shared.value)
+            columns = [pa.array([x.astype(np.int32).tobytes() for x in c], pa.binary()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], ["doc_id", "label", "terms", "counts"])
+
+    return run
+
+
+def _index(shared, k: int, folder: str):
+    """One task, bounded by the number of examples, makes the index, so that the driver needn't hold it."""
+
     def run(batches):
-        seen: dict[bytes, tuple[int, ...]] = {}
+        rows = []
         for batch in batches:
-            out = [term_counts(data, vocabulary, seen) for data in batch.column("text").to_pylist()]
-            terms = [sorted(c) for c, _ in out]
-            columns = [pa.array(terms, pa.list_(pa.int32())), pa.array([[c[t] for t in k] for (c, _), k in zip(out, terms, strict=True)], pa.list_(pa.int32())), pa.array([r for _, r in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], ["doc_id", "label", "terms", "counts", "rest"])
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "label", "terms", "counts"))
+            rows += [(i, y, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, y, t, c in zip(*columns, strict=True)]
+        made = Examples(*shared.value, rows, k)
+        made.index.store(folder)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["examples"])
 
     return run
 
 
-def _document_frequencies(vocabulary: dict[str, int]):
+def _document_frequencies(shared):
     def run(batches):
-        seen: dict[bytes, tuple[int, ...]] = {}
+        vocabulary = shared.value
         df, n = np.zeros(len(vocabulary), np.int64), 0
-        for batch in (p for b in batches for p in parts(b)):
-            for data in batch.column("text").to_pylist():
-                found = term_counts(data, vocabulary, seen)[0]
-                n += 1
-                if found:
-                    df[list(found)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(len(df)), -1], pa.int32()), pa.array(np.r_[df, n], pa.int64())], ["term", "n"])
+        for _, texts in _pieces(batches):
+            kinds, _, term, _ = term_counts(texts)
+            place = _find(vocabulary, kinds)
+            df[place[place >= 0]] += np.bincount(term, minlength=len(kinds))[place >= 0]
+            n += len(texts)
+        held = np.flatnonzero(df)
+        for at in range(0, len(held), 100_000):
+            some = held[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], ["term", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 20_000, terms: int = 256, k: int = 25, rest: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 20_000, k: int = 25, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled rows whose fold isn't 0, with document frequencies over all of ``docs``."""
+    spark = docs.sparkSession
     sample = training_sample(docs, labels, label, examples, id_col, text_col)
-    vocabulary = choose_terms(sample, terms)
-    number = {t: i for i, t in enumerate(vocabulary)}
-    rows = sample.mapInArrow(_vectors(number), "doc_id long, label int, terms array<int>, counts array<int>, rest long").collect()
-    frequency = id_and_text(docs, id_col, text_col).select("text").mapInArrow(_document_frequencies(number), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(len(vocabulary)), 0
-    for r in frequency:
-        if r.term >= 0:
-            df[r.term] = r.n
-        else:
-            total = r.n
+    vocabulary, strength = strengths(sample)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    rows = sample.mapInArrow(_vectors(shared), "doc_id long, label int, terms binary, counts binary")
+    frequency = id_and_text(docs, id_col, text_col).select("text").mapInArrow(_document_frequencies(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = np.array(frequency.column("term")), np.array(frequency.column("n"))
+    df, total = np.zeros(len(vocabulary)), int(n[term < 0].sum())
+    df[term[term >= 0]] = n[term >= 0]
     idf = np.log((total + 1) / (df + 1)) + 1
-    return Model(vocabulary, idf, [(r.doc_id, r.label, dict(zip(r.terms, r.counts, strict=True)), r.rest) for r in rows], k, rest)
+    unknown = FLOOR * (math.log((total + 1) / 2) + 1)
+    weights = spark.sparkContext.broadcast((vocabulary, idf * (FLOOR + strength), unknown))
+    made = rows.repartition(1).mapInArrow(_index(weights, k, scratch_dir(spark)), "examples binary").first()
+    return Model(spark, pickle.loads(made.examples))
 
 
-def _score(shared):
+def _score(scorer):
     def run(batches):
-        model: Model = shared.value
-        seen: dict[bytes, tuple[int, ...]] = {}
-        for batch in (p for b in batches for p in parts(b)):
-            scores, evidence = [], []
-            for data in batch.column("text").to_pylist():
-                counts, other = term_counts(data, model.terms, seen)
-                s, e = model.score(counts, other)
-                scores.append(s)
-                evidence.append([{"doc_id": i, "similarity": x, "share": y} for i, x, y in e])
+        for batch, texts in _pieces(batches):
+            out = scorer(texts)
+            evidence = [[{"doc_id": i, "similarity": x, "share": y} for i, x, y in e] for _, e in out]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = id_and_text(docs, id_col, text_col).mapInArrow(_score(shared), "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, share: double>>")
+    scored = id_and_text(docs, id_col, text_col).mapInArrow(_score(model.scorer()), "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, share: double>>")
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def _keep(shared, text_col: str, threshold: float):
+def _keep(scorer, text_col: str, threshold: float):
     def run(batches):
-        model: Model = shared.value
-        seen: dict[bytes, tuple[int, ...]] = {}
-        for batch in (p for b in batches for p in parts(b)):
-            keep = []
-            for data in text_bytes(batch.column(text_col)):
-                counts, other = term_counts(data or b"", model.terms, seen)
-                keep.append(model.score(counts, other)[0] < threshold)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch, texts in _pieces(batches, text_col):
+            yield batch.filter(pa.array([s < threshold for s, _ in scorer(texts)], pa.bool_()))
 
     return run
 
 
 def filter_rows(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(shared, text_col, threshold), docs.schema)
+    return docs.mapInArrow(_keep(model.scorer(), text_col, threshold), docs.schema)
