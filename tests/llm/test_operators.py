@@ -365,3 +365,13 @@ def test_toxicity_terms_are_words_and_their_beginnings():
     per_text = [sorted(counts[text == i].tolist()) for i in range(3)]
     # zornig zor| zorn| zorni| zorn (zor| twice) éééé ééé|; nothing; zo zornig zor| zorn| zorni|
     assert per_text == [[1, 1, 1, 1, 1, 1, 2], [], [1, 1, 1, 1, 1]] and len(kinds) == 8
+
+
+def test_toxicity_counts_all_labels_of_equal_texts(spark):
+    """Repeated texts take one place of the bound, and every row's label counts."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "same old words", int(k > 0)) for k, i in enumerate(ids[:30])] + [(i, f"other text {i}", 0) for i in ids[30:40]]
+    docs = spark.createDataFrame([r[:2] for r in rows], SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, examples=11)
+    assert sorted(zip(model.examples.rows.tolist(), model.examples.toxic.tolist())) == [(1, 0)] * 10 + [(30, 29)]

@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact cosine over weighted vectors of all words.
 
-Fitting.  At most ``examples`` labelled training rows (those of smallest id hash; the bound is a parameter) give the
-examples.  A text's terms are all its words and their beginnings of 3 to 6 characters; none is left out and none is
+Fitting.  At most ``examples`` distinct texts of labelled training rows (those of smallest id hash; the bound is a
+parameter) are the examples; all labelled rows of such a text count, each with its own label.  A text's terms are all its words and their beginnings of 3 to 6 characters; none is left out and none is
 lumped with others.  A term weighs (1 + ln of its count) * idf * (``FLOOR`` + strength): idf is taken over all documents,
 strength is the root of the log-likelihood ratio by which the term speaks for label 1 among the examples, 0 if it doesn't.
 So the words that tell the classes apart lead, and all others decide among texts without them.  Words that no example
@@ -40,7 +40,7 @@ CLOSE = 0.02
 #: Weight of a term that doesn't speak for label 1, beside the strengths of those that do.
 FLOOR = 0.1
 #: Terms in the dense part of the index, and texts asked at once.
-HEAD, ASKED = 1536, 64
+HEAD, ASKED = 1024, 64
 #: Beyond rounding in single precision.
 MARGIN = 1e-5
 BLOCK_BYTES = 400_000
@@ -104,27 +104,26 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class CosineIndex:
     """Exact nearest unit vectors.  ``store`` moves its arrays to the shared folder, where workers map them."""
 
-    ARRAYS = {"at": "i8", "term": "i4", "value": "f4", "column": "i4", "begin": "i8", "owner": "i4", "weight": "f4", "dense": "f4"}
+    ARRAYS = {"column": "i4", "begin": "i8", "owner": "i4", "weight": "f4", "dense": "f4"}
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n, self.folder = len(vectors), None
-        self.at = np.cumsum([0, *(len(t) for t, _ in vectors)])
-        self.term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
-        self.value = np.concatenate([np.zeros(0, np.float32), *(v.astype(np.float32) for _, v in vectors)])
-        df = np.bincount(self.term, minlength=n_terms)
+        term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
+        value = np.concatenate([np.zeros(0, np.float32), *(v.astype(np.float32) for _, v in vectors)])
+        df = np.bincount(term, minlength=n_terms)
         head = np.sort(np.argsort(-df, kind="stable")[:HEAD])
         self.column = np.full(n_terms, -1, np.int32)
         self.column[head] = np.arange(len(head))
         df[head] = 0
         self.begin = np.r_[0, np.cumsum(df)]
         self.dense = np.zeros((self.n, len(head)), np.float32)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.at))
-        column = self.column[self.term]
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        column = self.column[term]
         inside = column >= 0
-        self.dense[owner[inside], column[inside]] = self.value[inside]
+        self.dense[owner[inside], column[inside]] = value[inside]
         rest = np.flatnonzero(~inside)
-        rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.owner, self.weight = owner[rest], self.value[rest]
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.owner, self.weight = owner[rest], value[rest]
 
     def store(self, folder: str) -> None:
         for name, kind in self.ARRAYS.items():
@@ -143,9 +142,17 @@ class CosineIndex:
         self.__dict__[name] = np.asarray(array).reshape(self.n, -1) if name == "dense" else np.asarray(array)
         return self.__dict__[name]
 
-    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        part = slice(self.at[i], self.at[i + 1])
-        return self.term[part], self.value[part].astype(float)
+    def vectors(self, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The vectors low to high, put together again."""
+        place = np.flatnonzero((self.owner >= low) & (self.owner < high))
+        row, column = np.nonzero(self.dense[low:high])
+        head = np.flatnonzero(self.column >= 0)
+        owner = np.r_[self.owner[place] - low, row]
+        term = np.r_[np.searchsorted(self.begin, place, "right") - 1, head[column]]
+        value = np.r_[self.weight[place], self.dense[low:high][row, column]].astype(float)
+        order = np.lexsort((term, owner))
+        edges = np.searchsorted(owner[order], np.arange(high - low + 1))
+        return [(term[order[a:b]], value[order[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per query the k most similar examples (fewer if fewer share a term), most similar first, exactly."""
@@ -184,15 +191,15 @@ BlockMaxIndex = CosineIndex
 class Examples:
     """Vocabulary, weights and the index of examples: what workers hold."""
 
-    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, unknown: float, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int):
-        """vocabulary: sorted hashes; unknown: weight of any other term; examples: (doc_id, label, terms, counts)."""
+    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, unknown: float, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]], k: int):
+        """vocabulary: sorted hashes; unknown: weight of any other term; examples: (doc_id, rows, rows of label 1, terms, counts)."""
         self.vocabulary, self.weights, self.unknown, self.k = vocabulary, weights, unknown, k
         merged: dict[bytes, list] = {}
-        for doc, label, terms, counts in sorted(examples, key=lambda e: e[0]):
+        for doc, n, n1, terms, counts in sorted(examples, key=lambda e: e[0]):
             t, v = self.vector(terms, counts)
             entry = merged.setdefault(hashlib.blake2b(t.tobytes() + np.round(v, 6).tobytes(), digest_size=16).digest(), [doc, 0, 0, t, v.astype(np.float32)])
-            entry[1] += 1
-            entry[2] += label
+            entry[1] += n
+            entry[2] += n1
         entries = list(merged.values())
         self.doc = np.array([e[0] for e in entries], np.int64)
         self.rows, self.toxic = np.array([e[1] for e in entries], float), np.array([e[2] for e in entries], float)
@@ -292,7 +299,7 @@ def _own(shared):
         known: Examples = shared.value
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            queries = [known.index.vector(i) for i in ids]
+            queries = known.index.vectors(ids[0], ids[-1] + 1) if ids else []
             out = []
             for i, (near, sims) in zip(ids, known.index.nearest_of(queries, known.k), strict=True):
                 for label, n in ((1, known.toxic[i]), (0, known.rows[i] - known.toxic[i])):
@@ -313,29 +320,31 @@ def _logit(p: float) -> float:
 def _class_counts(batches):
     for batch, texts in _pieces(batches):
         kinds, text, term, _ = term_counts(texts)
-        label = np.array(batch.column("label"))[text]
-        columns = [kinds.view(np.int64), *(np.bincount(term, label == k, len(kinds)).astype(np.int64) for k in range(2))]
+        share = (np.array(batch.column("n1")) / np.array(batch.column("n")))[text]
+        columns = [kinds.view(np.int64), *(np.bincount(term, x, len(kinds)) for x in (1 - share, share))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["term", "k0", "k1"])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, examples: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, label of at most ``examples`` labelled training rows with distinct texts."""
+    """doc_id (the smallest), text, and how many labelled training rows (n) and rows of label 1 (n1) have the text, for at
+    most ``examples`` distinct texts.  Texts meet by their SHA-256; only those picked are read whole."""
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    picked = picked.where(fold() != 0).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    texts = id_and_text(docs, id_col, text_col)
-    rows = texts.join(F.broadcast(picked), "doc_id")
-    return rows.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("r")).select("r.doc_id", "text", "r.label")
+    picked = picked.where(fold() != 0).groupBy("doc_id").agg(F.min("label").alias("label"))
+    texts = id_and_text(docs, id_col, text_col).withColumn("digest", F.sha2("text", 256))
+    rows = texts.select("doc_id", "digest").join(picked, "doc_id").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("label").alias("n"), F.sum("label").cast("long").alias("n1"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    return texts.join(F.broadcast(rows), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "n", "n1")
 
 
 def strengths(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """All terms of the sample, as sorted hashes, and how strongly each speaks for label 1: the root of the log-likelihood
-    ratio of how many texts of the two classes hold it, 0 if it doesn't."""
-    counts = sample.mapInArrow(_class_counts, "term long, k0 long, k1 long").groupBy("term").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).toArrow()
-    n = {r.label: float(r["count"]) for r in sample.groupBy("label").count().collect()}
+    ratio of how many texts of the two classes hold it, 0 if it doesn't.  A text with both labels counts in part for each."""
+    counts = sample.mapInArrow(_class_counts, "term long, k0 double, k1 double").groupBy("term").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).toArrow()
+    n = sample.agg(F.sum(1 - F.col("n1") / F.col("n")), F.sum(F.col("n1") / F.col("n"))).first()
     terms = np.array(counts.column("term"), np.int64).view(np.uint64)
     order = np.argsort(terms)
     k0, k1 = (np.array(counts.column(c), float)[order] for c in ("k0", "k1"))
-    if len(n) < 2:
+    if not n[0] or not n[1]:
         return terms[order], np.zeros(len(terms))
     ratio = _likelihood_ratio(k0, k1, n[0], n[1])
     return terms[order], np.where(k1 / n[1] > k0 / n[0], np.sqrt(np.maximum(ratio, 0)), 0)
@@ -353,7 +362,7 @@ def _vectors(shared):
         for batch, texts in _pieces(batches):
             out = _per_text(texts, shared.value)
             columns = [pa.array([x.astype(np.int32).tobytes() for x in c], pa.binary()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], ["doc_id", "label", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("n1"), *columns], ["doc_id", "n", "n1", "terms", "counts"])
 
     return run
 
@@ -364,8 +373,8 @@ def _index(shared, k: int, folder: str):
     def run(batches):
         rows = []
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "label", "terms", "counts"))
-            rows += [(i, y, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, y, t, c in zip(*columns, strict=True)]
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "n", "n1", "terms", "counts"))
+            rows += [(i, n, n1, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, n, n1, t, c in zip(*columns, strict=True)]
         made = Examples(*shared.value, rows, k)
         made.index.store(folder)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["examples"])
@@ -397,7 +406,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     sample = training_sample(docs, labels, label, examples, id_col, text_col)
     vocabulary, strength = strengths(sample)
     shared = spark.sparkContext.broadcast(vocabulary)
-    rows = sample.mapInArrow(_vectors(shared), "doc_id long, label int, terms binary, counts binary")
+    rows = sample.mapInArrow(_vectors(shared), "doc_id long, n long, n1 long, terms binary, counts binary")
     frequency = id_and_text(docs, id_col, text_col).select("text").mapInArrow(_document_frequencies(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = np.array(frequency.column("term")), np.array(frequency.column("n"))
     df, total = np.zeros(len(vocabulary)), int(n[term < 0].sum())
