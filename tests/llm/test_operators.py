@@ -375,3 +375,11 @@ def test_toxicity_counts_all_labels_of_equal_texts(spark):
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, examples=11)
     assert sorted(zip(model.examples.rows.tolist(), model.examples.toxic.tolist())) == [(1, 0)] * 10 + [(30, 29)]
+
+
+def test_license_scan_finds_templates_longer_than_a_block(spark):
+    rng = random.Random(2)
+    long = " ".join(f"term{i}" for i in range(150))
+    docs = spark.createDataFrame([(1, " ".join([*corpus.words(rng, 70), long, *corpus.words(rng, 90)])), (2, " ".join(corpus.words(rng, 300)))], SCHEMA)
+    got = {r.doc_id: r for r in license_scan.license_scan(docs, templates=(("long", long),)).collect()}
+    assert got[1].labels == "long" and got[1].score == 1 and got[2].labels == ""

@@ -1,6 +1,7 @@
 """Licence scan: an exact set-similarity join of text blocks with templates.
 
-A *block* is ``BLOCK`` consecutive words of a text, blocks start every half block.  A block matches a template when it
+A *block* is ``BLOCK`` consecutive words of a text, or twice the longest template's if that is more; blocks start every
+half block, so every copy of a template lies whole in some block.  A block matches a template when it
 holds at least ``threshold`` of the template's distinct words (containment).  Candidates come from an inverted index of
 the template *prefixes*: with words in global frequency order, rarest first, a template of m words of which ``need`` must
 occur is found through its first m - need + 1 words, since a block with none of them has too few left.  The length
@@ -8,7 +9,7 @@ filter drops blocks with fewer distinct words than needed; the positional filter
 and stops as soon as the words that remain can't make up for those that are missing.
 
 Phrases are templates of threshold 1 whose candidates are then checked for places where the words stand consecutively.
-Half a block is longer than any phrase, so every place lies whole in some block.
+Half a block is as long as any phrase, so every place lies whole in some block.
 
 Templates are a parameter; they are few and their size is checked.  Word frequencies are counted over all documents.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from twinlens.llm.common import alnum_words, id_and_text
 
+#: Words of a block, at least; twice the longest template if that is more.
 BLOCK = 64
 #: Words of all templates together, at most.
 MOST_WORDS = 100_000
@@ -69,15 +71,15 @@ class Template:
         return shared
 
 
-def scan(words: list[bytes], index: dict[bytes, list[Template]], keys: frozenset[bytes]) -> tuple[set[str], list[tuple[int, str]], float, list[tuple[int, str, float]]]:
+def scan(words: list[bytes], index: dict[bytes, list[Template]], keys: frozenset[bytes], size: int = BLOCK) -> tuple[set[str], list[tuple[int, str]], float, list[tuple[int, str, float]]]:
     """Labels of templates, places of phrases, best containment and the blocks that matched a template."""
     labels, places, best, blocks = set(), set(), 0.0, []
     hits = [i for i, w in enumerate(words) if w in keys]
-    half, done = BLOCK // 2, -1
+    half, done = size // 2, -1
     for i in hits:
         for b in range(max(done + 1, i // half - 1, 0), i // half + 1):  # blocks that hold word i and weren't looked at
             done = b
-            part = words[b * half : b * half + BLOCK]
+            part = words[b * half : b * half + size]
             block = set(part)
             for t in {id(t): t for w in keys & block for t in index[w]}.values():
                 if len(block) < t.need or not (shared := t.overlap(block)):
@@ -122,11 +124,12 @@ def _scan(templates: list[Template]):
             for w in t.prefix:
                 index.setdefault(w, []).append(t)
         keys = frozenset(index)
+        size = max(BLOCK, *(2 * len(t.words) for t in templates)) if templates else BLOCK
         for batch in batches:
             out = []
             for i, data in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = alnum_words(data)
-                labels, places, best, blocks = (set(), [], 0.0, []) if keys.isdisjoint(words) else scan(words, index, keys)
+                labels, places, best, blocks = (set(), [], 0.0, []) if keys.isdisjoint(words) else scan(words, index, keys, size)
                 out.append((i, len(words), [{"word": k, "label": x} for k, x in places], sorted(labels), best, [{"word": k, "label": x, "containment": c} for k, x, c in blocks]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             place = pa.struct([("word", pa.int64()), ("label", pa.string())])
@@ -143,8 +146,6 @@ def license_blocks(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresh
     vocabulary = frozenset(w for x in texts for w in alnum_words(x.encode()))
     frequency = word_frequencies(docs, vocabulary, id_col, text_col)
     made = [Template(k, x, 1.0, True, frequency) for k, x in phrases] + [Template(k, x, threshold, False, frequency) for k, x in templates]
-    if any(len(t.words) > BLOCK // 2 for t in made if t.phrase):
-        raise ValueError(f"a phrase may have {BLOCK // 2} words at most")
     schema = "doc_id long, n_words long, places array<struct<word: long, label: string>>, template_labels array<string>, score double, blocks array<struct<word: long, label: string, containment: double>>"
     return id_and_text(docs, id_col, text_col).mapInArrow(_scan([t for t in made if t.order]), schema)
 
