@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import corpus
-from twinlens.llm import bpe, decontamination, kneser_ney, license_scan, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from twinlens.llm import bpe, decontamination, hashing, kneser_ney, license_scan, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 from twinlens.llm.common import ALNUM_WORD, SPACE_WORD, alnum_words, cut_spans
 from twinlens.llm.fm_index import FmIndex, suffix_array
 from twinlens.llm.queries import tokenizer
@@ -181,39 +181,111 @@ def test_substring_dedup(spark, docs, empty, monkeypatch):
 
 def test_rolling_hashes():
     rng = np.random.default_rng(2)
-    w = rng.integers(0, 2**63, 60).astype(np.uint64)
+    w = rng.integers(0, 2**64, 60, dtype=np.uint64)
     for n in (1, 2, 5, 20, 60):
-        got = substring_dedup.rolling(w, n)
-        plain = [sum(int(x) * pow(substring_dedup._WINDOW_BASE, j, 1 << 64) for j, x in enumerate(w[i : i + n])) % (1 << 64) for i in range(61 - n)]
-        assert got.tolist() == substring_dedup._mix(np.array(plain, np.uint64)).tolist()
+        plain = [sum(int(x) * pow(hashing.WINDOW_POINT, j, hashing.PRIME) for j, x in enumerate(w[i : i + n])) % hashing.PRIME for i in range(61 - n)]
+        assert hashing.rolling(w, n).tolist() == hashing.mix(np.array(plain, np.uint64)).tolist()
+        assert len(hashing.checks(w, n)) == 61 - n
 
 
-@pytest.mark.parametrize("family_bytes", [near_dedup.FAMILY_BYTES, 900])
-def test_near_dedup(spark, docs, empty, monkeypatch, family_bytes):
-    monkeypatch.setattr(near_dedup, "FAMILY_BYTES", family_bytes)
-    sets = {}
-    for i, t in ROWS:
-        w = data(t).lower().split()
-        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
-    parent = {i: i for i in sets if i is not None}
+def _thue_morse(doublings):
+    a = b"a"
+    for _ in range(doublings):
+        a += bytes(195 - x for x in a)
+    return a, bytes(195 - x for x in a)
+
+
+def test_words_that_agree_modulo_powers_of_two_differ(spark, monkeypatch):
+    for doublings in (10, 11, 12):
+        a, b = _thue_morse(doublings)
+        x, y = (int(hashing.word_hashes([t])[0][0]) for t in (a, b))
+        total = sum((c + 1) * pow(hashing.WORD_POINT, k, hashing.PRIME) for k, c in enumerate(a)) % hashing.PRIME
+        assert x != y and x == int(hashing.mix(np.array([total], np.uint64))[0])
+        with monkeypatch.context() as m:
+            m.setattr(hashing, "_LONGEST", 700)
+            assert x == int(hashing.word_hashes([a])[0][0])
+    tail = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(k, f"{t.decode()} {tail}") for k, t in enumerate(_thue_morse(11))], SCHEMA)
+    assert [r.n_removed for r in substring_dedup.removal_digests(docs).orderBy("doc_id").collect()] == [0, 0]
+
+
+def _linked(sets):
+    """Smallest id of each id's component, by all pairs."""
+    parent = {i: i for i in sets}
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for a, b in itertools.combinations(sorted(parent), 2):
+    for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
         if both and 100 * both >= 80 * len(sets[a] | sets[b]):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    want = [(i, len(sets[i]), None if i is None else find(i), i is None or find(i) == i) for i, _ in ROWS]
+    return {i: find(i) for i in sets}
+
+
+def _shingles(t, width):
+    w = data(t).lower().split()
+    return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("rounds, task_bytes", [(near_dedup.ROUNDS, near_dedup.TASK_BYTES), (1, 900)])
+def test_near_dedup(spark, docs, empty, monkeypatch, rounds, task_bytes):
+    monkeypatch.setattr(near_dedup, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    sets = {i: _shingles(t, 4) for i, t in ROWS}
+    root = _linked({i: x for i, x in sets.items() if i is not None})
+    want = [(i, len(sets[i]), None if i is None else root[i], i is None or root[i] == i) for i, _ in ROWS]
     assert sum(not r[3] for r in want) >= 10
     assert key(near_dedup.near_duplicates(docs, width=4).collect()) == key(want)
-    if family_bytes > 900:
+    if rounds > 1:
         assert near_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("rounds, task_bytes", [(near_dedup.ROUNDS, near_dedup.TASK_BYTES), (1, 3000)])
+def test_near_dedup_of_clusters_around_the_threshold(spark, monkeypatch, rounds, task_bytes):
+    """Variants of some texts, many just above or below the threshold: recall against all pairs, and no false link."""
+    monkeypatch.setattr(near_dedup, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(12):
+        base = corpus.words(rng, rng.choice([60, 120, 250]))
+        for _ in range(25):
+            copy = list(base)
+            for k in rng.sample(range(len(copy)), rng.randint(0, len(copy) // 16)):
+                copy[k] = "".join(rng.choices("abcdef", k=6))
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    root = _linked({i: _shingles(t, 5) for i, t in rows})
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert sum(got[i] == root[i] for i in root) >= 0.99 * len(root)
+    assert all(root[got[i]] == root[i] for i in root)
+
+
+def test_near_dedup_takes_rows_of_one_id_as_one_node(spark):
+    rng = random.Random(5)
+    a, b, c = (corpus.text(rng, 60) for _ in range(3))
+    rows = [(7, a), (7, b), (5, b + " tail"), (6, a + " tail"), (8, c), (9, c)]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(order, SCHEMA).repartition(3)).collect()}
+        assert got == {5: 5, 6: 5, 7: 5, 8: 8, 9: 8}
+
+
+def test_sketches_agree_where_minhashes_do(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**64, (40, 32), dtype=np.uint64)
+    b = np.where(rng.random((40, 32)) < 0.5, a, a + np.uint64(1))
+    names = near_dedup._lane_names(32)
+    rows = [[tuple(int(x[k]) for x in near_dedup._lanes(m)) for m in (a, b)] for k in range(40)]
+    lanes = ", ".join(f"{n}: long" for n in names)
+    got = spark.createDataFrame(rows, f"u struct<{lanes}>, v struct<{lanes}>").select(near_dedup._agreeing(names, 32).alias("n")).collect()
+    assert [r.n for r in got] == (a == b).sum(1).tolist()
+    assert near_dedup.least_agreeing(32, 0.8) == 13
+
+
 def test_quality_rules(spark, docs, empty):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in ROWS:
@@ -338,9 +410,9 @@ def test_cutting_spans_keeps_the_rest():
 
 def test_words_hash_alike_in_pieces(monkeypatch):
     texts = [data(t) for _, t in ROWS]
-    whole = substring_dedup.word_hashes(texts)
-    monkeypatch.setattr(substring_dedup, "PIECE", 50)
-    for a, b in zip(whole, substring_dedup.word_hashes(texts), strict=True):
+    whole = hashing.word_hashes(texts)
+    monkeypatch.setattr(hashing, "PIECE", 50)
+    for a, b in zip(whole, hashing.word_hashes(texts), strict=True):
         assert a.tolist() == b.tolist()
     assert whole[1].tolist() == np.cumsum([0, *(len(t.split()) for t in texts)]).tolist()
 

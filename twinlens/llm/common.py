@@ -6,11 +6,15 @@ columns (whatever they are called) never reach it.  Text columns may be null; a
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ _WORD_TABLE = bytes(
 )
 
 
+#: Bytes of text that a worker holds as Python objects at a time, unless a single text has more.
+PART_BYTES = 1_000_000
 SPACE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The words of alnum_words in a text that isn't lower-cased: A-Z belong to words too.
 ALNUM_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -77,7 +83,39 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """A batch in slices, so that a worker turns few rows into Python objects at a time."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def parts(batch: pa.RecordBatch, column: str = "text", rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``PART_BYTES`` of text, so that a worker turns little into Python objects at a time."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)) if batch.num_rows else []
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(sizes, before + PART_BYTES, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A task's function that hands unused memory back to the system when it is done: reused workers stay small."""
+    if run.__code__.co_argcount == 1:
+
+        @functools.wraps(run)
+        def outer(batches):
+            yield from run(batches)
+            _trim()
+
+    else:  # of a group, with its key
+
+        @functools.wraps(run)
+        def outer(key, batches):
+            yield from run(key, batches)
+            _trim()
+
+    return outer

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from twinlens.llm.common import buckets_for, drop_path, fold, id_and_text, scratch_dir, written
 from twinlens.llm.shards import SortedShards, save, shard_of
-from twinlens.llm.substring_dedup import _pack, _unpack, word_hashes
+from twinlens.llm.hashing import word_hashes
+from twinlens.llm.substring_dedup import _pack, _unpack
 
 #: Hashes of the marks (fixed values without meaning).
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x1B873593CC9E2D51)

@@ -5,14 +5,14 @@ windows are judged on the input.  Overlapping windows merge into maximal removal
 
 How the rows move:
 
-1. A task hashes its documents' windows (word hashes by a polynomial, window hashes by the rolling sum of word hashes),
-   and keeps the first occurrence of each hash within the task.  Later ones are repeats whatever else the corpus holds:
+1. A task hashes its documents' windows (polynomials of words' bytes, then of words' hashes), and keeps the first occurrence of each hash within the task.  Later ones are repeats whatever else the corpus holds:
    they become intervals at once, so a passage in a third of all documents sends one entry per task.
-2. First occurrences go to buckets by hash, as sorted, compressed arrays of (hash, doc_id, start); the number of buckets
+2. First occurrences go to buckets by hash, as sorted, compressed arrays of (hash, check, doc_id, start); the number of buckets
    follows the input's size.  A bucket counts its hashes and returns every occurrence but the first.
 3. Repeats go on packed, by parts of the documents, are merged there per document and joined to the texts by doc_id.
 
-Hashes have 64 bits and are mixed, so that unequal windows agree with a chance of about n * n / 2 ** 65 over n windows.
+A window is known by 92 bits, polynomials modulo two primes at random points: over n windows unequal ones agree with a
+chance of about n * n / 2 ** 93, whatever the texts hold.
 
 Defined cases: null and empty texts have no words; rows that share a doc_id count as one document, so the same window at
 the same place of them repeats nothing; a row without a doc_id neither loses words nor causes a removal; extra columns
@@ -22,7 +22,6 @@ are ignored; texts of any length are handled whole.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,88 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.common import SPACE_WORD, buckets_for, cut_spans, id_and_text, parts, space_words, text_bytes, with_text, written
+from twinlens.llm.hashing import mix, window_hashes
 
-#: Odd multipliers of the two polynomials (fixed values: digits of the golden ratio and of e).
-_WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
-_WINDOW_BASE = 0xADF85458A2BB4A9B
-_M64 = (1 << 64) - 1
 #: Words after which a task closes a block; bytes of text that make a bucket's share.
 BLOCK_WORDS = 1_000_000
 BUCKET_BYTES = 16_000_000
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads every bit (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-#: Bytes whose words are hashed together: bounds the arrays beside a text of any length.
-PIECE = 1_000_000
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and where each text's words begin (one more entry than texts)."""
-    data = b" ".join(texts)
-    text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    hashes, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    while at < len(data):
-        end = _SPACE.search(data, at + PIECE) if at + PIECE < len(data) else None  # pieces end where a word does
-        end = end.start() if end else len(data)
-        found, begin = _hash_piece(np.frombuffer(data, np.uint8, end - at, at))
-        hashes.append(found)
-        begins.append(begin + at)
-        at = end
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), text_at)
-
-
-def _hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a piece's words and their first bytes' places."""
-    solid = ~_SPACES[data]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    begins = np.flatnonzero(first)
-    if not len(begins):
-        return np.zeros(0, np.uint64), begins
-    letters = data[solid].astype(np.uint64)
-    at = np.flatnonzero(first[solid])
-    lengths = np.diff(np.r_[at, len(letters)])
-    offset = np.arange(len(letters)) - np.repeat(at, lengths)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.r_[np.uint64(1), np.full(int(lengths.max()), _WORD_BASE, np.uint64)], dtype=np.uint64)
-        total = np.add.reduceat((letters + np.uint64(1)) * powers[offset], at)
-        return _mix(total + lengths.astype(np.uint64)), begins
-
-
-def rolling(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each window of ``width`` words: sum of word hash times base ** place, mixed."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total, done, part, size = np.zeros(n, np.uint64), 0, words, 1
-        while True:  # add the windows of 1, 2, 4, ... words that width is made of
-            if width & size:
-                total += part[done : done + n] * np.uint64(pow(_WINDOW_BASE, done, 1 << 64))
-                done += size
-            if 2 * size > width:
-                return _mix(total)
-            part = part[:-size] + part[size:] * np.uint64(pow(_WINDOW_BASE, size, 1 << 64))
-            size *= 2
-
-
-def window_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and first word of every window that lies within one text."""
-    words, at = word_hashes(texts)
-    hashes = rolling(words, width)
-    counts = np.maximum(np.diff(at) - width + 1, 0)
-    text = np.repeat(np.arange(len(texts)), counts)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return hashes[at[text] + start] if len(text) else hashes[:0], text, start
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -134,7 +56,7 @@ def _unpack(data: bytes, n: int, kinds) -> list[np.ndarray]:
     return out
 
 
-_KINDS = (np.uint64, np.int64, np.int32)
+_KINDS = (np.uint64, np.uint32, np.int64, np.int32)
 _ROWS = ["bucket", "part", "n", "data"]
 _SCHEMA = "bucket int, part int, n long, data binary"
 
@@ -145,7 +67,7 @@ def _row(bucket: int, part: int | None, n: int, data: bytes) -> pa.RecordBatch:
 
 def _marks(doc: np.ndarray, start: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows as packed (doc_id, start), a row per part of the documents."""
-    part = (_mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    part = (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((start, doc, part))
     doc, start, part = doc[order], start[order], part[order]
     edges = np.searchsorted(part, np.arange(parts + 1))
@@ -160,11 +82,15 @@ def _hash_blocks(width: int, buckets: int):
 
         def flush():
             order = np.argsort(np.array(ids, np.int64), kind="stable")
-            hashes, text, start = window_hashes([texts[k] for k in order], width)
+            hashes, check, text, start = window_hashes([texts[k] for k in order], width)
             doc = np.array(ids, np.int64)[order][text]
             by = np.argsort(hashes)
             sorted_hashes = hashes[by]
-            begin = np.flatnonzero(np.r_[True, sorted_hashes[1:] != sorted_hashes[:-1]]) if len(by) else np.zeros(0, np.int64)
+            same = sorted_hashes[1:] == sorted_hashes[:-1]
+            if (same & (check[by[1:]] != check[by[:-1]])).any():  # unequal windows of one hash
+                by = np.lexsort((check, hashes))
+                same &= check[by[1:]] == check[by[:-1]]
+            begin = np.flatnonzero(np.r_[True, ~same]) if len(by) else np.zeros(0, np.int64)
             first = np.minimum.reduceat(by, begin) if len(by) else by
             # repeats inside the block: every other occurrence that isn't the same place of the same document
             later = np.ones(len(by), bool)
@@ -178,7 +104,7 @@ def _hash_blocks(width: int, buckets: int):
             edges = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
-                data = _pack(keys[part], doc[first[part]], start[first[part]].astype(np.int32))
+                data = _pack(keys[part], check[first[part]], doc[first[part]], start[first[part]].astype(np.int32))
                 yield _row(int(b), None, len(keys[part]), data)
 
         for batch in batches:
@@ -220,10 +146,10 @@ def _count_bucket(buckets: int):
         at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
         some = np.flatnonzero(repeated[at] == hashes)
         group = at[some]
-        doc, start = np.concatenate([f[1] for f in found])[some], np.concatenate([f[2] for f in found])[some]
-        by = np.lexsort((start, doc, group))
-        group, doc, start = group[by], doc[by], start[by]
-        begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        check, doc, start = (np.concatenate([f[k] for f in found])[some] for k in (1, 2, 3))
+        by = np.lexsort((start, doc, check, group))
+        group, check, doc, start = group[by], check[by], doc[by], start[by]
+        begin = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (check[1:] != check[:-1])])
         leader = np.repeat(begin, np.diff(np.r_[begin, len(group)]))
         later = (doc != doc[leader]) | (start != start[leader])
         yield from _marks(doc[later], start[later], buckets)
@@ -233,7 +159,7 @@ def _count_bucket(buckets: int):
 
 def _gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A part's marks as one row per document."""
-    found = [_unpack(d, n, _KINDS[1:]) for b in batches for n, d in zip(b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True)]
+    found = [_unpack(d, n, _KINDS[2:]) for b in batches for n, d in zip(b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True)]
     doc, start = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
@@ -301,7 +227,7 @@ def removal_digests(docs: DataFrame, **options) -> DataFrame:
 
 def _cut_rows(width: int, text_col: str):
     def run(batches):
-        for batch in (p for b in batches for p in parts(b)):
+        for batch in (p for b in batches for p in parts(b, text_col)):
             texts, keep = text_bytes(batch.column(text_col)), []
             starts = batch.column(_STARTS).to_pylist()
             for k, (data, found) in enumerate(zip(texts, starts, strict=True)):

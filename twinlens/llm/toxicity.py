@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from twinlens.llm.common import _WORD_TABLE, fold, id_and_text, scratch_dir, text_bytes
 from twinlens.llm.shards import load, save
-from twinlens.llm.substring_dedup import _WORD_BASE, _mix
+from twinlens.llm.hashing import mix as _mix
+_WORD_BASE=np.uint64(0x9E3779B97F4A7C15)
 
 #: Similarities within this of each other count as equal votes.
 CLOSE = 0.02
