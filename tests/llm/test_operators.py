@@ -370,22 +370,26 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.score(docs, blank).collect()} == {0.5}
 
 
-def test_block_max_index_is_exact():
+def test_block_max_index_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "HEAD", 8)
     rng = np.random.default_rng(6)
     vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(40, rng.integers(1, 7), replace=False))
-        v = rng.random(len(t))
+    for _ in range(700):
+        t = np.sort(rng.choice(60, rng.integers(1, 7), replace=False, p=np.arange(60, 0, -1) / 1830))
+        v = rng.random(len(t)) ** 3 + 0.01
         vectors.append((t, v / np.linalg.norm(v)))
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    dense = np.zeros((500, 40))
+    index = toxicity.BlockMaxIndex(vectors, 60)
+    dense = np.zeros((700, 60))
     for i, (t, v) in enumerate(vectors):
         dense[i, t] = v
-    for i in range(60):
-        t, v = vectors[i]
-        near, sims = index.nearest(t, v, 10)
-        exact = dense[:, t] @ v
-        assert sims.tolist() == pytest.approx(np.sort(exact)[::-1][:10].tolist()) and exact[near].tolist() == pytest.approx(sims.tolist())
+    for k in (1, 10, 90):
+        for i, (near, sims) in enumerate(index.nearest_of(vectors[:80], k)):
+            exact = dense @ dense[i]
+            want = np.sort(exact[exact > 0])[::-1][:k]
+            assert sims == pytest.approx(want, abs=1e-6) and exact[near] == pytest.approx(sims, abs=1e-6)
+    back = index.vectors(100, 140)
+    for (t, v), (x, y) in zip(vectors[100:140], back, strict=True):
+        assert x.tolist() == t.tolist() and y == pytest.approx(v, abs=1e-6)
 
 
 def test_quality_classifier(spark, docs, empty):
@@ -431,12 +435,63 @@ def test_toxicity_counts_every_word_of_rare_groups(spark):
     assert {e.doc_id for e in got[5000].evidence[:2]} == set(train) and got[5000].score > 2 * got[5001].score
 
 
-def test_toxicity_terms_are_words_and_their_beginnings():
-    texts = [b"Zornig zorn, \xc3\xa9\xc3\xa9\xc3\xa9\xc3\xa9!", b"", b"zo zornig"]
-    kinds, text, term, counts = toxicity.term_counts(texts)
-    per_text = [sorted(counts[text == i].tolist()) for i in range(3)]
-    # zornig zor| zorn| zorni| zorn (zor| twice) éééé ééé|; nothing; zo zornig zor| zorn| zorni|
-    assert per_text == [[1, 1, 1, 1, 1, 1, 2], [], [1, 1, 1, 1, 1]] and len(kinds) == 8
+def test_toxicity_scores_match_dense_cosine(spark):
+    """Every score against a plain second implementation: dense vectors, all similarities, votes, calibration's inputs."""
+    rows = _toxic_corpus(seed=21, n=250)
+    asked = [(8000, None), (8001, "nothing known here"), (8002, rows[3][1] * 40), (8003, rows[16][1]), (8003, rows[16][1])]
+    docs = spark.createDataFrame([*(r[:2] for r in rows), *asked], SCHEMA)
+    docs = docs.select("*", *(F.lit(1).alias(c) for c in ("label", "digest", "n", "kind", "size", "term"))).repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    words = lambda t: Counter(alnum_words(data(t)))
+    everyone = [words(t) for _, t in [*(r[:2] for r in rows), *asked]]
+    df = Counter(w for c in everyone for w in c)
+    by_text = defaultdict(list)
+    for i, t, y in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            by_text[t].append((i, y))
+    examples = sorted((min(x)[0], len(x), sum(y for _, y in x), words(t)) for t, x in by_text.items())
+    held, bad = Counter(), Counter()
+    for _, n, n1, c in examples:
+        for w in c:
+            held[w] += 1 - n1 / n
+            bad[w] += n1 / n
+    n1 = sum(e[2] / e[1] for e in examples)
+    n0 = len(examples) - n1
+
+    def part(k, expected):
+        return k * math.log(max(k, 1e-9) / max(expected, 1e-9))
+
+    weight = {}
+    for w in {w for e in examples for w in e[3]}:
+        p = (held[w] + bad[w]) / (n0 + n1)
+        ratio = 2 * (part(held[w], p * n0) + part(n0 - held[w], (1 - p) * n0) + part(bad[w], p * n1) + part(n1 - bad[w], (1 - p) * n1))
+        strength = math.sqrt(max(ratio, 0)) if bad[w] / n1 > held[w] / n0 else 0
+        weight[w] = (math.log((len(everyone) + 1) / (df[w] + 1)) + 1) * (1 + strength)
+    unknown = math.log((len(everyone) + 1) / 2) + 1
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * weight.get(w, unknown) for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = [vector(e[3]) for e in examples]
+    base = (sum(e[2] for e in examples) + 0.5) / (sum(e[1] for e in examples) + 1)
+
+    def score(t):
+        q = vector(words(t))
+        sims = sorted(((-sum(x * v.get(w, 0) for w, x in q.items()), k) for k, v in enumerate(vectors)))[:25]
+        votes = [(math.sqrt(examples[k][1]) / (1 + s + toxicity.CLOSE), examples[k][2] / examples[k][1]) for s, k in sims if s < 0]
+        prior = 0.1 / toxicity.CLOSE
+        share = (sum(w * y for w, y in votes) + prior * base) / (sum(w for w, _ in votes) + prior)
+        return 1 / (1 + math.exp(-(model.slope * toxicity._logit(share) + model.shift)))
+
+    got = defaultdict(list)
+    for r in toxicity.score(docs, model).collect():
+        got[r.doc_id].append(r.score)
+    assert len(got[8003]) == 2
+    for i, t in [*(r[:2] for r in rows), *asked]:
+        assert got[i].pop() == pytest.approx(score(t), abs=2e-4), i
 
 
 def test_toxicity_counts_all_labels_of_equal_texts(spark):
@@ -447,6 +502,8 @@ def test_toxicity_counts_all_labels_of_equal_texts(spark):
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, examples=11)
     assert sorted(zip(model.examples.rows.tolist(), model.examples.toxic.tolist())) == [(1, 0)] * 10 + [(30, 29)]
+    model = toxicity.fit(docs, labels, examples=5)
+    assert sorted(zip(model.examples.rows.tolist(), model.examples.toxic.tolist(), model.examples.stands.tolist())) == [(1, 0, 2.5)] * 4 + [(30, 29, 1)]
 
 
 def test_license_scan_finds_templates_longer_than_a_block(spark):

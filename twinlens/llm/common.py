@@ -83,13 +83,13 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def parts(batch: pa.RecordBatch, column: str = "text", rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about ``PART_BYTES`` of text, so that a worker turns little into Python objects at a time."""
+def parts(batch: pa.RecordBatch, column: str = "text", rows: int = 2000, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so much text (or one row), so that a worker turns little into Python objects at a time."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)) if batch.num_rows else []
     at = 0
     while at < batch.num_rows:
         before = int(sizes[at - 1]) if at else 0
-        end = min(at + rows, max(at + 1, int(np.searchsorted(sizes, before + PART_BYTES, "right"))))
+        end = min(at + rows, max(at + 1, int(np.searchsorted(sizes, before + most, "right"))))
         yield batch.slice(at, end - at)
         at = end
 

@@ -1,91 +1,62 @@
-"""Toxicity by nearest labelled examples: exact cosine over weighted vectors of all words.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all words, block-max inverted lists.
 
-Fitting.  At most ``examples`` distinct texts of labelled training rows (those of smallest id hash; the bound is a
-parameter) are the examples; all labelled rows of such a text count, each with its own label.  A text's terms are all its words and their beginnings of 3 to 6 characters; none is left out and none is
-lumped with others.  A term weighs (1 + ln of its count) * idf * (``FLOOR`` + strength): idf is taken over all documents,
-strength is the root of the log-likelihood ratio by which the term speaks for label 1 among the examples, 0 if it doesn't.
-So the words that tell the classes apart lead, and all others decide among texts without them.  Words that no example
-holds count in a text's length, as words of one document.
+Examples.  Labelled training rows (fold not 0) of equal text are one example with all their labels.  At most ``examples``
+of them are fitted, half of each class if both have as many, those of smallest id hash, and at most ``example_bytes`` of
+text; both bounds are parameters.  A class that was cut down counts in full where the score is calibrated.
 
-Index.  Vectors of distinct examples, each with how many rows it stands for and how many of them have label 1.  Terms that
-most examples hold are columns of a dense matrix, all others have inverted lists; sums in single precision choose
-candidates with a margin, which are summed again in double precision: the k nearest are exact.  A term is its 64-bit hash.
+Vectors.  A text's terms are all its words (A-Z lower-cased), none chosen and none left out.  A term weighs
+(1 + ln of its count) * idf * (1 + strength): idf is taken over all documents, strength is the root of the log-likelihood
+ratio by which the word speaks for label 1 among the examples, 0 if it doesn't.  Words that no example holds count in a
+text's length, as words of one document.  Vectors have length 1.
 
-Score.  Votes of the k nearest weigh rows * 1 / (distance + a little); their share of label 1, shrunk towards the base
-rate, is calibrated by a logistic curve fitted on the examples themselves, each without its own vote.
+Index.  Examples are ordered by their heaviest word, so that alike ones lie together, and cut into blocks of ``BLOCK``.
+A query sums the inverted lists of its rarer words; for the ``HEAD`` most frequent ones, whose lists are as long as a
+column, it takes each block's largest weights.  Both give a bound for every block.  The blocks of highest bound are summed
+up first; a block whose bound stays below the k-th best is skipped, all others are summed, in single precision.  Sums within
+rounding of the k-th best are made again in double precision.  So the k nearest are exact.
+
+Score.  Votes of the k nearest weigh 1 / (distance + a little), more for texts that several rows have; their share of
+label 1, shrunk towards the base rate, is calibrated by a logistic curve fitted on the examples, each without its own vote.
 
 Defined cases: null and empty texts have an empty vector, which is like no example, and score the calibrated base rate;
-ties in similarity are ordered by example; repeated rows each give a row; without examples, or with one class only, the
-score is the base rate (0.5 without labels); extra columns are ignored.
+ties in similarity are ordered by example; repeated rows each give a row; texts of any length are taken whole; without
+documents there is no row, without examples or with one class only the score is the base rate (0.5 without labels);
+labels that aren't 0 or 1, and rows without a doc_id, teach nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import _WORD_TABLE, fold, id_and_text, scratch_dir, text_bytes
-from twinlens.llm.shards import load, save
-from twinlens.llm.hashing import mix as _mix
-_WORD_BASE=np.uint64(0x9E3779B97F4A7C15)
+from twinlens.llm.common import _WORD_TABLE, fold, id_and_text, parts, text_bytes, tidy
+from twinlens.llm.hashing import word_hashes
 
 #: Similarities within this of each other count as equal votes.
 CLOSE = 0.02
-#: Weight of a term that doesn't speak for label 1, beside the strengths of those that do.
-FLOOR = 0.1
-#: Terms in the dense part of the index, and texts asked at once.
-HEAD, ASKED = 1024, 64
+#: Examples of a block; most frequent words, whose weights stand in columns; texts asked at once.
+BLOCK, HEAD, ASKED = 32, 256, 64
+#: Blocks that are summed up first.
+FIRST = 4
 #: Beyond rounding in single precision.
 MARGIN = 1e-5
-BLOCK_BYTES = 400_000
-_BEGINNING = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that are made into vectors together.
+PIECE_BYTES = 400_000
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms of some texts as sorted hashes; and each text's terms: text, place among the hashes, count."""
-    data = np.frombuffer(b" ".join(t.translate(_WORD_TABLE) for t in texts), np.uint8)
-    solid = data != 32
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    begins = np.flatnonzero(first)
-    if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begins, "right")
-    letters = data[solid]
-    start = np.flatnonzero(first[solid])
-    lengths = np.diff(np.r_[start, len(letters)])
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(lengths.max()), _WORD_BASE, np.uint64)], dtype=np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(letters)) - np.repeat(start, lengths)], dtype=np.uint64)]
-    hashed = lambda low, high: _mix(sums[high] - sums[low] + (high - low).astype(np.uint64))
-    words, one, word = np.unique(hashed(start, start + lengths), return_index=True, return_inverse=True)
-    # beginnings of distinct words, by characters
-    characters = np.flatnonzero((letters & 0xC0) != 0x80)
-    low, high = start[one], start[one] + lengths[one]
-    at = np.searchsorted(characters, low)
-    n = np.searchsorted(characters, high) - at
-    owners, terms = [np.arange(len(words))], [words]
-    for k in range(3, 7):
-        longer = np.flatnonzero(n > k)
-        owners.append(longer)
-        terms.append(_mix(hashed(low[longer], characters[at[longer] + k]) ^ _BEGINNING))
-    kinds, term = np.unique(np.concatenate(terms), return_inverse=True)
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    term, of = term[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
-    # words of texts, then their terms
-    pairs, counts = np.unique(text * len(words) + word, return_counts=True)
-    text, word = np.divmod(pairs, len(words))
-    place, size = _ranges(of[word], of[word + 1])
-    keys, back = np.unique(np.repeat(text, size) * len(kinds) + term[place], return_inverse=True)
-    text, term = np.divmod(keys, len(kinds))
-    return kinds, text, term, np.bincount(back, np.repeat(counts, size)).astype(np.int64)
+    """Distinct words of some texts as sorted hashes; and each text's words: text, place among the hashes, count."""
+    words, at = word_hashes([t.translate(_WORD_TABLE) for t in texts])
+    kinds, word = np.unique(words, return_inverse=True)
+    text = np.repeat(np.arange(len(texts)), np.diff(at))
+    keys, counts = np.unique(text * max(1, len(kinds)) + word, return_counts=True)
+    text, word = np.divmod(keys, max(1, len(kinds)))
+    return kinds, text, word, counts
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,119 +73,121 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-class CosineIndex:
-    """Exact nearest unit vectors.  ``store`` moves its arrays to the shared folder, where workers map them."""
-
-    ARRAYS = {"column": "i4", "begin": "i8", "owner": "i4", "weight": "f4", "dense": "f4"}
+class BlockMaxIndex:
+    """Exact nearest of unit vectors, given as (terms, weights)."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n, self.folder = len(vectors), None
-        term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
+        self.n = len(vectors)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
         value = np.concatenate([np.zeros(0, np.float32), *(v.astype(np.float32) for _, v in vectors)])
         df = np.bincount(term, minlength=n_terms)
         head = np.sort(np.argsort(-df, kind="stable")[:HEAD])
-        self.column = np.full(n_terms, -1, np.int32)
+        self.column = np.full(n_terms, -1, np.int16)
         self.column[head] = np.arange(len(head))
-        df[head] = 0
-        self.begin = np.r_[0, np.cumsum(df)]
-        self.dense = np.zeros((self.n, len(head)), np.float32)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        #: Which vector stands in each row, and its row.
+        self.vector = np.array(sorted(range(self.n), key=lambda i: int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1), np.int64)
+        self.row = np.argsort(self.vector)
+        owner = self.row[np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])] if self.n else np.zeros(0, np.int64)
         column = self.column[term]
         inside = column >= 0
+        self.blocks = -(-self.n // BLOCK)
+        self.dense = np.zeros((self.blocks * BLOCK, len(head)), np.float32)
         self.dense[owner[inside], column[inside]] = value[inside]
+        self.most = self.dense.reshape(self.blocks, BLOCK, len(head)).max(1)
         rest = np.flatnonzero(~inside)
-        rest = rest[np.argsort(term[rest], kind="stable")]
-        self.owner, self.weight = owner[rest], value[rest]
-
-    def store(self, folder: str) -> None:
-        for name, kind in self.ARRAYS.items():
-            if self.__dict__[name].size:  # an empty file can't be mapped
-                save(folder, name, self.__dict__.pop(name).astype(kind, copy=False))
-        self.folder = folder
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not (self.folder and k in self.ARRAYS and v.size)}
-
-    def __getattr__(self, name: str):
-        """A stored array, mapped when it is first asked."""
-        if name not in self.ARRAYS or not self.__dict__.get("folder"):
-            raise AttributeError(name)
-        array = load(self.folder, name, self.ARRAYS[name])
-        self.__dict__[name] = np.asarray(array).reshape(self.n, -1) if name == "dense" else np.asarray(array)
-        return self.__dict__[name]
-
-    def vectors(self, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The vectors low to high, put together again."""
-        place = np.flatnonzero((self.owner >= low) & (self.owner < high))
-        row, column = np.nonzero(self.dense[low:high])
-        head = np.flatnonzero(self.column >= 0)
-        owner = np.r_[self.owner[place] - low, row]
-        term = np.r_[np.searchsorted(self.begin, place, "right") - 1, head[column]]
-        value = np.r_[self.weight[place], self.dense[low:high][row, column]].astype(float)
-        order = np.lexsort((term, owner))
-        edges = np.searchsorted(owner[order], np.arange(high - low + 1))
-        return [(term[order[a:b]], value[order[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        rest = rest[np.lexsort((owner[rest], term[rest]))]
+        df[head] = 0
+        self.begin = np.r_[0, np.cumsum(df)].astype(np.int32)
+        self.owner, self.weight = owner[rest].astype(np.int32), value[rest]
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per query the k most similar examples (fewer if fewer share a term), most similar first, exactly."""
+        """Per query the k most similar vectors (fewer if fewer share a term) and similarities, most similar first."""
         if not self.n:
             yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in queries)
             return
         for low in range(0, len(queries), ASKED):
-            some = queries[low : low + ASKED]
-            wide = np.zeros((len(some), self.dense.shape[1]))
-            for i, (t, v) in enumerate(some):
-                column = self.column[t]
-                wide[i, column[column >= 0]] = v[column >= 0]
-            for (t, v), row, sums in zip(some, wide, wide.astype(np.float32) @ self.dense.T, strict=True):
-                listed = self.column[t] < 0
-                t, v = t[listed], v[listed]
-                place, size = _ranges(self.begin[t], self.begin[t + 1])
-                lists = np.bincount(self.owner[place], self.weight[place] * np.repeat(v, size), self.n)
-                yield self._exact(row, lists, sums + lists, k)
-
-    def _exact(self, row: np.ndarray, lists: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best by double precision sums of those whose single precision sums come near."""
-        least = np.partition(sums, self.n - k)[self.n - k] - MARGIN if self.n > k else 0
-        best = np.flatnonzero((sums >= least) & (sums > 0))
-        sims = self.dense[best].astype(float) @ row + lists[best]
-        order = np.lexsort((best, -np.round(sims, 12)))[:k]
-        return best[order], sims[order]
+            yield from self._asked(queries[low : low + ASKED], k)
+
+    def _asked(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, rows = len(queries), len(self.dense)
+        wide = np.zeros((n, self.dense.shape[1]))
+        places, values = [], []
+        for i, (t, v) in enumerate(queries):
+            column = self.column[t]
+            wide[i, column[column >= 0]] = v[column >= 0]
+            listed = column < 0
+            place, size = _ranges(self.begin[t[listed]], self.begin[t[listed] + 1])
+            places.append(place)
+            values.append(np.repeat(v[listed], size))
+        place, of = np.concatenate(places), np.repeat(np.arange(n) * rows, [len(x) for x in places])
+        lists = np.bincount(of + self.owner[place], self.weight[place] * np.concatenate(values), n * rows).astype(float, copy=False).reshape(n, self.blocks, BLOCK)
+        single, dense = wide.astype(np.float32), self.dense.reshape(self.blocks, BLOCK, self.dense.shape[1])
+        bounds = lists.max(2) + single @ self.most.T
+        sums, done = lists.copy(), np.zeros((n, self.blocks), bool)
+        first = min(self.blocks, max(FIRST, -(-k // BLOCK) + 1))
+        best = np.argpartition(-bounds, first - 1, axis=1)[:, :first]
+        least = np.empty(n)
+        for i, some in enumerate(best):
+            sums[i, some] += dense[some] @ single[i]
+            least[i] = np.partition(sums[i, some], first * BLOCK - k, axis=None)[first * BLOCK - k]
+            done[i, some] = True
+        live = (bounds >= least[:, None] - MARGIN) & ~done
+        for b in np.flatnonzero(live.any(0)).tolist():
+            some = np.flatnonzero(live[:, b])
+            sums[some, b] += single[some] @ dense[b].T
+        sums[~(done | live)] = 0
+        sums = sums.reshape(n, rows)
+        least = np.maximum(np.partition(sums, rows - k, axis=1)[:, rows - k] - MARGIN, 0) if rows > k else np.zeros(n)
+        for i in range(n):
+            near = np.flatnonzero((sums[i] >= least[i]) & (sums[i] > 0))
+            yield self._best(near, lists[i].ravel()[near] + self.dense[near].astype(float) @ wide[i], k)
+
+    def _best(self, rows: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best, by sums in double precision."""
+        found, sims = self.vector[rows], np.round(sums, 12)
+        order = np.lexsort((found, -sims))[:k]
+        return found[order], sims[order]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return next(self.nearest_of([(terms, values)], k))
 
-
-#: The index's earlier name.
-BlockMaxIndex = CosineIndex
+    def vectors(self, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Vectors low to high, put together again."""
+        out, head = [], np.flatnonzero(self.column >= 0)
+        wanted = np.full(len(self.dense), -1)
+        wanted[self.row[low:high]] = np.arange(high - low)
+        place = np.flatnonzero(wanted[self.owner] >= 0)
+        of, term = wanted[self.owner[place]], np.searchsorted(self.begin, place, "right") - 1
+        for i in range(high - low):
+            mine = of == i
+            dense = self.dense[self.row[low + i]]
+            t = np.r_[term[mine], head[dense > 0]]
+            order = np.argsort(t)
+            out.append((t[order], np.r_[self.weight[place[mine]], dense[dense > 0]].astype(float)[order]))
+        return out
 
 
 class Examples:
     """Vocabulary, weights and the index of examples: what workers hold."""
 
-    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, unknown: float, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]], k: int):
-        """vocabulary: sorted hashes; unknown: weight of any other term; examples: (doc_id, rows, rows of label 1, terms, counts)."""
-        self.vocabulary, self.weights, self.unknown, self.k = vocabulary, weights, unknown, k
-        merged: dict[bytes, list] = {}
-        for doc, n, n1, terms, counts in sorted(examples, key=lambda e: e[0]):
-            t, v = self.vector(terms, counts)
-            entry = merged.setdefault(hashlib.blake2b(t.tobytes() + np.round(v, 6).tobytes(), digest_size=16).digest(), [doc, 0, 0, t, v.astype(np.float32)])
-            entry[1] += n
-            entry[2] += n1
-        entries = list(merged.values())
-        self.doc = np.array([e[0] for e in entries], np.int64)
-        self.rows, self.toxic = np.array([e[1] for e in entries], float), np.array([e[2] for e in entries], float)
-        self.index = CosineIndex([(e[3], e[4]) for e in entries], len(vocabulary))
-        total = self.rows.sum()
-        self.base = float((self.toxic.sum() + 0.5) / (total + 1)) if total else 0.5
+    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, unknown: float, examples: list[tuple], k: int):
+        """vocabulary: sorted hashes; unknown: weight of any other word; examples: (doc_id, rows, rows of label 1, rows of
+        the corpus that each row stands for, places in the vocabulary, counts)."""
+        self.vocabulary, self.weights, self.unknown, self.k = vocabulary, weights.astype(np.float32), unknown, k
+        examples = sorted(examples, key=lambda e: e[0])
+        self.doc = np.array([e[0] for e in examples], np.int64)
+        self.rows, self.toxic, self.stands = (np.array([e[c] for e in examples], float) for c in (1, 2, 3))
+        self.index = BlockMaxIndex([self.vector(e[4], e[5]) for e in examples], len(vocabulary))
+        total = (self.rows * self.stands).sum()
+        self.base = float(((self.toxic * self.stands).sum() + 0.5) / (total + 1)) if total else 0.5
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector over the vocabulary; terms outside (-1) only take their share of the length."""
+        """Unit vector over the vocabulary; words outside (-1) only take their share of the length."""
         known = terms >= 0
         tf = 1 + np.log(counts)
         values = tf[known] * self.weights[terms[known]]
         norm = math.sqrt(float(values @ values) + self.unknown**2 * float(tf[~known] @ tf[~known]))
-        return terms[known].astype(np.int32), values / norm if norm else values
+        return terms[known], values / norm if norm else values
 
     def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         return [self.vector(t, c) for t, c in _per_text(texts, self.vocabulary)]
@@ -225,30 +198,24 @@ class Examples:
         if without >= 0:
             own = near == without
             rows, toxic = rows - own, toxic - own * label
-        # rows of one vector count less than as many different ones
+        # rows of one text count less than as many different ones
         weight = np.sqrt(np.maximum(rows, 0)) / (1 - sims + CLOSE)
         share = np.divide(toxic, rows, out=np.zeros(len(rows)), where=rows > 0)
-        prior = 0.5 / CLOSE
-        return float(((weight * share).sum() + prior * 0.2 * self.base) / (weight.sum() + prior * 0.2))
+        prior = 0.1 / CLOSE
+        return float(((weight * share).sum() + prior * self.base) / (weight.sum() + prior))
 
 
 def _per_text(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's terms, as sorted places in the vocabulary (-1: not in it), and their counts."""
-    kinds, text, term, counts = term_counts(texts)
-    place, edges = _find(vocabulary, kinds)[term], np.searchsorted(text, np.arange(len(texts) + 1))
+    """Each text's words, as places in the vocabulary (-1: not in it), and their counts."""
+    kinds, text, word, counts = term_counts(texts)
+    place, edges = _find(vocabulary, kinds)[word], np.searchsorted(text, np.arange(len(texts) + 1))
     return [(place[a:b], counts[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def _pieces(batches, text_col: str = "text"):
-    """Batches in slices of about BLOCK_BYTES of text, and their texts."""
-    for batch in batches:
-        texts = [t or b"" for t in text_bytes(batch.column(text_col))]
-        low = size = 0
-        for i, t in enumerate(texts):
-            size += len(t) + 100
-            if size >= BLOCK_BYTES or i == len(texts) - 1:
-                yield batch.slice(low, i + 1 - low), texts[low : i + 1]
-                low, size = i + 1, 0
+    """Batches in slices of about PIECE_BYTES of text, and their texts."""
+    for batch in (p for b in batches for p in parts(b, text_col, most=PIECE_BYTES)):
+        yield batch, [t or b"" for t in text_bytes(batch.column(text_col))]
 
 
 class Model:
@@ -262,6 +229,10 @@ class Model:
             rows = spark.range(0, n, 1, -(-n // 500)).mapInArrow(_own(self.shared), "id long, label int, rows double, share double").toArrow().sort_by([("id", "ascending"), ("label", "descending")])
             self._calibrate(*(np.array(rows.column(c)) for c in ("share", "label", "rows")))
 
+    def close(self) -> None:
+        """Workers may forget the examples."""
+        self.shared.unpersist()
+
     def _calibrate(self, shares: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         x = np.array([_logit(p) for p in shares.tolist()])
         a, b = 1.0, 0.0
@@ -305,12 +276,12 @@ def _own(shared):
             for i, (near, sims) in zip(ids, known.index.nearest_of(queries, known.k), strict=True):
                 for label, n in ((1, known.toxic[i]), (0, known.rows[i] - known.toxic[i])):
                     if n:
-                        out.append((i, label, float(n), known.share(near, sims, i, label)))
+                        out.append((i, label, float(n * known.stands[i]), known.share(near, sims, i, label)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             types = (pa.int64(), pa.int32(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "label", "rows", "share"])
 
-    return run
+    return tidy(run)
 
 
 def _logit(p: float) -> float:
@@ -318,37 +289,52 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _class_counts(batches):
-    for batch, texts in _pieces(batches):
-        kinds, text, term, _ = term_counts(texts)
-        share = (np.array(batch.column("n1")) / np.array(batch.column("n")))[text]
-        columns = [kinds.view(np.int64), *(np.bincount(term, x, len(kinds)) for x in (1 - share, share))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["term", "k0", "k1"])
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, examples: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (the smallest), text, and how many labelled training rows (n) and rows of label 1 (n1) have the text, for at
-    most ``examples`` distinct texts.  Texts meet by their SHA-256; only those picked are read whole."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, examples: int, example_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (the smallest), text, how many labelled training rows (n) and rows of label 1 (n1) have the text, and how many
+    rows each of them stands for, for a bounded number of distinct texts.  Texts meet by their SHA-256; only those picked
+    are read whole."""
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     picked = picked.where(fold() != 0).groupBy("doc_id").agg(F.min("label").alias("label"))
     texts = id_and_text(docs, id_col, text_col).withColumn("digest", F.sha2("text", 256))
-    rows = texts.select("doc_id", "digest").join(picked, "doc_id").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("label").alias("n"), F.sum("label").cast("long").alias("n1"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    return texts.join(F.broadcast(rows), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "n", "n1")
-
-
-def strengths(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All terms of the sample, as sorted hashes, and how strongly each speaks for label 1: the root of the log-likelihood
-    ratio of how many texts of the two classes hold it, 0 if it doesn't.  A text with both labels counts in part for each."""
-    counts = sample.mapInArrow(_class_counts, "term long, k0 double, k1 double").groupBy("term").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).toArrow()
-    n = sample.agg(F.sum(1 - F.col("n1") / F.col("n")), F.sum(F.col("n1") / F.col("n"))).first()
-    terms = np.array(counts.column("term"), np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    k0, k1 = (np.array(counts.column(c), float)[order] for c in ("k0", "k1"))
-    if not n[0] or not n[1]:
-        return terms[order], np.zeros(len(terms))
-    ratio = _likelihood_ratio(k0, k1, n[0], n[1])
-    return terms[order], np.where(k1 / n[1] > k0 / n[0], np.sqrt(np.maximum(ratio, 0)), 0)
+    rows = texts.select("doc_id", "digest", F.length("text").alias("size")).join(picked, "doc_id").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("label").alias("n"), F.sum("label").cast("long").alias("n1"), F.max("size").alias("size"))
+    rows = rows.withColumn("kind", F.col("n1") * 2 >= F.col("n"))
+    of_kind = {r.kind: r for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).collect()}
+    least = min((r.texts for r in of_kind.values()), default=0) if len(of_kind) > 1 else 0
+    most = {k: max(examples // 2, examples - least) if r.texts > examples // 2 else r.texts for k, r in of_kind.items()}
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    kept = None
+    for kind, r in of_kind.items():
+        some = rows.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[kind])
+        some = some.withColumn("before", F.sum("size").over(order)).where((F.col("before") <= example_bytes // 2) | (F.col("before") == F.col("size")))
+        some = some.withColumn("stands", F.lit(float(r.rows)) / F.sum("n").over(Window.partitionBy("kind")))
+        kept = some if kept is None else kept.union(some)
+    if kept is None:
+        kept = rows.withColumn("stands", F.lit(1.0)).limit(0)
+    kept = F.broadcast(kept.select("doc_id", "digest", "n", "n1", "stands"))
+    return texts.join(kept, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "n", "n1", "stands")
+
+
+def _vectors(batches):
+    """Each example's words and counts."""
+    for batch, texts in _pieces(batches):
+        kinds, text, word, counts = term_counts(texts)
+        edges = np.searchsorted(text, np.arange(len(texts) + 1))
+        words = [kinds[word[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        sizes = [counts[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "n1", "stands")), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "n", "n1", "stands", "words", "counts"])
+
+
+def strengths(rows: list[tuple], vocabulary: np.ndarray) -> np.ndarray:
+    """How strongly each word speaks for label 1: the root of the log-likelihood ratio of how many examples of the two
+    classes hold it, 0 if it doesn't.  An example with both labels counts in part for each."""
+    k0, k1, n0, n1 = np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), 0.0, 0.0
+    for _, n, toxic, _, places, _ in rows:
+        k0[places] += 1 - toxic / n
+        k1[places] += toxic / n
+        n0, n1 = n0 + 1 - toxic / n, n1 + toxic / n
+    if not n0 or not n1:
+        return np.zeros(len(vocabulary))
+    return np.where(k1 / n1 > k0 / n0, np.sqrt(np.maximum(_likelihood_ratio(k0, k1, n0, n1), 0)), 0)
 
 
 def _likelihood_ratio(k0: np.ndarray, k1: np.ndarray, n0: float, n1: float) -> np.ndarray:
@@ -358,39 +344,14 @@ def _likelihood_ratio(k0: np.ndarray, k1: np.ndarray, n0: float, n1: float) -> n
     return 2 * (part(k0, p * n0) + part(n0 - k0, (1 - p) * n0) + part(k1, p * n1) + part(n1 - k1, (1 - p) * n1))
 
 
-def _vectors(shared):
-    def run(batches):
-        for batch, texts in _pieces(batches):
-            out = _per_text(texts, shared.value)
-            columns = [pa.array([x.astype(np.int32).tobytes() for x in c], pa.binary()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("n1"), *columns], ["doc_id", "n", "n1", "terms", "counts"])
-
-    return run
-
-
-def _index(shared, k: int, folder: str):
-    """One task, bounded by the number of examples, makes the index, so that the driver needn't hold it."""
-
-    def run(batches):
-        rows = []
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "n", "n1", "terms", "counts"))
-            rows += [(i, n, n1, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, n, n1, t, c in zip(*columns, strict=True)]
-        made = Examples(*shared.value, rows, k)
-        made.index.store(folder)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["examples"])
-
-    return run
-
-
 def _document_frequencies(shared):
     def run(batches):
         vocabulary = shared.value
         df, n = np.zeros(len(vocabulary), np.int64), 0
         for _, texts in _pieces(batches):
-            kinds, _, term, _ = term_counts(texts)
+            kinds, _, word, _ = term_counts(texts)
             place = _find(vocabulary, kinds)
-            df[place[place >= 0]] += np.bincount(term, minlength=len(kinds))[place >= 0]
+            df[place[place >= 0]] += np.bincount(word, minlength=len(kinds))[place >= 0]
             n += len(texts)
         held = np.flatnonzero(df)
         for at in range(0, len(held), 100_000):
@@ -398,25 +359,28 @@ def _document_frequencies(shared):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], ["term", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], ["term", "n"])
 
-    return run
+    return tidy(run)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 20_000, k: int = 25, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 8_000, example_bytes: int = 40_000_000, k: int = 25, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled rows whose fold isn't 0, with document frequencies over all of ``docs``."""
     spark = docs.sparkSession
-    sample = training_sample(docs, labels, label, examples, id_col, text_col)
-    vocabulary, strength = strengths(sample)
+    sample = training_sample(docs, labels, label, examples, example_bytes, id_col, text_col)
+    made = sample.mapInArrow(_vectors, "doc_id long, n long, n1 long, stands double, words binary, counts binary").toArrow()
+    words = [np.frombuffer(w.as_py(), np.uint64) for w in made.column("words")]
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
+    counts = [np.frombuffer(c.as_py(), np.int32) for c in made.column("counts")]
+    rows = list(zip(*(made.column(c).to_pylist() for c in ("doc_id", "n", "n1", "stands")), [np.searchsorted(vocabulary, w) for w in words], counts, strict=True))
+    del made, words
     shared = spark.sparkContext.broadcast(vocabulary)
-    rows = sample.mapInArrow(_vectors(shared), "doc_id long, n long, n1 long, terms binary, counts binary")
     frequency = id_and_text(docs, id_col, text_col).select("text").mapInArrow(_document_frequencies(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
     term, n = np.array(frequency.column("term")), np.array(frequency.column("n"))
     df, total = np.zeros(len(vocabulary)), int(n[term < 0].sum())
     df[term[term >= 0]] = n[term >= 0]
     idf = np.log((total + 1) / (df + 1)) + 1
-    unknown = FLOOR * (math.log((total + 1) / 2) + 1)
-    weights = spark.sparkContext.broadcast((vocabulary, idf * (FLOOR + strength), unknown))
-    made = rows.repartition(1).mapInArrow(_index(weights, k, scratch_dir(spark)), "examples binary").first()
-    return Model(spark, pickle.loads(made.examples))
+    unknown = math.log((total + 1) / 2) + 1
+    return Model(spark, Examples(vocabulary, idf * (1 + strengths(rows, vocabulary)), unknown, rows, k))
 
 
 def _score(scorer):
@@ -427,7 +391,7 @@ def _score(scorer):
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("share", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,7 +405,7 @@ def _keep(scorer, text_col: str, threshold: float):
         for batch, texts in _pieces(batches, text_col):
             yield batch.filter(pa.array([s < threshold for s, _ in scorer(texts)], pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def filter_rows(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
