@@ -9,14 +9,17 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import corpus
 from twinlens.llm import bpe, decontamination, hashing, kneser_ney, license_scan, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from twinlens.llm import common
 from twinlens.llm.common import ALNUM_WORD, SPACE_WORD, alnum_words, cut_spans
 from twinlens.llm.fm_index import FmIndex, suffix_array
 from twinlens.llm.queries import tokenizer
+from twinlens.llm.shards import HashArrays
 
 ROWS = corpus.documents()
 SCHEMA = "doc_id long, text string"
@@ -304,43 +307,88 @@ def test_quality_rules(spark, docs, empty):
 
 def test_kneser_ney(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 30_000)
-    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 20_000)
     tokens = [(i, [*data(t).lower().split(), "</s>"]) for i, t in ROWS]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     train = [w for i, w in tokens if i is not None and not held(i)]
+    tri = Counter(p for w in train for p in zip(["<s>", "<s>", *w], ["<s>", *w], w))
     uni = Counter(x for w in train for x in w)
-    big = Counter(p for w in train for p in zip(["<s>", *w], w))
     n, v = sum(uni.values()), len(uni)
-    context, kinds, under = Counter(), defaultdict(list), Counter()
-    for (a, b), c in big.items():
-        context[a] += c
-        kinds[a].append(c)
+    big, under = Counter(), Counter()
+    for (a, b, c), k in tri.items():
+        big[b, c] += k if a == b == "<s>" else 1
+    for a, b in big:
         under[b] += 1
-    high, low = (kneser_ney._discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in (big, under))
+    context, kinds = Counter(), defaultdict(list)
+    for (a, b, c), k in tri.items():
+        context[a, b] += k
+        kinds[a, b].append(k)
+    for (a, b), k in big.items():
+        context[a] += k
+        kinds[a].append(k)
+    d3, d2, d1 = (kneser_ney._discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in (tri, big, under))
     total = sum(under.values())
-    rest = sum(low[min(c, 3)] for c in under.values()) / total
+    rest = sum(d1[min(c, 3)] for c in under.values()) / total
 
-    def p(a, b):
-        lower = max(under[b] - low[min(under[b], 3)], 0) / total + rest / (v + 1)
-        if a not in context:
-            return lower
-        return max(big[a, b] - high[min(big[a, b], 3)], 0) / context[a] + sum(high[min(c, 3)] for c in kinds[a]) / context[a] * lower
+    def level(d, count, ctx, below):
+        if ctx not in context:
+            return below
+        return max(count - d[min(count, 3)], 0) / context[ctx] + sum(d[min(c, 3)] for c in kinds[ctx]) / context[ctx] * below
+
+    def p(a, b, c):
+        below = max(under[c] - d1[min(under[c], 3)], 0) / total + rest / (v + 1)
+        return level(d3, tri[a, b, c], (a, b), level(d2, big[b, c], b, below))
 
     model = kneser_ney.fit(docs)
+    assert model.bits >= 2
+    scored = kneser_ney.score(docs, model)
     got = defaultdict(list)
-    for r in kneser_ney.score(docs, model).collect():
+    for r in scored.collect():
         got[r.doc_id].append(r)
     for i, w in tokens:
         r = got[i].pop()
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(uni[x] > 0 for x in w), n, held(i))
         assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)), rel=1e-4)
-    some = max(context, key=context.get)
-    assert sum(p(some, b) for b in uni) + sum(high[min(c, 3)] for c in kinds[some]) / context[some] * rest / (v + 1) == pytest.approx(1)
+        assert r.score == pytest.approx(sum(math.log10(p(a, b, c)) for a, b, c in zip(["<s>", "<s>", *w], ["<s>", *w], w)), rel=1e-9)
+    some = max((c for c in context if isinstance(c, tuple)), key=context.get)
+    unknown = level(d3, 0, some, level(d2, 0, some[1], rest / (v + 1)))
+    assert sum(p(*some, b) for b in uni) + unknown == pytest.approx(1)
+    texts = [data(t) for _, t in ROWS]
+    whole = model.score(texts)
+    apart = [model.score([t]) for t in texts]
+    assert [x[3][0] for x in apart] == pytest.approx(whole[3].tolist())
     nothing = kneser_ney.score(docs.limit(3), kneser_ney.fit(empty)).collect()
     assert all(r.score == 0 for r in nothing) and kneser_ney.score(empty, model).count() == 0
 
 
+def test_kneser_ney_in_several_blocks(spark, docs, monkeypatch):
+    """Blocks of a task add up: the counting function itself, with blocks of a few texts."""
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(ROWS))), "text": [data(t) for _, t in ROWS]})
+    sums = []
+    for size in (kneser_ney.BLOCK_BYTES, 20_000):
+        monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", size)
+        monkeypatch.setattr(common.parts, "__defaults__", ("text", 5, 1_000_000))
+        sent = [b for b in kneser_ney._count(0)(iter([rows])) if b.column("kind")[0].as_py() == "trigram"]
+        (a, b, c), (n,) = kneser_ney._received(sent, 3, 1)
+        keys, (n,), _ = kneser_ney._added(kneser_ney.joined(kneser_ney.joined(a, b), c), [n], [])
+        sums.append((len(sent), keys.tolist(), n.tolist()))
+    assert sums[0][0] == 1 < sums[1][0] and sums[0][1:] == sums[1][1:]
+
+
+def test_hash_arrays(tmp_path):
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    count = rng.integers(1, 400, len(keys)).astype(np.uint64)
+    arrays = HashArrays(f"file://{tmp_path}", "x", 2, {"count": "u1"})
+    shard = keys >> np.uint64(62)
+    for s in (0, 1, 3):
+        arrays.save(s, keys[shard == s], {"count": count[shard == s]})
+    asked = np.sort(np.r_[keys[::3], rng.integers(0, 2**64, 500, dtype=np.uint64)])
+    want = dict(zip(keys.tolist(), count.tolist()))
+    found, got = arrays.find(asked, frozenset({0, 1, 3}))
+    assert got["count"].tolist() == [want.get(k, 0) if k >> 62 != 2 else 0 for k in asked.tolist()]
+    assert found.tolist() == [k in want and k >> 62 != 2 for k in asked.tolist()]
+
+
 def _toxic_corpus(seed=9, n=400):
     rng = random.Random(seed)
     rows = []

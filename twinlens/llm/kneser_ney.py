@@ -1,26 +1,31 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
-
-Tokens are words (A-Z lower-cased) and one end per text; a text's first word follows a begin mark.  A word is its 64-bit
-hash; a bigram is the upper 32 bits of its two words' hashes, context first, so all bigrams of a context lie together.
-
-1. Tasks count unigrams and bigrams of their training texts and send each distinct one once, in sorted compressed
-   arrays, to range shards whose number follows the input.
-2. A shard adds the counts up, writes its sorted arrays to the shared folder, sums up each context (total and how many
-   continuations occur once, twice, more often) and sends on in how many of its contexts each word occurs; these are the
-   counts of the lower order.
-3. Discounts come from the counts of counts of both orders.
-4. Scoring maps the arrays and looks sorted queries up, a block of texts at a time.
-
-All n-grams of all training texts are kept.  With V distinct words a 32-bit half is shared by about V / 2 ** 32 of them;
-such words pool their bigram counts.  Unigram counts, and so the base score, use all 64 bits.
-
-Defined cases: null and empty texts consist of the end alone; a context that training didn't see leaves the lower
-order's probability; with no training text every word has the same probability; repeated rows each count and each give a
-row; rows without a doc_id are scored, and aren't trained on; extra columns are ignored.
+"""Interpolated modified Kneser-Ney trigram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
+
+Tokens are words (A-Z lower-cased) and one end per text; two begin marks precede a text.  A word is its 64-bit hash, a
+bigram or trigram the hash of its words' hashes, in full width.
+
+1. Tasks count the words and trigrams of their training texts and send each distinct one once per block, as places in a
+   list of the block's words, to shards by the trigram's hash.  So a context's continuations lie in many shards, and a
+   frequent context or word is no hot key.
+2. A trigram shard adds up and stores its trigrams, and sends on what they say of bigrams: before how many different words
+   a bigram stands (its count in the lower order; a text's first bigram keeps its own count), and how often and with how
+   many continuations of count 1, 2 and more it is a context.
+3. A bigram shard does the same for bigrams and sends on what they say of words.
+4. A word shard stores counts, counts of the lowest order and totals as a context.  Discounts come from the counts of
+   counts of each order.
+5. Scoring looks sorted hashes up in the mapped arrays, a block of texts and one shard at a time.
+
+All n-grams of all training texts are kept, with counts of 64 bits.  A context that occurred once isn't stored: its bigram
+tells that it was there, and its only continuation has the count 1.
+
+Defined cases: null and empty texts consist of the end alone; a context that training didn't see leaves the lower order's
+probability; without training texts there is one class, the unknown word, of probability 1; repeated rows each count and
+each give a row; rows without a doc_id are scored, and aren't trained on; an empty table gives no row; texts of any length
+are taken whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import buckets_for, drop_path, fold, id_and_text, scratch_dir, written
-from twinlens.llm.shards import SortedShards, save, shard_of
-from twinlens.llm.hashing import word_hashes
+from twinlens.llm.common import buckets_for, fold, id_and_text, parts, scratch_dir, tidy
+from twinlens.llm.hashing import mix, word_hashes
+from twinlens.llm.shards import HashArrays, load, save, shard_of
 from twinlens.llm.substring_dedup import _pack, _unpack
 
 #: Hashes of the marks (fixed values without meaning).
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x1B873593CC9E2D51)
+#: Bytes of text that a task counts or scores at a time, and that make a shard's share at most.
 BLOCK_BYTES = 8_000_000
-SHARD_BYTES = 16_000_000
-_LOW = np.uint64(0xFFFFFFFF)
+SHARD_BYTES = 12_000_000
+#: What is kept of a bigram and of a word, in this order.
+_BIGRAM = ("lower", "total", "once", "twice", "more")
+_WORD = ("count", "lower", "total", "once", "twice", "more")
+_SCHEMA = "kind string, shard int, n long, words long, data binary"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,91 +62,164 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.r_[0, ends + 1]
 
 
-def bigrams(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[at[:-1]] = BEGIN
-    return (before >> np.uint64(32) << np.uint64(32)) | (tokens >> np.uint64(32))
+def before(tokens: np.ndarray, at: np.ndarray, begin) -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens before each."""
+    one, two = np.empty_like(tokens), np.empty_like(tokens)
+    one[1:], two[2:] = tokens[:-1], tokens[:-2]
+    one[at[:-1]] = two[at[:-1]] = begin
+    second = at[:-1] + 1
+    two[second[second < at[1:]]] = begin
+    return two, one
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a sequence of two."""
+    return mix(mix(a + np.uint64(0x9E3779B97F4A7C15)) ^ b)
 
 
 def _blocks(batches):
     """Texts and ids in blocks of about BLOCK_BYTES."""
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            size += len(t) + 8
-            if size >= BLOCK_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+    for batch in (p for b in batches for p in parts(b)):
+        ids += batch.column("doc_id").to_pylist()
+        texts += batch.column("text").to_pylist()
+        size += sum(map(len, texts[len(texts) - batch.num_rows :])) + 8 * batch.num_rows
+        if size >= BLOCK_BYTES:
+            yield ids, texts
+            ids, texts, size = [], [], 0
     if texts:
         yield ids, texts
 
 
-def _send(kind: str, keys: np.ndarray, counts: np.ndarray, bits: int, shards: int):
-    """Sorted keys with counts, a row per shard."""
-    edges = np.searchsorted(shard_of(keys, bits, shards), np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(edges)).tolist():
-        part = slice(edges[s], edges[s + 1])
-        data = _pack(keys[part], counts[part].astype(np.uint32))
-        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([s], pa.int32()), pa.array([len(keys[part])], pa.int64()), pa.array([data], pa.binary())], ["kind", "shard", "n", "data"])
-
-
-def _count(shards: int):
-    def run(batches):
-        for _, texts in _blocks(batches):
-            tokens, at = token_hashes(texts)
-            yield from _send("unigram", *np.unique(tokens, return_counts=True), 64, shards)
-            yield from _send("bigram", *np.unique(bigrams(tokens, at), return_counts=True), 64, shards)
-
-    return run
+def _row(kind: str, shard: int, n: int, words: int, data: bytes) -> pa.RecordBatch:
+    values = zip((kind, shard, n, words, data), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], _NAMES)
 
 
-def _added(batches, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all arrays that reached a shard, with counts summed."""
-    parts = [_unpack(d, n, (kind, np.uint32)) for b in batches for n, d in zip(b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True)]
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    del parts
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(np.uint64)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(counts, first)
-
-
-def _of_counts(counts: np.ndarray) -> list[int]:
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-
-
-_STATS = "kind string, shard int, distinct long, total long, n1 long, n2 long, n3 long, n4 long"
+def _send(kind: str, bits: int, keys: np.ndarray, words: list[np.ndarray], counts: list[np.ndarray]):
+    """A row per shard: the words that occur, n-grams as places among them, and counts."""
+    shard = shard_of(keys, bits)
+    order = np.argsort(shard.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
+    edges = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+    for s in np.flatnonzero(np.diff(edges)).tolist():
+        some = order[edges[s] : edges[s + 1]]
+        kinds, place = np.unique(np.concatenate([w[some] for w in words]), return_inverse=True)
+        place = place.astype(np.uint32).reshape(len(words), len(some))
+        by = np.lexsort(place[::-1])
+        data = _pack(kinds, *place[:, by], *(c[some[by]].astype(np.uint64) for c in counts))
+        yield _row(kind, s, len(some), len(kinds), data)
 
 
-def _stat(kind: str, shard: int, counts: np.ndarray) -> list:
-    return [pa.array([kind]), pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (len(counts), int(counts.sum()), *_of_counts(counts)))]
+def _received(batches, words: int, counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """N-grams and counts of all rows of a shard."""
+    out: list[list[np.ndarray]] = [[] for _ in range(words + counts)]
+    for batch in batches:
+        for n, m, data in zip(*(batch.column(c).to_pylist() for c in ("n", "words", "data")), strict=True):
+            kinds, *columns = _unpack(data, [m] + [n] * (words + counts), [np.uint64] + [np.uint32] * words + [np.uint64] * counts)
+            for k, c in enumerate(columns):
+                out[k].append(kinds[c] if k < words else c)
+    columns = [np.concatenate(c) for c in out]
+    return columns[:words], columns[words:]
 
 
-_STAT_NAMES = [x.split()[0] for x in _STATS.split(", ")]
+def _added(keys: np.ndarray, columns: list[np.ndarray], firsts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys in order, sums of the columns, and the first of what goes with the key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[begin], [np.add.reduceat(c[order], begin) for c in columns], [f[order[begin]] for f in firsts]
 
 
-def _store(folder: str, shards: int):
+def _count(bits: int):
+    def run(batches):
+        for _, texts in _blocks(batches):
+            tokens, at = token_hashes(texts)
+            kinds, place, counts = np.unique(np.r_[tokens, BEGIN], return_inverse=True, return_counts=True)
+            counts = counts.astype(np.uint64)
+            begin = place[-1]
+            counts[begin] -= np.uint64(1)
+            place = place[:-1].astype(np.uint64)
+            yield from _send("word", bits, kinds, [kinds], [counts, *[np.zeros(len(kinds), np.uint64)] * 5])
+            two, one = before(place, at, begin)
+            size = np.uint64(len(kinds))
+            if len(kinds) < 1 << 21:
+                numbers, count = np.unique((two * size + one) * size + place, return_counts=True)
+                pair, c = np.divmod(numbers, size)
+                a, b = np.divmod(pair, size)
+            else:
+                (a, b, c), count = np.unique(np.stack([two, one, place]), axis=1, return_counts=True)
+            a, b, c = kinds[a], kinds[b], kinds[c]
+            yield from _send("trigram", bits, joined(joined(a, b), c), [a, b, c], [count])
+
+    return tidy(run)
+
+
+def _stat(order: str, shard: int, lower: np.ndarray, **more: int) -> pa.RecordBatch:
+    """Counts of counts of an order's shard."""
+    says = {"order": order, "shard": shard, "of": [int((lower == k).sum()) for k in (1, 2, 3, 4)], "distinct": int((lower > 0).sum()), "sum": int(lower.sum())}
+    return _row("stat", shard, 0, 0, json.dumps(says | more).encode())
+
+
+def _kinds_of(c: np.ndarray) -> list[np.ndarray]:
+    return [(c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c > 2).astype(np.uint64)]
+
+
+def _trigrams(folder: str, bits: int, shard: int, batches):
+    (a, b, c), (count,) = _received(batches, 3, 1)
+    keys, (count,), (a, b, c) = _added(joined(joined(a, b), c), [count], [a, b, c])
+    HashArrays(folder, "trigram", bits, {"count": "u1"}).save(shard, keys, {"count": count})
+    yield _stat("trigram", shard, count)
+    none = np.zeros(len(keys), np.uint64)
+    # of the bigram behind the first word, and of the bigram before the last
+    lower = np.where((a == BEGIN) & (b == BEGIN), count, 1).astype(np.uint64)
+    first, second = np.r_[b, a], np.r_[c, b]
+    columns = [np.r_[x, y] for x, y in zip([lower, *[none] * 4], [none, count, *_kinds_of(count)], strict=True)]
+    del a, b, c, keys
+    keys, columns, (first, second) = _added(joined(first, second), columns, [first, second])
+    yield from _send("bigram", bits, keys, [first, second], columns)
+
+
+def _bigrams(folder: str, bits: int, shard: int, batches):
+    (a, b), columns = _received(batches, 2, len(_BIGRAM))
+    keys, columns, (a, b) = _added(joined(a, b), columns, [a, b])
+    lower, total = columns[:2]
+    HashArrays(folder, "bigram", bits, {"lower": "u1"}).save(shard, keys, {"lower": lower})
+    several = np.flatnonzero(total > 1)
+    HashArrays(folder, "context", bits, dict.fromkeys(_BIGRAM[1:], "u1")).save(shard, keys[several], {n: c[several] for n, c in zip(_BIGRAM[1:], columns[1:], strict=True)})
+    yield _stat("bigram", shard, lower)
+    seen = lower > 0  # the pair of begin marks is a context only
+    a, b, lower = a[seen], b[seen], lower[seen]
+    none = np.zeros(len(a), np.uint64)
+    sums = [np.r_[x, y] for x, y in zip([none, np.ones(len(a), np.uint64), *[none] * 4], [none, none, lower, *_kinds_of(lower)], strict=True)]
+    words, sums, _ = _added(np.r_[b, a], sums, [])
+    yield from _send("word", bits, words, [words], sums)
+
+
+def _words(folder: str | None, bits: int, shard: int, batches):
+    (words,), columns = _received(batches, 1, len(_WORD))
+    words, columns, _ = _added(words, columns, [])
+    if folder is None:  # others may still add to them
+        yield from _send("word", bits, words, [words], columns)
+        return
+    save(folder, f"word-{shard}-key", words)
+    for name, column in zip(_WORD, columns, strict=True):
+        save(folder, f"word-{shard}-{name}", column)
+    yield _stat("word", shard, columns[1], tokens=int(columns[0].sum()), words=int((columns[0] > 0).sum()))
+
+
+def _store(folder: str, bits: int, last: bool):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, shard = key[0].as_py(), key[1].as_py()
-        keys, counts = _added(batches, np.uint64 if kind != "lower" else np.uint32)
-        save(folder, f"{kind}-{shard}-key", keys)
-        save(folder, f"{kind}-{shard}-count", counts.astype(np.uint32))
-        nothing = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*_stat(kind, shard, counts), *nothing], [*_STAT_NAMES, "n", "data"])
-        if kind == "bigram":
-            context = keys >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            save(folder, f"context-{shard}-key", context[first].astype(np.uint32))
-            for name, values in (("total", counts), ("once", counts == 1), ("twice", counts == 2), ("more", counts > 2)):
-                save(folder, f"context-{shard}-{name}", np.add.reduceat(values.astype(np.uint64), first).astype(np.uint64 if name == "total" else np.uint32))
-            for batch in _send("lower", *np.unique((keys & _LOW).astype(np.uint32), return_counts=True), 32, shards):
-                blank = [pa.nulls(1, pa.int64())] * 6
-                yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("shard"), *blank, batch.column("n"), batch.column("data")], [*_STAT_NAMES, "n", "data"])
-
-    return run
+        if kind == "stat":
+            yield from batches
+        elif kind == "trigram":
+            yield from _trigrams(folder, bits, shard, batches)
+        elif kind == "bigram":
+            yield from _bigrams(folder, bits, shard, batches)
+        else:
+            yield from _words(folder if last else None, bits, shard, batches)
+
+    return tidy(run)
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -147,49 +230,72 @@ def _discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))])
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_inverse=True)
+
+
 class KneserNey:
     """A fitted model; small itself, with its arrays in the shared folder."""
 
-    def __init__(self, folder: str, shards: int, stats: list):
-        present = {k: {r.shard for r in stats if r.kind == k} for k in ("unigram", "bigram", "lower")}
-        made = lambda kind, stored, bits, columns: SortedShards(folder, stored, bits, shards, present[kind], columns)
-        self.unigram = made("unigram", "unigram", 64, {"count": "u4"})
-        self.bigram = made("bigram", "bigram", 64, {"count": "u4"})
-        self.context = made("bigram", "context", 32, {"total": "u8", "once": "u4", "twice": "u4", "more": "u4"})
-        self.lower = made("lower", "lower", 32, {"count": "u4"})
-        add = lambda kind, field: sum(r[field] for r in stats if r.kind == kind)
-        self.tokens, self.words = add("unigram", "total"), add("unigram", "distinct")
-        of = {k: [add(k, f"n{i}") for i in (1, 2, 3, 4)] for k in ("bigram", "lower")}
-        self.high, self.low = _discounts(of["bigram"]), _discounts(of["lower"])
-        self.contexts = add("lower", "total")
-        n1, n2 = of["lower"][:2]
-        more = add("lower", "distinct") - n1 - n2
-        self.low_rest = float(self.low[1:] @ np.array([n1, n2, more])) / self.contexts if self.contexts else 1.0
-
-    def lower_order(self, words: np.ndarray) -> np.ndarray:
-        """Probability of sorted 32-bit words by in how many contexts they occur."""
-        (count,) = self.lower.find(words)
-        seen = np.maximum(count - self.low[np.minimum(count, 3)], 0) / max(1, self.contexts)
-        return seen + self.low_rest / (self.words + 1)
+    def __init__(self, folder: str, bits: int, stats: list[dict]):
+        self.folder, self.bits = folder, bits
+        self.present = {o: frozenset(s["shard"] for s in stats if s["order"] == o) for o in ("trigram", "bigram", "word")}
+        add = lambda order, field: sum(s[field] for s in stats if s["order"] == order)
+        of = {o: [sum(s["of"][k] for s in stats if s["order"] == o) for k in range(4)] for o in self.present}
+        self.discount = {o: _discounts(n) for o, n in of.items()}
+        self.tokens, self.words = add("word", "tokens"), add("word", "words")
+        self.pairs = add("word", "sum")
+        n1, n2 = of["word"][:2]
+        spread = self.discount["word"][1:] @ np.array([n1, n2, add("word", "distinct") - n1 - n2])
+        self.rest = float(spread) / self.pairs if self.pairs else 1.0
+
+    def _word(self, words: np.ndarray) -> dict[str, np.ndarray]:
+        """What is stored of some sorted words; 0 where a word is unknown."""
+        out = {c: np.zeros(len(words), np.uint64) for c in _WORD}
+        edges = np.searchsorted(shard_of(words, self.bits), np.arange((1 << self.bits) + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            if s in self.present["word"]:
+                part = slice(edges[s], edges[s + 1])
+                keys = load(self.folder, f"word-{s}-key", "u8")
+                at = np.minimum(np.searchsorted(keys, words[part]), len(keys) - 1)
+                hit = keys[at] == words[part]
+                for c in _WORD:
+                    out[c][part] = np.where(hit, load(self.folder, f"word-{s}-{c}", "u8")[at], 0)
+        return out
+
+    def _direct(self, order: str, count: np.ndarray) -> np.ndarray:
+        return np.maximum(count.astype(float) - self.discount[order][np.minimum(count, 3).astype(np.int64)], 0)
+
+    def _spare(self, order: str, x: dict[str, np.ndarray]) -> np.ndarray:
+        d = self.discount[order]
+        return d[1] * x["once"] + d[2] * x["twice"] + d[3] * x["more"]
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, base score, score."""
         tokens, at = token_hashes(texts)
-        kinds, place = np.unique(tokens, return_inverse=True)
-        (count,) = self.unigram.find(kinds)
-        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-        pairs, pair_place = np.unique(bigrams(tokens, at), return_inverse=True)
-        (seen,) = self.bigram.find(pairs)
-        halves, half_place = np.unique((pairs & _LOW).astype(np.uint32), return_inverse=True)
-        under = self.lower_order(halves)[half_place]
-        contexts, context_place = np.unique((pairs >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-        total, once, twice, more = self.context.find(contexts)
-        spare = self.high[1] * once + self.high[2] * twice + self.high[3] * more
-        known = total[context_place] > 0
-        divisor = np.maximum(total, 1)[context_place]
-        direct = np.maximum(seen - self.high[np.minimum(seen, 3)], 0) / divisor
-        p = np.where(known, direct + spare[context_place] / divisor * under, under)
-        sums = [np.add.reduceat(x, at[:-1]) for x in ((count > 0)[place].astype(np.int64), base[place], np.log10(p)[pair_place])]
+        kinds, place = _sorted(np.r_[tokens, BEGIN])
+        word = self._word(kinds)
+        two, one = before(place[:-1], at, place[-1])
+        place = place[:-1]
+        base = np.log10((word["count"] + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
+        p = (self._direct("word", word["lower"]) / max(1, self.pairs) + self.rest / (self.words + 1))[place]
+        # bigrams: the last two words, and the first two as a context
+        ends, contexts = joined(kinds[one], kinds[place]), joined(kinds[two], kinds[one])
+        pairs, where = _sorted(np.r_[ends, contexts])
+        known, found = HashArrays(self.folder, "bigram", self.bits, {"lower": "u1"}).find(pairs, self.present["bigram"])
+        total = word["total"][one].astype(float)
+        direct = self._direct("bigram", found["lower"])[where[: len(place)]]
+        p = np.where(total > 0, (direct + self._spare("bigram", word)[one] * p) / np.maximum(total, 1), p)
+        # trigrams; a context of one occurrence has one continuation
+        stored, context = HashArrays(self.folder, "context", self.bits, dict.fromkeys(_BIGRAM[1:], "u1")).find(pairs, self.present["bigram"])
+        spare = np.where(stored, self._spare("trigram", context), self.discount["trigram"][1])
+        total = np.where(stored, context["total"], 1).astype(float)
+        triples, number = _sorted(joined(contexts, kinds[place]))
+        _, found = HashArrays(self.folder, "trigram", self.bits, {"count": "u1"}).find(triples, self.present["trigram"])
+        where = where[len(place) :]
+        direct = self._direct("trigram", found["count"])[number]
+        p = np.where(known[where], (direct + spare[where] * p) / total[where], p)
+        sums = [np.add.reduceat(x, at[:-1]) for x in ((word["count"] > 0)[place].astype(np.int64), base[place], np.log10(p))]
         return np.diff(at), *sums
 
 
@@ -198,16 +304,11 @@ def fit(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     train = id_and_text(docs, id_col, text_col).where(fold() != held_out)
     size = train.agg(F.sum(F.length("text") + 8)).first()[0] or 0
-    shards, folder = buckets_for(size, SHARD_BYTES), scratch_dir(spark)
-    schema = _STATS + ", n long, data binary"
-    sent = train.mapInArrow(_count(shards), "kind string, shard int, n long, data binary")
-    first = sent.groupBy("kind", "shard").applyInArrow(_store(folder, shards), schema)
-
-    first = written(first)
-    lower = first.where("data is not null").select("kind", "shard", "n", "data").groupBy("kind", "shard").applyInArrow(_store(folder, shards), schema)
-    stats = first.where("data is null").select(*_STAT_NAMES).collect() + lower.select(*_STAT_NAMES).collect()
-    drop_path(spark, first.scratch_path)
-    return KneserNey(folder, shards, stats)
+    bits, folder = (buckets_for(size, SHARD_BYTES) - 1).bit_length(), scratch_dir(spark)
+    rows = train.mapInArrow(_count(bits), _SCHEMA)
+    for last in (False, False, True):
+        rows = rows.groupBy("kind", "shard").applyInArrow(_store(folder, bits, last), _SCHEMA)
+    return KneserNey(folder, bits, [json.loads(bytes(r.data)) for r in rows.where("kind = 'stat'").select("data").collect()])
 
 
 def _score(shared):
@@ -218,7 +319,7 @@ def _score(shared):
             columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, model: KneserNey, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from twinlens.llm.oracles import SQL
 
 
+ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def tokenizer(name: str) -> str:
     folder = os.environ.get("TWINLENS_TOKENIZERS")
     if folder:
@@ -22,6 +25,9 @@ def tokenizer(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's; texts are handed to workers fewer at a time than Spark's default, since they may be long."""
+    if spark.conf.get(ROWS_AT_ONCE, "10000") == "10000":
+        spark.conf.set(ROWS_AT_ONCE, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -45,13 +45,14 @@ def _pack(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
-def _unpack(data: bytes, n: int, kinds) -> list[np.ndarray]:
+def _unpack(data: bytes, n: int | list[int], kinds) -> list[np.ndarray]:
+    """Columns of n values each, or of a number of values of their own."""
     import zstandard
 
     raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
-    for kind in map(np.dtype, kinds):
-        size = n * kind.itemsize
-        out.append(np.ascontiguousarray(raw[at : at + size].reshape(kind.itemsize, n).T).view(kind).ravel())
+    for kind, rows in zip(map(np.dtype, kinds), [n] * len(kinds) if isinstance(n, int) else n, strict=True):
+        size = rows * kind.itemsize
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(kind.itemsize, rows).T).view(kind).ravel())
         at += size
     return out
 
