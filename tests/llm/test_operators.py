@@ -305,7 +305,8 @@ def test_quality_rules(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_kneser_ney(spark, docs, empty, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(spark, docs, empty, monkeypatch, order):
     monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 30_000)
     tokens = [(i, [*data(t).lower().split(), "</s>"]) for i, t in ROWS]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -315,7 +316,7 @@ def test_kneser_ney(spark, docs, empty, monkeypatch):
     n, v = sum(uni.values()), len(uni)
     big, under = Counter(), Counter()
     for (a, b, c), k in tri.items():
-        big[b, c] += k if a == b == "<s>" else 1
+        big[b, c] += k if a == b == "<s>" or order == 2 else 1
     for a, b in big:
         under[b] += 1
     context, kinds = Counter(), defaultdict(list)
@@ -336,9 +337,10 @@ def test_kneser_ney(spark, docs, empty, monkeypatch):
 
     def p(a, b, c):
         below = max(under[c] - d1[min(under[c], 3)], 0) / total + rest / (v + 1)
-        return level(d3, tri[a, b, c], (a, b), level(d2, big[b, c], b, below))
+        below = level(d2, big[b, c], b, below)
+        return level(d3, tri[a, b, c], (a, b), below) if order == 3 else below
 
-    model = kneser_ney.fit(docs)
+    model = kneser_ney.fit(docs, order=order)
     assert model.bits >= 2
     scored = kneser_ney.score(docs, model)
     got = defaultdict(list)
@@ -350,7 +352,7 @@ def test_kneser_ney(spark, docs, empty, monkeypatch):
         assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert r.score == pytest.approx(sum(math.log10(p(a, b, c)) for a, b, c in zip(["<s>", "<s>", *w], ["<s>", *w], w)), rel=1e-9)
     some = max((c for c in context if isinstance(c, tuple)), key=context.get)
-    unknown = level(d3, 0, some, level(d2, 0, some[1], rest / (v + 1)))
+    unknown = p(*some, None)
     assert sum(p(*some, b) for b in uni) + unknown == pytest.approx(1)
     texts = [data(t) for _, t in ROWS]
     whole = model.score(texts)
@@ -367,7 +369,7 @@ def test_kneser_ney_in_several_blocks(spark, docs, monkeypatch):
     for size in (kneser_ney.BLOCK_BYTES, 20_000):
         monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", size)
         monkeypatch.setattr(common.parts, "__defaults__", ("text", 5, 1_000_000))
-        sent = [b for b in kneser_ney._count(0)(iter([rows])) if b.column("kind")[0].as_py() == "trigram"]
+        sent = [b for b in kneser_ney._count(0, 3)(iter([rows])) if b.column("kind")[0].as_py() == "trigram"]
         (a, b, c), (n,) = kneser_ney._received(sent, 3, 1)
         keys, (n,), _ = kneser_ney._added(kneser_ney.joined(kneser_ney.joined(a, b), c), [n], [])
         sums.append((len(sent), keys.tolist(), n.tolist()))

@@ -1,12 +1,12 @@
-"""Interpolated modified Kneser-Ney trigram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
 
-Tokens are words (A-Z lower-cased) and one end per text; two begin marks precede a text.  A word is its 64-bit hash, a
-bigram or trigram the hash of its words' hashes, in full width.
+Tokens are words (A-Z lower-cased) and one end per text; begin marks precede a text.  A word is its 64-bit hash, a bigram
+or trigram the hash of its words' hashes, in full width.  ``order`` is 2 or 3.
 
-1. Tasks count the words and trigrams of their training texts and send each distinct one once per block, as places in a
-   list of the block's words, to shards by the trigram's hash.  So a context's continuations lie in many shards, and a
+1. Tasks count the words and n-grams of their training texts and send each distinct one once per block, as places in a
+   list of the block's words, to shards by the n-gram's hash.  So a context's continuations lie in many shards, and a
    frequent context or word is no hot key.
-2. A trigram shard adds up and stores its trigrams, and sends on what they say of bigrams: before how many different words
+2. With order 3, a trigram shard adds up and stores its trigrams, and sends on what they say of bigrams: before how many different words
    a bigram stands (its count in the lower order; a text's first bigram keeps its own count), and how often and with how
    many continuations of count 1, 2 and more it is a context.
 3. A bigram shard does the same for bigrams and sends on what they say of words.
@@ -130,7 +130,23 @@ def _added(keys: np.ndarray, columns: list[np.ndarray], firsts: list[np.ndarray]
     return keys[begin], [np.add.reduceat(c[order], begin) for c in columns], [f[order[begin]] for f in firsts]
 
 
-def _count(bits: int):
+def _distinct(places: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of places below ``size``, and how often each occurs."""
+    if len(places) * size.bit_length() >= 64:
+        rows, count = np.unique(np.stack(places), axis=1, return_counts=True)
+        return list(rows), count
+    numbers = places[0]
+    for p in places[1:]:
+        numbers = numbers * np.uint64(size) + p
+    numbers, count = np.unique(numbers, return_counts=True)
+    out = []
+    for _ in places[1:]:
+        numbers, p = np.divmod(numbers, np.uint64(size))
+        out.append(p)
+    return [numbers, *reversed(out)], count
+
+
+def _count(bits: int, order: int):
     def run(batches):
         for _, texts in _blocks(batches):
             tokens, at = token_hashes(texts)
@@ -141,15 +157,12 @@ def _count(bits: int):
             place = place[:-1].astype(np.uint64)
             yield from _send("word", bits, kinds, [kinds], [counts, *[np.zeros(len(kinds), np.uint64)] * 5])
             two, one = before(place, at, begin)
-            size = np.uint64(len(kinds))
-            if len(kinds) < 1 << 21:
-                numbers, count = np.unique((two * size + one) * size + place, return_counts=True)
-                pair, c = np.divmod(numbers, size)
-                a, b = np.divmod(pair, size)
+            grams, count = _distinct([two, one, place][3 - order :], len(kinds))
+            grams = [kinds[x] for x in grams]
+            if order == 3:
+                yield from _send("trigram", bits, joined(joined(*grams[:2]), grams[2]), grams, [count])
             else:
-                (a, b, c), count = np.unique(np.stack([two, one, place]), axis=1, return_counts=True)
-            a, b, c = kinds[a], kinds[b], kinds[c]
-            yield from _send("trigram", bits, joined(joined(a, b), c), [a, b, c], [count])
+                yield from _send("bigram", bits, joined(*grams), grams, [count, *[np.zeros(len(count), np.uint64)] * 4])
 
     return tidy(run)
 
@@ -184,7 +197,7 @@ def _bigrams(folder: str, bits: int, shard: int, batches):
     keys, columns, (a, b) = _added(joined(a, b), columns, [a, b])
     lower, total = columns[:2]
     HashArrays(folder, "bigram", bits, {"lower": "u1"}).save(shard, keys, {"lower": lower})
-    several = np.flatnonzero(total > 1)
+    several = np.flatnonzero(total > 1)  # none with order 2
     HashArrays(folder, "context", bits, dict.fromkeys(_BIGRAM[1:], "u1")).save(shard, keys[several], {n: c[several] for n, c in zip(_BIGRAM[1:], columns[1:], strict=True)})
     yield _stat("bigram", shard, lower)
     seen = lower > 0  # the pair of begin marks is a context only
@@ -237,8 +250,8 @@ def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class KneserNey:
     """A fitted model; small itself, with its arrays in the shared folder."""
 
-    def __init__(self, folder: str, bits: int, stats: list[dict]):
-        self.folder, self.bits = folder, bits
+    def __init__(self, folder: str, bits: int, order: int, stats: list[dict]):
+        self.folder, self.bits, self.order = folder, bits, order
         self.present = {o: frozenset(s["shard"] for s in stats if s["order"] == o) for o in ("trigram", "bigram", "word")}
         add = lambda order, field: sum(s[field] for s in stats if s["order"] == order)
         of = {o: [sum(s["of"][k] for s in stats if s["order"] == o) for k in range(4)] for o in self.present}
@@ -281,34 +294,41 @@ class KneserNey:
         p = (self._direct("word", word["lower"]) / max(1, self.pairs) + self.rest / (self.words + 1))[place]
         # bigrams: the last two words, and the first two as a context
         ends, contexts = joined(kinds[one], kinds[place]), joined(kinds[two], kinds[one])
-        pairs, where = _sorted(np.r_[ends, contexts])
+        pairs, where = _sorted(np.r_[ends, contexts] if self.order == 3 else ends)
         known, found = HashArrays(self.folder, "bigram", self.bits, {"lower": "u1"}).find(pairs, self.present["bigram"])
         total = word["total"][one].astype(float)
         direct = self._direct("bigram", found["lower"])[where[: len(place)]]
         p = np.where(total > 0, (direct + self._spare("bigram", word)[one] * p) / np.maximum(total, 1), p)
-        # trigrams; a context of one occurrence has one continuation
+        if self.order == 3:
+            p = self._third(kinds[place], contexts, pairs, where[len(place) :], known, p)
+        sums = [np.add.reduceat(x, at[:-1]) for x in ((word["count"] > 0)[place].astype(np.int64), base[place], np.log10(p))]
+        return np.diff(at), *sums
+
+
+    def _third(self, last: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, where: np.ndarray, known: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities of the last words after contexts (at ``where`` in ``pairs``); a context of one occurrence has one
+        continuation."""
         stored, context = HashArrays(self.folder, "context", self.bits, dict.fromkeys(_BIGRAM[1:], "u1")).find(pairs, self.present["bigram"])
         spare = np.where(stored, self._spare("trigram", context), self.discount["trigram"][1])
         total = np.where(stored, context["total"], 1).astype(float)
-        triples, number = _sorted(joined(contexts, kinds[place]))
+        triples, number = _sorted(joined(contexts, last))
         _, found = HashArrays(self.folder, "trigram", self.bits, {"count": "u1"}).find(triples, self.present["trigram"])
-        where = where[len(place) :]
         direct = self._direct("trigram", found["count"])[number]
-        p = np.where(known[where], (direct + spare[where] * p) / total[where], p)
-        sums = [np.add.reduceat(x, at[:-1]) for x in ((word["count"] > 0)[place].astype(np.int64), base[place], np.log10(p))]
-        return np.diff(at), *sums
+        return np.where(known[where], (direct + spare[where] * p) / total[where], p)
 
 
-def fit(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> KneserNey:
-    """Counts over all rows whose fold isn't ``held_out``."""
+def fit(docs: DataFrame, order: int = 2, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> KneserNey:
+    """Counts over all rows whose fold isn't ``held_out``; order 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     train = id_and_text(docs, id_col, text_col).where(fold() != held_out)
     size = train.agg(F.sum(F.length("text") + 8)).first()[0] or 0
     bits, folder = (buckets_for(size, SHARD_BYTES) - 1).bit_length(), scratch_dir(spark)
-    rows = train.mapInArrow(_count(bits), _SCHEMA)
-    for last in (False, False, True):
+    rows = train.mapInArrow(_count(bits, order), _SCHEMA)
+    for last in (False,) * (order - 1) + (True,):
         rows = rows.groupBy("kind", "shard").applyInArrow(_store(folder, bits, last), _SCHEMA)
-    return KneserNey(folder, bits, [json.loads(bytes(r.data)) for r in rows.where("kind = 'stat'").select("data").collect()])
+    return KneserNey(folder, bits, order, [json.loads(bytes(r.data)) for r in rows.where("kind = 'stat'").select("data").collect()])
 
 
 def _score(shared):
