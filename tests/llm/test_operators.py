@@ -114,14 +114,14 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
-def test_decontamination(spark, docs, empty, monkeypatch):
-    items = list(enumerate(corpus.BENCHMARK)) + [(10, corpus.BENCHMARK[0])]
+def test_decontamination(spark, docs, empty):
+    items = list(enumerate(corpus.BENCHMARK)) + [(10, corpus.BENCHMARK[0]), (None, "same same same same same same same same same same same")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = defaultdict(set)
     for i, t in items:
         w = alnum_words(data(t))
         for k in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[k : k + 10])].add(str(i))
+            windows[tuple(w[k : k + 10])].update([str(i)] if i is not None else [])
     want = []
     for i, t in ROWS:
         w, hit, found = alnum_words(data(t)), set(), set()
@@ -131,14 +131,48 @@ def test_decontamination(spark, docs, empty, monkeypatch):
                     hit.update(range(k, k + n))
                     found |= windows[tuple(w[k : k + n])]
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    assert sum(x[-1] for x in want) == 3
+    assert sum(x[-1] for x in want) == 4
     assert key(decontamination.contamination(docs, bench).collect()) == key(want)
     assert key(decontamination.contamination(docs, bench, block_bytes=40).collect()) == key(want)
-    monkeypatch.setattr(decontamination, "SHARD", 3)
     assert decontamination.contamination(empty, bench).count() == 0
     assert not decontamination.contamination(docs, bench.limit(0)).where("contaminated").count()
-    one, many = (decontamination.cut_rows(docs, bench, ["doc_id", "text"], block_bytes=n).where("doc_id >= 400").collect() for n in (1 << 20, 40))
-    assert key(one) == key(many) and {r.doc_id: r.text for r in one}[400].endswith("tail") and 401 not in {r.doc_id for r in one}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_decontamination_cuts_each_row_for_itself(spark, block_bytes):
+    """Rows that share an id, and rows without one; the benchmark in one block and in several."""
+    passage = corpus.BENCHMARK[0]
+    clean = "one two three four five six seven eight nine ten eleven twelve " * 2
+    rows = [(7, f"before {passage} after"), (7, clean), (None, f"nobody {passage}"), (8, passage), (9, None), (10, "")]
+    bench = spark.createDataFrame([*enumerate(corpus.BENCHMARK), (50, "one two other words " * 9)], "item_id long, text string")
+    frame = spark.createDataFrame([(*r, 5, 1) for r in rows], "doc_id long, text string, n_words long, spans long").repartition(2)
+    got = decontamination.cut_rows(frame, bench, frame.columns, block_bytes=block_bytes)
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([(0, "nobody"), (7, "before after"), (7, clean), (9, ""), (10, "")])
+
+
+def test_decontamination_in_many_shards_and_slices(monkeypatch, tmp_path):
+    """The tasks' functions themselves, with limits so small that every text is a shard and every few windows a slice."""
+    monkeypatch.setattr(decontamination, "SHARD", 3)
+    monkeypatch.setattr(decontamination, "SLICE", 4)
+    monkeypatch.setattr(decontamination, "PAIRS", 2)
+    monkeypatch.setattr(common.parts, "__defaults__", ("text", 1, 1_000_000))
+    folder, items = f"file://{tmp_path}", ["a b c d e f g", "c d e", "x y", "a b c d e f g"]
+    texts = ["z a b c d e q c d e", "x y x y", "b c d e f g", "nothing at all", "c d e"]
+    item_rows = pa.RecordBatch.from_pydict({"item": [str(k) for k in range(len(items))], "text": [data(x) for x in items]})
+    found = [np.asarray(b.column("word")) for b in decontamination._words(iter([item_rows]))]
+    list(decontamination._save_words(folder)(iter([pa.RecordBatch.from_pydict({"word": np.unique(np.concatenate(found))})])))
+    slices = pa.Table.from_batches(list(decontamination._save_block(folder, 4)((pa.scalar(0),), iter([item_rows]))))
+    windows = decontamination.Windows(folder, slices.column("name").to_pylist(), min(slices.column("shortest").to_pylist()), 4)
+    assert len(windows.slices) >= 2
+
+    class Shared:
+        value = windows
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [data(t) for t in texts]})
+    got = pa.Table.from_batches(list(decontamination._search(Shared)(iter([rows]))))
+    assert [[(x["start"], x["end"]) for x in r] for r in got.column("spans").to_pylist()] == [[(1, 6), (7, 10)], [(0, 4)], [(0, 6)], [], [(0, 3)]]
+    assert got.column("items").to_pylist() == [["0", "1", "3"], ["2"], ["0", "1", "3"], [], ["1"]]
 
 
 def test_fm_index_finds_every_occurrence():
