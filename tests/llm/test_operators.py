@@ -53,9 +53,17 @@ def test_token_counts(spark, docs, empty):
     want = [(i, len(data(t)), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in ROWS]
     assert key(token_counts.count_tokens(docs, path, head_size=50).collect()) == key(want)
     assert token_counts.count_tokens(empty, path).count() == 0
-    odd = " a  b \n c\td\r\n e 　f g'll <|endoftext|> \n\n"
-    parts = [p for r in token_counts.runs(odd.encode()) for p in token_counts.split_run(r)]
+    odd = " a  b \n c\td\r\n e 　f g'll <|endoftext|> \n\n"
+    split = token_counts.pre_tokenizer(path)
+    parts = [p for r in token_counts.runs(odd.encode()) for p in token_counts.split_run(r, split)]
     assert b"".join(parts).decode() == odd
+    han = "日本語の文章。句読点で、分かれる！１２３ и слова".encode()
+    assert len([p for r in token_counts.runs(han) for p in token_counts.split_run(r, split)]) >= 8
+    long = "=" * 90 + " " + "字" * 70
+    rows = [(1, long), (1, long), (2, long + " end"), (None, long), (None, long)]
+    want = [(i, len(t.encode()), n := len(tok.encode(t, add_special_tokens=False).ids), n > 512) for i, t in rows]
+    for size in (0, 2, 50):
+        assert key(token_counts.count_tokens(spark.createDataFrame(rows, SCHEMA).repartition(3), path, head_size=size).collect()) == key(want)
 
 
 def test_bpe(spark, docs, empty):

@@ -6,19 +6,24 @@ of frequency times pieces over its pre-tokens:
 1. count the corpus's distinct pre-tokens (map-side counts, one shuffle of distinct strings);
 2. count the pieces of each distinct pre-token, write that table;
 3. join it to the per-document frequencies.  The most frequent ``head_size`` pre-tokens are held as a broadcast table of
-   bounded size; all others go through an ordinary shuffle join.  Nothing is left out on either side.
+   bounded size; all others, each of them rarer than those, go through an ordinary shuffle join.
+
+A pre-token of more than ``LONG`` bytes goes by its 192-bit digest, so that length keeps none out of the head and no long
+frequent one is a hot key.  Documents meet their sums by doc_id and a 128-bit digest of the text.
 
 Texts are first cut into runs at single spaces and line ends, borders that the tokenizer's pattern never matches across
-(where white space stands beside white space there is no cut).  A run of Latin characters is split by the pattern into
-its pre-tokens; any other run, and one with a special string, is a pre-token of its own: that changes how often the
-library is asked, not what it counts.  What runs split into is remembered in a bounded table.
+(where white space stands beside white space there is no cut).  A run of Latin characters is split by that pattern, one of
+any other script by the library's own pre-tokenizer; only a run that may hold a special string stays whole.  What runs
+split into is remembered in a bounded table.
 
-Defined cases: null text counts as empty; empty texts have 0 tokens; repeated rows each give a row; special strings in a
-text are counted as the library does by default; other columns of the input are ignored.
+Defined cases: null text counts as empty; empty texts have 0 tokens; repeated rows each give a row; an empty table gives
+none; texts of any length are counted whole; special strings in a text are counted as the library does by default; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import unicodedata
@@ -28,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import id_and_text, parts, written
+from twinlens.llm.common import id_and_text, parts, tidy, written
 
-#: Longest pre-token that may be in the broadcast head, in bytes; with head_size it bounds the broadcast.
-HEAD_BYTES = 64
+#: Longest pre-token that stands for itself, in bytes; with head_size it bounds the broadcast.
+LONG = 64
 #: Distinct pre-tokens that a task counts before it hands them on.
 FLUSH = 150_000
 
@@ -45,8 +50,8 @@ _LETTERS = "".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[
 _NUMBERS = "".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == "N")
 #: The byte-level pattern for such characters (its fixed alternatives, in their order).
 _PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
-#: Runs whose split a worker remembers, and the longest of them in bytes.
-KNOWN, KNOWN_BYTES = 300_000, 64
+#: Runs of at most ``LONG`` bytes that a worker remembers.
+KNOWN = 300_000
 
 
 def runs(data: bytes) -> list[bytes]:
@@ -63,21 +68,37 @@ def runs(data: bytes) -> list[bytes]:
     return found
 
 
-def split_run(run: bytes) -> tuple[bytes, ...]:
-    """The pre-tokens of a run, concatenating to it."""
+def split_run(run: bytes, pre_tokenize) -> tuple[bytes, ...]:
+    """The pre-tokens of a run, concatenating to it.  ``pre_tokenize`` is the library's."""
     run = run[1:] if run[:1] == b"\x00" else run if run[:1] == b"\n" else b" " + run
     text = run.decode("utf-8", "replace")
-    if "<|" in text or not _LATIN.fullmatch(text):
+    if "<|" in text:
         return (run,)
-    return tuple([p.encode() for p in _PATTERN.findall(text)])
+    if _LATIN.fullmatch(text):
+        return tuple([p.encode() for p in _PATTERN.findall(text)])
+    return tuple([text[a:b].encode() for _, (a, b) in pre_tokenize(text)])
+
+
+def pre_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+
+
+def key_of(piece: bytes) -> bytes:
+    """What a pre-token goes by; no pre-token begins with the byte that marks digests."""
+    return piece if len(piece) <= LONG else b"\xff" + hashlib.blake2b(piece, digest_size=24).digest()
 
 
 class Splitter(dict):
     """Run to pre-tokens, remembered for short runs up to a bound."""
 
+    def __init__(self, pre_tokenize):
+        self.pre_tokenize = pre_tokenize
+
     def __missing__(self, run: bytes) -> tuple[bytes, ...]:
-        found = split_run(run)
-        if len(run) <= KNOWN_BYTES and len(self) < KNOWN:
+        found = split_run(run, self.pre_tokenize)
+        if len(run) <= LONG and len(self) < KNOWN:
             self[run] = found
         return found
 
@@ -85,8 +106,8 @@ class Splitter(dict):
 class Sizes:
     """What the head's table gives for a text, and frequencies of the pre-tokens that it lacks."""
 
-    def __init__(self, known: dict[bytes, int]):
-        self.known = known
+    def __init__(self, known: dict[bytes, int], pre_tokenize):
+        self.known, self.pre_tokenize = known, pre_tokenize
         #: Runs whose pre-tokens are all in the head, up to a bound.
         self.whole: dict[bytes, int] = {}
 
@@ -98,7 +119,7 @@ class Sizes:
         total, rest = sum(filter(None, got)), Counter()
         for run, n in Counter([r for r, x in zip(found, got, strict=True) if x is None]).items():
             size, whole = 0, True
-            for piece in split_run(run):
+            for piece in map(key_of, split_run(run, self.pre_tokenize)):
                 pieces = self.known.get(piece)
                 if pieces is None:
                     rest[piece] += n
@@ -106,32 +127,34 @@ class Sizes:
                 else:
                     size += pieces
             total += n * size
-            if whole and len(run) <= KNOWN_BYTES and len(self.whole) < KNOWN:
+            if whole and len(run) <= LONG and len(self.whole) < KNOWN:
                 self.whole[run] = size
         return total, rest
 
 
-def _distinct(batches):
-    counts: Counter = Counter()
+def _distinct(path: str):
+    def run(batches):
+        counts: Counter = Counter()
 
-    def flush():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["piece", "n"]
-        )
-        counts.clear()
+        def flush():
+            texts = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, texts), pa.binary()), pa.array([t if len(t) > LONG else None for t in texts], pa.binary()), pa.array(counts.values(), pa.int64())], ["piece", "whole", "n"])
+            counts.clear()
 
-    split = Splitter()
-    for batch in batches:
-        for part in parts(batch):
-            seen: Counter = Counter()
-            for data in part.column("text").to_pylist():
-                seen.update(runs(data))
-            for run, n in seen.items():
-                for piece in split[run]:
-                    counts[piece] += n
-            if len(counts) > FLUSH:
-                yield from flush()
-    yield from flush()
+        split = Splitter(pre_tokenizer(path))
+        for batch in batches:
+            for part in parts(batch):
+                seen: Counter = Counter()
+                for data in part.column("text").to_pylist():
+                    seen.update(runs(data))
+                for run, n in seen.items():
+                    for piece in split[run]:
+                        counts[piece] += n
+                if len(counts) > FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    return tidy(run)
 
 
 def _count_pieces(path: str):
@@ -142,20 +165,20 @@ def _count_pieces(path: str):
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        for batch in batches:
-            pieces = batch.column("piece").to_pylist()
+        for batch in (p for b in batches for p in parts(b, "whole", 10_000)):
+            pieces = [w or p for w, p in zip(batch.column("whole").to_pylist(), batch.column("piece").to_pylist(), strict=True)]
             sizes: list[int] = []
             for k in range(0, len(pieces), 2000):
                 texts = [p.decode("utf-8", "replace") for p in pieces[k : k + 2000]]
                 sizes += [len(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array(sizes, pa.int64())], ["piece", "n", "pieces"])
 
-    return run
+    return tidy(run)
 
 
-def _per_document(head):
+def _per_document(head, path: str):
     def run(batches):
-        sizes = Sizes(head.value)
+        sizes = Sizes(head.value, pre_tokenizer(path))
         for batch in (p for b in batches for p in parts(b)):
             base, tail_at, tail_piece, tail_n = [], [0], [], []
             texts = batch.column("text").to_pylist()
@@ -166,18 +189,19 @@ def _per_document(head):
                 base.append(total)
                 tail_at.append(len(tail_piece))
             entries = pa.StructArray.from_arrays([pa.array(tail_piece, pa.binary()), pa.array(tail_n, pa.int64())], ["piece", "n"])
+            digests = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(base, pa.int64()), pa.ListArray.from_arrays(pa.array(tail_at, pa.int32()), entries)],
-                ["row", "doc_id", "n_bytes", "base", "tail"],
+                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(map(len, texts), pa.int64()), pa.array(base, pa.int64()), pa.ListArray.from_arrays(pa.array(tail_at, pa.int32()), entries)],
+                ["doc_id", "digest", "n_bytes", "base", "tail"],
             )
 
-    return run
+    return tidy(run)
 
 
 def piece_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Distinct pre-tokens of the corpus with corpus frequency ``n`` and number of ``pieces``, written to the shared folder."""
+    """What distinct pre-tokens of the corpus go by, corpus frequency ``n`` and number of ``pieces``, in the shared folder."""
     texts = id_and_text(docs, id_col, text_col).select("text")
-    distinct = texts.mapInArrow(_distinct, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    distinct = texts.mapInArrow(_distinct(tokenizer_path), "piece binary, whole binary, n long").groupBy("piece").agg(F.max("whole").alias("whole"), F.sum("n").alias("n"))
     return written(distinct.mapInArrow(_count_pieces(tokenizer_path), "piece binary, n long, pieces long"))
 
 
@@ -185,17 +209,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head_si
     """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
     spark = docs.sparkSession
     table = piece_table(docs, tokenizer_path, id_col, text_col)
-    frequent = table.where(F.length("piece") <= HEAD_BYTES).orderBy(F.desc("n"), "piece").limit(head_size).select("piece", "pieces")
-    rows = frequent.toArrow()
+    rows = table.orderBy(F.desc("n"), "piece").limit(head_size).select("piece", "pieces").toArrow()
     head = spark.sparkContext.broadcast(dict(zip(rows.column("piece").to_pylist(), rows.column("pieces").to_pylist(), strict=True)))
-    per_doc = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    mapped = per_doc.mapInArrow(_per_document(head), "row long, doc_id long, n_bytes long, base long, tail array<struct<piece: binary, n: long>>")
-    # a first entry of each row carries what the head gave; its key is the row's own and matches no pre-token
+    mapped = id_and_text(docs, id_col, text_col).mapInArrow(_per_document(head, tokenizer_path), "doc_id long, digest binary, n_bytes long, base long, tail array<struct<piece: binary, n: long>>")
+    # a first entry of each row carries what the head gave; its key is a row's own and matches no pre-token
     none = F.lit(None).cast("long")
-    own = F.struct(F.concat(F.lit(b"\xff\xfe"), F.col("row").cast("string").cast("binary")).alias("piece"), none.alias("n"), F.col("base").alias("add"), F.col("doc_id").alias("doc_id"), F.col("n_bytes").alias("n_bytes"))
-    rest = F.transform("tail", lambda x: F.struct(x.piece.alias("piece"), x.n.alias("n"), none.alias("add"), none.alias("doc_id"), none.alias("n_bytes")))
-    entries = mapped.select("row", F.explode(F.concat(F.array(own), rest)).alias("e")).select("row", "e.*")
+    own = F.struct(F.concat(F.lit(b"\xfe"), "digest").alias("piece"), none.alias("n"), F.col("base").alias("add"), F.col("n_bytes").alias("n_bytes"))
+    rest = F.transform("tail", lambda x: F.struct(x.piece.alias("piece"), x.n.alias("n"), none.alias("add"), none.alias("n_bytes")))
+    entries = mapped.select("doc_id", "digest", F.explode(F.concat(F.array(own), rest)).alias("e")).select("doc_id", "digest", "e.*")
     joined = entries.join(table.select("piece", "pieces"), "piece", "left")
     total = F.coalesce(F.sum("add"), F.lit(0)) + F.coalesce(F.sum(F.col("n") * F.col("pieces")), F.lit(0))
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), total.alias("n_tokens"))
-    return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # repeated rows have their sums together
+    summed = joined.groupBy("doc_id", "digest").agg(F.max("n_bytes").alias("n_bytes"), F.count("add").alias("rows"), total.alias("total"))
+    each = summed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    n_tokens = F.expr("total div rows")
+    return each.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
