@@ -109,11 +109,10 @@ def test_license_scan(spark, docs, empty):
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted({x for _, x in places})))
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         best = 0.0
-        for b in range(0, len(w), 32):
-            block = set(w[b : b + 64])
-            for label, x in license_scan.TEMPLATES:
-                m = {y.encode() for y in x.split()}
-                share = len(m & block) / len(m)
+        for label, x in license_scan.TEMPLATES:
+            m, half = {y.encode() for y in x.split()}, max(32, 1 << (len(x.split()) - 1).bit_length())
+            for b in range(0, len(w), half):
+                share = len(m & set(w[b : b + 2 * half])) / len(m)
                 if share >= 0.8:
                     best = max(best, share)
                     assert label in r.labels.split(",")
@@ -601,6 +600,23 @@ def test_toxicity_counts_all_labels_of_equal_texts(spark):
 def test_license_scan_finds_templates_longer_than_a_block(spark):
     rng = random.Random(2)
     long = " ".join(f"term{i}" for i in range(150))
-    docs = spark.createDataFrame([(1, " ".join([*corpus.words(rng, 70), long, *corpus.words(rng, 90)])), (2, " ".join(corpus.words(rng, 300)))], SCHEMA)
-    got = {r.doc_id: r for r in license_scan.license_scan(docs, templates=(("long", long),)).collect()}
+    whole = max((x for k, x in license_scan.TEMPLATES if k == "mit"), key=len)
+    docs = spark.createDataFrame([(1, " ".join([*corpus.words(rng, 70), long, *corpus.words(rng, 90)])), (2, " ".join(corpus.words(rng, 300))), (3, " ".join([*corpus.words(rng, 200), whole.upper(), *corpus.words(rng, 30)]))], SCHEMA)
+    got = {r.doc_id: r for r in license_scan.license_scan(docs, templates=(("long", long), ("none", " , "))).collect()}
     assert got[1].labels == "long" and got[1].score == 1 and got[2].labels == ""
+    assert license_scan.license_scan(docs.where("doc_id = 3")).first().labels == "mit"
+
+
+def test_license_filters_lose_no_match():
+    """Prefix, length and positional filters against plain containment, on random records around the threshold."""
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(40)]
+    rank = {w.encode(): k for k, w in enumerate(vocabulary)}
+    for threshold in (0.5, 0.8, 1.0):
+        templates = [license_scan.Template(str(k), " ".join(rng.sample(vocabulary, rng.randint(1, 12))), threshold, False, rank) for k in range(30)]
+        index = license_scan.Index(32, templates)
+        for _ in range(400):
+            base = rng.choice(templates).order
+            record = sorted({*rng.sample(base, rng.randint(0, len(base))), *rng.sample(range(40), rng.randint(0, 10))})
+            want = {(t.label, n) for t in templates if (n := len(set(record) & set(t.order))) >= threshold * len(t.order) - 1e-9}
+            assert {(t.label, n) for t, n in index.matches(record)} == want

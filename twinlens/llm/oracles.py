@@ -18,16 +18,15 @@ def _alnum(text: str) -> str:
 
 def _license() -> str:
     phrases = ", ".join(f"('{k}', {x.split()!r})" for k, x in license_scan.PHRASES)
-    templates = ", ".join(f"('{k}', {i}, {sorted(set(x.split()))!r})" for i, (k, x) in enumerate(license_scan.TEMPLATES))
-    half, block = license_scan.BLOCK // 2, license_scan.BLOCK
+    templates = ", ".join(f"('{k}', {i}, {license_scan.half_of(len(x.split()))}, {sorted(set(x.split()))!r})" for i, (k, x) in enumerate(license_scan.TEMPLATES))
     return f"""
 with w as (select doc_id, {_alnum("text")} as ws from documents),
 p as (select * from (values {phrases}) t(label, words)),
 places as (select distinct doc_id, i, label from (select doc_id, ws, unnest(range(0, len(ws))) as i from w) x, p where ws[i + 1] = p.words[1] and ws[i + 1 : i + len(p.words)] = p.words),
-t as (select * from (values {templates}) t(label, number, words)),
-blocks as (select distinct doc_id, b, unnest(ws[b + 1 : b + {block}]) as word from (select doc_id, ws, unnest(range(0, len(ws), {half})) as b from w)),
-met as (select doc_id, label, number, count(*) / any_value(len(words))::double as share from blocks join (select label, number, words, unnest(words) as word from t) using (word)
-  group by doc_id, b, label, number having count(*) >= ceil(0.8 * any_value(len(words)) - 1e-9)),
+t as (select *, len(words) as size from (values {templates}) t(label, number, half, words)),
+blocks as (select distinct doc_id, half, b, unnest(ws[b + 1 : b + 2 * half]) as word from (select doc_id, ws, half, unnest(range(0, len(ws), half)) as b from w, (select distinct half from t))),
+met as (select doc_id, label, number, count(*) / any_value(size)::double as share from blocks join (select label, number, half, size, unnest(words) as word from t) using (word, half)
+  group by doc_id, b, label, number having count(*) >= ceil(0.8 * any_value(size) - 1e-9)),
 l as (select doc_id, label from places union select doc_id, label from met)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
   greatest(case when n_base > 0 then 1.0 else 0.0 end, coalesce(best, 0))::double as score
