@@ -492,11 +492,59 @@ def test_quality_classifier(spark, docs, empty):
     model = quality_classifier.fit(frame)
     got = {r.doc_id: r for r in quality_classifier.score(frame, model).collect()}
     assert sum(got[i].kept for i, _ in good) >= 0.97 * len(good) and sum(not got[i].kept for i, _ in bad) >= 0.9 * len(bad)
-    assert got[5001].kept and model.accuracies()["symbols"][1] > 0.9
+    assert model.accuracies()["symbols"][1] > 0.9
     assert quality_classifier.score(docs, model).count() == len(ROWS)
+    rows = [*good, *bad, (5000, None), (5001, "two words")]
+    features = quality_classifier.Features(model.bits)
+    for i, t in rows:
+        w = data(t).split()
+        places, values = features.vector(w, quality_classifier.measures(data(t), w))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(sum(model.weight[p] * v for p, v in zip(places, values)) + model.shift))))
+    clashing = spark.createDataFrame([(1, "a b", 5, 6, 7), (1, "a b", 5, 6, 7)], "doc_id long, text string, pattern int, size int, before int")
+    assert [r.n_words for r in quality_classifier.score(clashing, quality_classifier.fit(clashing)).collect()] == [2, 2]
     assert quality_classifier.score(empty, quality_classifier.fit(empty)).count() == 0
 
 
+def test_expectation_maximisation():
+    """Against a plain second implementation, pattern by pattern, and on voters of known accuracy."""
+    rng = random.Random(3)
+    labellers, histogram, truth = len(quality_classifier.LABELLERS), Counter(), defaultdict(Counter)
+    right = [0.95, 0.9, 0.85, 0.8, 0.9, 0.75, 0.7, 0.6]
+    for _ in range(3000):
+        y, code = int(rng.random() < 0.7), 0
+        for k in range(labellers):
+            code = 3 * code + (2 if rng.random() < 0.2 else y if rng.random() < right[k] else 1 - y)
+        histogram[code] += 1
+        truth[code][y] += 1
+    post, table, share = quality_classifier.estimate(histogram)
+    begin = ((0.35, 0.15, 0.5), (0.1, 0.5, 0.4))
+    say, prior, belief = [[list(begin[c]) for c in (0, 1)] for _ in range(labellers)], 0.8, {}
+    for _ in range(200):
+        new = {}
+        for code in histogram:
+            odds = [1 - prior, prior]
+            for k, v in enumerate(quality_classifier.votes_of(code)):
+                for c in (0, 1):
+                    odds[c] *= say[k][c][v]
+            new[code] = odds[1] / sum(odds)
+        for k in range(labellers):
+            for c in (0, 1):
+                counts = [2 * x for x in begin[c]]
+                for code, n in histogram.items():
+                    counts[quality_classifier.votes_of(code)[k]] += n * (new[code] if c else 1 - new[code])
+                say[k][c] = [x / sum(counts) for x in counts]
+        prior = (sum(n * new[c] for c, n in histogram.items()) + 4) / (sum(histogram.values()) + 5)
+        done = belief and max(abs(new[c] - belief[c]) for c in new) < 1e-9
+        belief = new
+        if done:
+            break
+    assert all(post[c] == pytest.approx(belief[c], abs=1e-6) for c in histogram) and share == pytest.approx(prior, abs=1e-6)
+    assert table.ravel().tolist() == pytest.approx([x for k in say for c in k for x in c], abs=1e-6)
+    for k in range(labellers):
+        assert table[k, 1, 1] / (table[k, 1, 0] + table[k, 1, 1]) == pytest.approx(right[k], abs=0.04)
+    assert sum(truth[c][int(post[c] >= 0.5)] for c in truth) > 0.97 * 3000
+
+
 def test_cutting_spans_keeps_the_rest():
     assert cut_spans(b"a, b c.\nd", SPACE_WORD, [(1, 3)]) == b"a, d"
     assert cut_spans(b"One, two three", ALNUM_WORD, [(0, 1)]) == b"two three"

@@ -11,8 +11,11 @@ tree of their own.  The table of known words is bounded.
 Text preparation (normaliser, pre-tokenizer, special strings) is the tokenizer file's own; it acts on runs between white
 space, since this kind of vocabulary drops white space and never joins across it.
 
-Defined cases: a null text counts as empty and has no ids; a row of the input gives a row of the output, repeated rows
-too; very long runs cost n log n; columns other than the two named are ignored.
+A word's tokens are decoded when it is encoded; since decoding puts a space between tokens, a text's decoded words with
+spaces between are the text decoded.
+
+Defined cases: a null or empty text has no ids; a row of the input gives a row of the output, repeated rows too; an empty
+table gives none; texts are taken whole, very long runs cost n log n; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from twinlens.llm.common import id_and_text, parts
+from twinlens.llm.common import id_and_text, parts, tidy
 
 #: Symbols in the widest forest; longer runs get a tree each.
 WIDEST = 64
-#: Words that a worker remembers at most.
-KNOWN = 200_000
+#: Words that a worker remembers at most, and the longest of them in bytes: together they bound the tables.
+KNOWN, LONGEST = 200_000, 64
 _NONE = np.int64(2**62)
 
 
@@ -212,6 +215,8 @@ class WordBpe:
         #: What a run between white space and what a pre-token gives: number of ids, ids, tokens.
         self.known: dict[bytes, tuple[int, str, str]] = {}
         self.words: dict[str | int, tuple[int, str, str]] = {}
+        self.long: list[bytes] = []
+        self.held_long = False
         self.blank = False
         self.plain = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER
 
@@ -265,12 +270,19 @@ class WordBpe:
     def learn(self, runs: set[bytes], bounded: bool = True) -> bool:
         """Put runs into the table of known ones: number of ids, ids and tokens as text.
 
-        True if the table was full: then the later half, which is rare runs for the most part, was forgotten first.
+        True if the table was full: then the later half, which is rare runs for the most part, was forgotten first.  Long
+        runs are remembered up to the next call only.
         """
+        for long in self.long:
+            self.known.pop(long, None)
+        self.long = [r for r in runs if len(r) > LONGEST]
         if full := bounded and len(self.known) + len(runs) > KNOWN:
             _forget(self.known)
         if len(self.words) > KNOWN:
             _forget(self.words)
+        for long in [p for p in self.words if isinstance(p, str) and len(p) > LONGEST] if self.held_long else []:
+            del self.words[long]
+        self.held_long = bool(self.long)
         order = list(runs)
         for at in range(0, len(order), 20_000):
             some = order[at : at + 20_000]
@@ -278,8 +290,8 @@ class WordBpe:
             new = list({p for x in parts for p in x if p not in self.words})
             fresh = [p for p in new if isinstance(p, str)]
             for p, ids in zip(fresh, self.encode_words(fresh), strict=True):
-                self.words[p] = (len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids]))
-            self.words.update((p, (1, str(p), self.token[p])) for p in new if isinstance(p, int))
+                self.words[p] = (len(ids), " ".join([self.digits[i] for i in ids]), self.decode(ids))
+            self.words.update((p, (1, str(p), self.decode([p]))) for p in new if isinstance(p, int))
             for run, x in zip(some, parts, strict=True):
                 if len(x) == 1:
                     self.known[run] = self.words[x[0]]
@@ -344,7 +356,7 @@ def _encode(path: str, digest: bool):
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,11 +3,14 @@
 Overlapping heuristic labellers vote low, good or nothing on each text.  Expectation-maximisation (Dawid and Skene, 1979)
 estimates from the votes alone how each labeller votes on good and on low texts; it works on the histogram of vote
 patterns of all documents, whose size is bounded by 3 ** labellers.  The posterior of its pattern is a text's soft label.
-Soft labels of at most ``sample`` texts (those of smallest id hash; a parameter) train a logistic scorer over hashed
-features: words, word shapes and binned measures.  Every document is scored.
+Soft labels of at most ``sample`` texts and ``sample_bytes`` of text (those of smallest id hash; both are parameters) train
+a logistic scorer over hashed features: words, word shapes and binned measures.  Both classes weigh the same in training;
+the log-odds of the classes in the sample are added to the score afterwards, so that a text which says little, such as a
+very short one, is judged by how common good texts are.  Every document is scored, by the scorer alone.
 
 Defined cases: null and empty texts have no features but their emptiness and are voted low; repeated rows each count and
-each give a row; without documents nothing is fitted; extra columns are ignored.
+each give a row; texts of any length are scored whole; rows without a doc_id are scored and counted for the labellers, but
+not sampled; without documents nothing is fitted and there is no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +22,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import id_and_text, parts
+from twinlens.llm.common import id_and_text, parts, tidy
 from twinlens.llm.quality_rules import STOP_WORDS
 
 LOW, GOOD, NONE = 0, 1, 2
-#: A shorter text, unless empty, is too little to call low: it scores the share of good texts at least.
-LEAST_WORDS = 10
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 _SYMBOLS, _CAPITALS = b"#*$%&|<>", bytes(range(65, 91))
 _SHAPE = (re.compile(rb"[\x80-\xff]+|[a-z]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+"))
@@ -82,7 +83,10 @@ def votes_of(code: int) -> list[int]:
 
 
 def estimate(histogram: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:
-    """Posterior of good for each pattern, vote distributions (labeller, class, vote) and the share of good texts."""
+    """Posterior of good for each pattern, vote distributions (labeller, class, vote) and the share of good texts.
+
+    To abstain is a third vote: labellers that only ever say one thing tell the classes apart by when they say nothing.
+    """
     codes = sorted(histogram)
     votes = np.array([votes_of(c) for c in codes]).reshape(len(codes), len(LABELLERS))
     weight = np.array([histogram[c] for c in codes], float)
@@ -153,11 +157,11 @@ def _sampled(bits: int):
             columns = [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["pattern", "places", "values"])
 
-    return run
+    return tidy(run)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits: int, rounds: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by Adagrad over the whole sample."""
+    """Logistic regression on soft targets, classes balanced, by Adagrad over the whole sample; then the classes' log-odds."""
     weight, shift = np.zeros(1 << bits), 0.0
     if not rows:
         return weight, shift
@@ -173,7 +177,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits: i
         weight -= 0.5 * gradient / np.sqrt(seen)
         seen_shift += error.sum() ** 2
         shift -= 0.5 * error.sum() / math.sqrt(seen_shift)
-    return weight, shift
+    good = int((target >= 0.5).sum())
+    return weight, shift + (math.log(good / (len(rows) - good)) if 0 < good < len(rows) else 0.0)
 
 
 class Model:
@@ -185,11 +190,13 @@ class Model:
         return {name: (float(t[0, LOW] / (t[0, LOW] + t[0, GOOD])), float(t[1, GOOD] / (t[1, LOW] + t[1, GOOD]))) for (name, _), t in zip(LABELLERS, self.table, strict=True)}
 
 
-def fit(docs: DataFrame, sample: int = 8_000, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, sample: int = 8_000, sample_bytes: int = 64_000_000, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> Model:
     texts = id_and_text(docs, id_col, text_col)
     histogram = {r.pattern: r.n for r in texts.select("text").mapInArrow(_patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     posterior, table, share = estimate(histogram)
-    ids = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    sizes = texts.where("doc_id is not null").groupBy("doc_id").agg(F.sum(F.length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    ids = sizes.withColumn("before", before).where((F.col("before") <= sample_bytes) | (F.col("before") == F.col("size"))).select("doc_id")
     picked = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(_sampled(bits), "pattern int, places array<int>, values array<double>").toArrow()
     rows = [(np.asarray(p, np.int32), np.asarray(v)) for p, v in zip(picked.column("places").to_pylist(), picked.column("values").to_pylist(), strict=True)]
     target = np.array([posterior.get(c, 0.5) for c in picked.column("pattern").to_pylist()])
@@ -210,10 +217,10 @@ def _score(shared):
                 weak.append(model.posterior.get(pattern(m), model.share))
                 z = float(model.weight[places] @ values) + model.shift
                 judged = 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
-                scores.append(judged if not words or len(words) >= LEAST_WORDS else max(judged, model.share))
+                scores.append(judged)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(weak, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "n_words", "weak_label", "score"])
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
