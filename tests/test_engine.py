@@ -230,7 +230,7 @@ def test_stream_of_images(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     write_png(tmp_path / "in/a.png", picture(1, 120, 90))
-    decode(scan_directories(spark, [str(tmp_path / "in")]), [str(tmp_path / "in")]).write.parquet(str(tmp_path / "feed"))
+    decode(scan_directories(spark, [str(tmp_path / "in")])).write.parquet(str(tmp_path / "feed"))
     store = jobs.open_store(spark, str(tmp_path / "db"))
     feed = spark.readStream.schema(spark.read.parquet(str(tmp_path / "feed")).schema).parquet(str(tmp_path / "feed"))
     hash_stream(feed, store, str(tmp_path / "check")).awaitTermination()
@@ -262,3 +262,57 @@ def test_queries_are_registered(spark):
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len([q for q in queries if not q.startswith("op")]) >= 30
+
+
+def test_only_uncached_files_are_decoded(spark, tmp_path):
+    from twinlens.sources.images import load
+
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        write_png(tmp_path / "in" / f"p[{k}].png", picture(k, 90, 80))
+    (tmp_path / "in" / "broken.png").write_bytes(b"no picture")
+    store = S.ImageStore(spark, f"file://{tmp_path}/store")
+    first = jobs.scan(store, [str(tmp_path / "in")], 2)
+    assert (first["files"], first["hashed"], first["failed"], first["cached"]) == (5, 4, 1, 0)
+    write_png(tmp_path / "in" / "new.png", picture(9, 90, 80))
+    (tmp_path / "in" / "broken.png").unlink()
+    todo = store.uncached(scan_directories(spark, [str(tmp_path / "in")])).where("not cached")
+    assert [os.path.basename(f) for f in load(todo).inputFiles()] == ["new.png"]
+    second = jobs.scan(store, [str(tmp_path / "in")], 2)
+    assert (second["files"], second["hashed"], second["failed"], second["cached"]) == (5, 1, 0, 4)
+    assert store.read("image_records").count() == 5
+
+
+def test_a_table_is_replaced_in_one_step(spark, tmp_path):
+    store = S.ImageStore(spark, f"file://{tmp_path}/store")
+    for rows in ([rec("/a")], [rec("/a"), rec("/b")], [rec("/c")]):
+        held = store.read("image_records")
+        n = held.count()
+        store.write("image_records", recs(spark, *rows))
+        assert held.count() == n and {r.path for r in store.read("image_records").collect()} == {r[0] for r in rows}
+    store.write("image_records", store.read("image_records").withColumn("file_size", F.lit(7)))
+    assert [r.file_size for r in store.read("image_records").collect()] == [7]
+    assert len([d for d in os.listdir(tmp_path / "store/image_records") if d.startswith("version-")]) == 2
+
+
+def test_bands_are_cheap_and_meet(spark):
+    for rows, threshold in ((10**5, 10), (10**6, 10), (10**6, 12), (10**9, 10)):
+        cut = C.bands(rows, threshold)
+        assert sum(bits for _, bits, _ in cut) == 64 and (threshold // len(cut)) <= cut[0][2]
+    assert sum(len(C._masks(b, (r + 1) // 2)) for _, b, r in C.bands(10**6, 10)) < 100
+    rng = np.random.default_rng(4)
+    x = [int(v) for v in rng.integers(-(2**63), 2**63, 60)]
+    y = []
+    for v in x:
+        flips = rng.choice(64, int(rng.integers(0, 14)), replace=False)
+        y.append(int(np.array((v & (2**64 - 1)) ^ sum(1 << int(f) for f in flips), np.uint64).view(np.int64)))
+    left, right = (spark.createDataFrame([(v,) for v in h], "h long") for h in (x, y))
+    want = {(a, b) for a in x for b in y if ((a ^ b) & (2**64 - 1)).bit_count() <= 10}
+    for rows in (10**5, 10**6, 10**8):
+        assert {tuple(r) for r in C.near_hashes(left, right, 10, rows).collect()} == want
+
+
+def test_the_text_report_shows_where_a_crop_lies(spark):
+    found = spark.createDataFrame([("/a", "/b", 0.9, 0.9, 0.1, 0.9, (5, 6, 70, 80), 0.95, [])], schemas.SCORED_PAIRS)
+    lines = list(report.text_lines(found, recs(spark, rec("/a", width=200), rec("/b"))))
+    assert any("at 5,6 70x80" in x for x in lines)

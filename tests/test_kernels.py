@@ -69,8 +69,8 @@ def test_simple_metrics():
 
 def test_tiles():
     assert len(pixels.tiles(600, 500)) == 29
-    assert pixels.tiles(100, 3000) == []
-    number, x, y, w, h = pixels.tiles(601, 500)[1]
+    assert len(pixels.tiles(100, 3000)) == 0
+    number, x, y, w, h = pixels.tiles(601, 500)[1].tolist()
     assert (number, x, y, w, h) == (1, 300, 0, 301, 250)
 
 
@@ -109,3 +109,11 @@ def test_homography_rules():
     assert not crops.plausible(np.diag([0.05, 0.05, 1.0]), (200, 200), shape)
     assert not crops.plausible(np.diag([-0.5, 0.5, 1.0]), (200, 200), shape)
     assert crops.box_of(half, shape) == (0, 0, 50, 50)
+
+
+def test_lightness_is_evened_and_colours_stay():
+    gray = np.random.default_rng(0).integers(100, 121, (512, 512)).astype(np.uint8)  # little contrast within each cell
+    out = crops.evened(np.repeat(gray[..., None], 3, 2))
+    assert out.std() > 1.5 * gray.std() and (crops.evened(gray) == out).all()
+    coloured = picture(3, 160, 120)
+    assert crops.evened(coloured).shape == (120, 160) and abs(int(crops.evened(np.full((64, 64, 3), 255, np.uint8)).mean()) - 255) <= 2

@@ -101,8 +101,3 @@ def hex64(number: Column) -> Column:
 def cosine_of_units(a: Column, b: Column) -> Column:
     """Dot product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def scaled_box(box: Column, sx: Column, sy: Column) -> Column:
-    """A box in another image's pixels; fractions are cut off."""
-    return F.struct((box.x * sx).cast("int").alias("x"), (box.y * sy).cast("int").alias("y"), (box.w * sx).cast("int").alias("w"), (box.h * sy).cast("int").alias("h"))

@@ -46,21 +46,24 @@ def correlation_map(large: np.ndarray, small: np.ndarray) -> np.ndarray:
     return np.clip(out, -1, 1)
 
 
+def _best_place(large: np.ndarray, template: np.ndarray) -> tuple[float, Box]:
+    """Greatest correlation of a template in a larger image, and its box."""
+    found = correlation_map(large, template)
+    y, x = np.unravel_index(int(found.argmax()), found.shape)
+    return float(found[y, x]), (int(x), int(y), template.shape[1], template.shape[0])
+
+
 def detect_template(large: np.ndarray, small: np.ndarray, scales=(1.0, 0.9, 0.8, 0.7)) -> tuple[float, Box | None]:
-    """Confidence and box of the best match over some scales of the template; no box below a correlation of 0.4."""
+    """Confidence and box of the best match over some scales of the template; no box below a correlation of 0.4.
+
+    Scales whose template has a side below 8 or doesn't fit are left out; of equal matches the first scale's counts.
+    """
     a, b = gray_of(large), gray_of(small)
-    best, box = -1.0, None
-    for scale in scales:
-        h, w = int(b.shape[0] * scale), int(b.shape[1] * scale)
-        if h < 8 or w < 8 or h > a.shape[0] or w > a.shape[1]:
-            continue
-        found = correlation_map(a, b if scale == 1.0 else resize(b, w, h).astype(float))
-        y, x = np.unravel_index(int(found.argmax()), found.shape)
-        if found[y, x] > best:
-            best, box = float(found[y, x]), (int(x), int(y), w, h)
-    if box is None or best < 0.4:
-        return max(0.0, best), None
-    return sharpen(best, 0.7, 8), box
+    sizes = [(int(b.shape[1] * s), int(b.shape[0] * s)) for s in scales]
+    fitting = [size for size in sizes if min(size) >= 8 and size[0] <= a.shape[1] and size[1] <= a.shape[0]]
+    templates = [b if size == b.shape[::-1] else resize(b, *size).astype(float) for size in fitting]
+    best, box = max((_best_place(a, t) for t in templates), key=lambda m: m[0], default=(0.0, None))
+    return (sharpen(best, 0.7, 8), box) if best >= 0.4 else (max(0.0, best), None)
 
 
 def equalized(gray: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarray:
@@ -85,6 +88,27 @@ def equalized(gray: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarray
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+#: Linear sRGB to XYZ over the white point D65 (fixed values), rows X, Y, Z.
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+_BEND = 6 / 29
+
+
+def evened(image: np.ndarray) -> np.ndarray:
+    """Gray values of an image whose lightness (of L*a*b*) was equalised, colours kept."""
+    rgb = (image if image.ndim == 3 else np.repeat(image[..., None], 3, 2))[..., :3].astype(float) / 255
+    linear = np.where(rgb > 0.04045, ((rgb + 0.055) / 1.055) ** 2.4, rgb / 12.92)
+    xyz = linear @ _XYZ.T / _WHITE
+    f = np.where(xyz > _BEND**3, np.cbrt(xyz), xyz / (3 * _BEND**2) + 4 / 29)
+    lightness = 116 * f[..., 1] - 16
+    new = equalized(np.clip(np.rint(lightness * 2.55), 0, 255).astype(np.uint8)) / 2.55
+    f = f + ((new + 16) / 116 - f[..., 1])[..., None]  # a* and b* are differences to the middle one
+    linear = np.where(f > _BEND, f**3, 3 * _BEND**2 * (f - 4 / 29)) * _WHITE @ np.linalg.inv(_XYZ).T
+    linear = np.clip(linear, 0, 1)
+    rgb = np.where(linear > 0.0031308, 1.055 * linear ** (1 / 2.4) - 0.055, 12.92 * linear)
+    return np.clip(np.rint(gray_of(rgb * 255)), 0, 255).astype(np.uint8)
+
+
 #: A circle of 16 pixels with radius 3, clockwise from the top (dy, dx).
 _ANGLES = np.arange(16) * np.pi / 8
 CIRCLE = np.stack([-np.rint(3 * np.cos(_ANGLES)), np.rint(3 * np.sin(_ANGLES))], 1).astype(int)
@@ -214,7 +238,7 @@ def box_of(h: np.ndarray, small: tuple[int, ...]) -> Box:
 
 def detect_keypoints(large: np.ndarray, small: np.ndarray, features: int = 2000, ratio: float = 0.75, least: int = 15) -> tuple[float, Box | None]:
     """Confidence and box of the small image in the large one, by matched keypoints and a robust homography."""
-    (pa, da), (pb, db) = (keypoints(equalized(np.rint(gray_of(x)).astype(np.uint8)), features) for x in (large, small))
+    (pa, da), (pb, db) = (keypoints(evened(x), features) for x in (large, small))
     if len(pa) < 8 or len(pb) < 8:
         return 0.0, None
     pairs = []

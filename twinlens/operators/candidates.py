@@ -1,9 +1,10 @@
 """Candidate search: Hamming joins of full and tile hashes, and the size-mismatch join.
 
 A Hamming join at or below t has two exact plans.  Up to ``NESTED_ROWS`` rows one side is broadcast and every pair is
-tested; that side's size is checked first.  Beyond, hashes are cut into m bands of about log2(rows) bits: two hashes
-within t agree in some band up to t // m bits, so each distinct hash probes every band with all such changes and the
-join is an equi-join on (band, bits).  Equal hashes are joined once and expanded at the end.
+tested; that side's size is checked first.  Beyond, hashes are cut into m bands: two hashes within t agree in some band up
+to r = t // m bits, so one side probes each band with all changes of up to half of r bits, the other with the other half,
+and the join is an equi-join on (band, bits).  m is chosen by what rows and comparisons cost.  Equal hashes are joined
+once and expanded at the end.
 """
 
 from __future__ import annotations
@@ -23,9 +24,19 @@ THRESHOLDS = {"phash": 10, "dhash": 10, "whash": 12}
 NO_DISTANCE = 64
 
 
+#: What a row in a shuffle costs, in comparisons of two hashes.
+ROW_COST = 20
+
+
 def bands(rows: int, threshold: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of each band for a table of so many rows."""
-    count = max(1, min(threshold + 1, round(64 / max(4.0, math.log2(max(rows, 16))))))
+    """(shift, bits, radius) of each band, the cheapest for a table of so many rows."""
+
+    def cost(count: int) -> float:
+        bits, radius = 64 // count, threshold // count
+        x, y = (sum(math.comb(bits, r) for r in range(half + 1)) for half in ((radius + 1) // 2, radius // 2))
+        return count * (ROW_COST * (x + y) + x * y * rows / 2**bits)
+
+    count = min(range(1, threshold + 2), key=cost)
     edges = [64 * k // count for k in range(count + 1)]
     return [(a, b - a, threshold // count) for a, b in itertools.pairwise(edges)]
 
@@ -34,23 +45,28 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in some) for r in range(radius + 1) for some in itertools.combinations(range(bits), r)]
 
 
-def _band_values(h: Column, cut: list[tuple[int, int, int]], probe: bool) -> Column:
-    return F.explode(F.concat(*(_one_band(h, k, band, probe) for k, band in enumerate(cut))))
+def _band_values(h: Column, cut: list[tuple[int, int, int]], upper: bool) -> Column:
+    return F.explode(F.concat(*(_one_band(h, k, band, upper) for k, band in enumerate(cut))))
 
 
-def _one_band(h: Column, number: int, band: tuple[int, int, int], probe: bool) -> Column:
-    """Array of (band, bits): the band's own bits, or all that differ from them by up to the radius."""
+def _one_band(h: Column, number: int, band: tuple[int, int, int], upper: bool) -> Column:
+    """Array of (band, bits): all that differ from the band's own bits by up to a half of the radius."""
     shift, bits, radius = band
     value = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else h
-    changes = F.array(*(F.lit(m).cast("bigint") for m in (_masks(bits, radius) if probe else [0])))
+    changes = F.array(*(F.lit(m).cast("bigint") for m in _masks(bits, (radius + upper) // 2)))
     return F.transform(changes, lambda m: F.struct(F.lit(number).alias("band"), value.bitwiseXOR(m).alias("bits")))
 
 
+def over_all_cores(streamed: DataFrame) -> DataFrame:
+    """The streamed side of a nested loop; a small table lies in one file and would be one task."""
+    return streamed.repartition(streamed.sparkSession.sparkContext.defaultParallelism)
+
+
 def near_hashes(left: DataFrame, right: DataFrame, threshold: int, rows: int) -> DataFrame:
     """Distinct (x, y) with x a hash of ``left``, y one of ``right``, at most ``threshold`` bits apart; frames have column h."""
     x, y = left.select(F.col("h").alias("x")).distinct(), right.select(F.col("h").alias("y")).distinct()
     if rows <= NESTED_ROWS:
-        return x.join(F.broadcast(y), hamming(F.col("x"), F.col("y")) <= threshold)
+        return over_all_cores(x).join(F.broadcast(y), hamming(F.col("x"), F.col("y")) <= threshold)
     cut = bands(rows, threshold)
     probes = x.select("x", _band_values(F.col("x"), cut, True).alias("key")).select("x", "key.*")
     stored = y.select("y", _band_values(F.col("y"), cut, False).alias("key")).select("y", "key.*")
@@ -71,7 +87,7 @@ def hash_candidates(records: DataFrame, thresholds: dict[str, int] | None = None
     for k, t in limit.items():
         any_near = any_near | (distance[k] <= t)
     if rows <= nested_rows:
-        pairs = a.join(F.broadcast(b), (F.col("path_a") < F.col("path_b")) & any_near)
+        pairs = over_all_cores(a).join(F.broadcast(b), (F.col("path_a") < F.col("path_b")) & any_near)
     else:
         found = None
         for k, t in limit.items():
@@ -118,7 +134,7 @@ def size_mismatches(records: DataFrame, existing: DataFrame | None = None, ratio
     met = (F.col("large_area") >= ratio * F.col("small_area")) & (F.col("small_area") > 0)
     met = met & ((F.col("small_area") < F.col("large_area")) | ((F.col("small_area") == F.col("large_area")) & (F.col("small_path") < F.col("large_path"))))
     if slim.count() <= NESTED_ROWS:
-        pairs = small.join(F.broadcast(large), met)
+        pairs = over_all_cores(small).join(F.broadcast(large), met)
     else:
         step = math.log(max(ratio, 1.25))
         of = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / F.lit(step)).cast("int")

@@ -14,31 +14,33 @@ from twinlens.sources.store import TILE_MIN_AREA
 _HASHES = pa.struct([("phash", pa.int64()), ("dhash", pa.int64()), ("whash", pa.int64())])
 
 
-def tile_regions(images: DataFrame, grids=(2, 3, 4), least: int = 64) -> DataFrame:
-    """Tiles of images of at least 250 000 pixels, in SQL: path, tile_idx, tx, ty, tw, th."""
+def tile_regions(images: DataFrame) -> DataFrame:
+    """Tiles of images of at least ``TILE_MIN_AREA`` pixels, as the scan cuts them: path, tile_idx, tx, ty, tw, th."""
+
+    def run(batches):
+        for batch in batches:
+            found = [pixels.tiles(w, h) for w, h in zip(batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True)]
+            paths = pa.array(np.repeat(np.arange(len(found)), [len(t) for t in found]))
+            rows = np.concatenate([np.zeros((0, 5), np.int64), *found])
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(paths), *(pa.array(rows[:, k], pa.int32()) for k in range(5))], ["path", "tile_idx", "tx", "ty", "tw", "th"])
+
     large = images.where(area(F.col("width"), F.col("height")) >= TILE_MIN_AREA)
-    grid = large.select("path", "width", "height", F.posexplode(F.array(*(F.lit(g) for g in grids))).alias("place", "n"))
-    grid = grid.withColumn("w", F.expr("width div n").cast("int")).withColumn("h", F.expr("height div n").cast("int"))
-    # grids before this one that weren't left out; an image's grids nest in size, so these are the coarser ones
-    before = F.aggregate(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(g).alias("g")) for k, g in enumerate(grids))), F.lit(0), lambda s, x: s + F.when((x.k < F.col("place")) & (F.floor(F.col("width") / x.g) >= least) & (F.floor(F.col("height") / x.g) >= least), x.g * x.g).otherwise(0))
-    cells = grid.where((F.col("w") >= least) & (F.col("h") >= least)).withColumn("first", before).withColumn("cell", F.explode(F.expr("sequence(0, n * n - 1)")))
-    row, col = F.expr("cell div n").cast("int"), F.expr("cell % n").cast("int")
-    last = F.col("n") - 1
-    return cells.select(
-        "path", (F.col("first") + F.col("cell")).cast("int").alias("tile_idx"), (col * F.col("w")).alias("tx"), (row * F.col("h")).alias("ty"),
-        F.when(col == last, F.col("width") - col * F.col("w")).otherwise(F.col("w")).cast("int").alias("tw"), F.when(row == last, F.col("height") - row * F.col("h")).otherwise(F.col("h")).cast("int").alias("th"),
-    )
-
-
-def hash_gray_arrays(images: DataFrame, side: int) -> DataFrame:
-    """Hashes of square gray images given as arrays of 0-255: path, phash, dhash, whash."""
+    return large.select("path", "width", "height").mapInArrow(run, "path string, tile_idx int, tx int, ty int, tw int, th int")
+
+
+def kernel_values(images: DataFrame, kernel, shape: tuple[int, ...], kind: str = "float64") -> DataFrame:
+    """What a kernel gives for one image, or for two: path, value.  Images are arrays of numbers in columns ``a`` and ``b``."""
+    sql = {"float64": "double", "int64": "long", "bool": "boolean"}.get(kind, kind)
+    arrow = pa.list_(pa.float64()) if kind == "array<double>" else getattr(pa, {"float64": "float64", "int64": "int64", "bool": "bool_"}[kind])()
+    names = [c for c in ("a", "b") if c in images.columns]
 
     def run(batches):
         for batch in batches:
-            found = [pixels.hashes(np.array(p, np.uint8).reshape(side, side)) for p in batch.column("pixels").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], ["path", "phash", "dhash", "whash"])
+            columns = [[np.array(x).reshape(shape) for x in batch.column(c).to_pylist()] for c in names]
+            found = [kernel(*x) for x in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([x.tolist() if isinstance(x, np.ndarray) else x for x in found], arrow)], ["path", "value"])
 
-    return images.select("path", "pixels").mapInArrow(run, "path string, phash long, dhash long, whash long")
+    return images.select("path", *names).mapInArrow(run, f"path string, value {sql}")
 
 
 def locate_in_gray_arrays(images: DataFrame, side: int) -> DataFrame:
@@ -67,7 +69,7 @@ def image_features(rgb: np.ndarray) -> dict:
     height, width = rgb.shape[:2]
     found = []
     if width * height >= TILE_MIN_AREA:
-        for number, x, y, w, h in pixels.tiles(width, height):
+        for number, x, y, w, h in pixels.tiles(width, height).tolist():
             found.append((number, x, y, w, h, *pixels.hashes(rgb[y : y + h, x : x + w])))
     names = ("tile_idx", "tx", "ty", "tw", "th", "phash", "dhash", "whash")
     return dict(zip(("phash", "dhash", "whash"), pixels.hashes(rgb), strict=True)) | {"width": width, "height": height, "color_hist": pixels.color_histogram(rgb), "tiles": [dict(zip(names, t, strict=True)) for t in found]}

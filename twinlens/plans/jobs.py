@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from twinlens.operators import candidates, features, groups, scoring
 from twinlens.plans import report
-from twinlens.sources.images import decode
+from twinlens.sources.images import decode, load
 from twinlens.sources.listing import scan_directories
 from twinlens.sources.scratch import drop_path, written
 from twinlens.sources.store import ImageStore
@@ -30,7 +30,11 @@ def scan(store: ImageStore, paths: list[str], workers: int = 8) -> dict:
     todo = status.where("not cached").drop("cached").repartition(workers)
     out = {"files": counts["all"], "cached": counts["cached"], "hashed": 0, "failed": 0, "errors": []}
     if counts["all"] > counts["cached"]:
-        hashed = written(features.hash_images(decode(todo, [os.path.abspath(p) for p in paths])))
+        # pixels are hashed where they were decoded; only features are joined to the listing
+        found = features.hash_images(load(todo).withColumn("file_size", F.lit(0).cast("long")).withColumn("mtime", F.lit(0.0)))
+        joined = todo.join(found.drop("file_size", "mtime"), "path", "left")
+        missing = F.lit("ValueError: no reader for this file, or it is broken")
+        hashed = written(joined.withColumn("error", F.when(F.col("error").isNotNull() | F.col("phash").isNull(), F.coalesce("error", missing))))
         records, tiles, errors = features.split_features(hashed)
         store.put(records, tiles)
         out |= {"hashed": records.count(), "failed": errors.count(), "errors": [tuple(r) for r in errors.orderBy("path").limit(10).collect()]}
@@ -40,13 +44,6 @@ def scan(store: ImageStore, paths: list[str], workers: int = 8) -> dict:
     return out | {"seconds": time.time() - began}
 
 
-def _pixels(store: ImageStore, records: DataFrame) -> DataFrame:
-    """Decoded images of some records, from their own folders."""
-    folders = sorted({os.path.dirname(r.path) for r in records.select("path").distinct().toLocalIterator()})
-    tops = [f for f in folders if not any(f != g and f.startswith(g.rstrip("/") + "/") for g in folders)]
-    return decode(records.select("path", "file_size", "mtime"), [f for f in tops if os.path.isdir(f)])
-
-
 def find(store: ImageStore, thresholds: dict[str, int] | None = None, min_score: float = 0.80, crops: bool = True, find_crops: bool = False, crop_ratio: float = 4.0, crops_per_image: int = 20, crop_inliers: int = scoring.CANDIDATE_INLIERS) -> dict | None:
     """Find and score pairs; None for an empty store.  Stored results are replaced, also by none."""
     began = time.time()
@@ -56,7 +53,7 @@ def find(store: ImageStore, thresholds: dict[str, int] | None = None, min_score:
     pairs = written(candidates.query_candidates(records, tiles, thresholds))
     copies = None
     if find_crops:
-        copies = written(scoring.shrunk(_pixels(store, records)))
+        copies = written(scoring.shrunk(decode(records.select("path", "file_size", "mtime"))))
         mismatched = candidates.size_mismatch_candidates(records, pairs, crop_ratio, crops_per_image)
         pairs = written(pairs.unionByName(scoring.verified_mismatches(mismatched, copies, least_inliers=crop_inliers)))
     store.write("candidate_pairs", pairs)
@@ -66,7 +63,7 @@ def find(store: ImageStore, thresholds: dict[str, int] | None = None, min_score:
         return {"candidates": 0, "scored": 0, "failed": 0, "duplicates": 0, "refined": 0, "seconds": time.time() - began}
     if copies is None:
         used = pairs.select(F.explode(F.array("path_a", "path_b")).alias("path")).distinct()
-        copies = written(scoring.shrunk(_pixels(store, records.join(used, "path", "left_semi"))))
+        copies = written(scoring.shrunk(decode(records.join(used, "path", "left_semi").select("path", "file_size", "mtime"))))
     scored, errors = scoring.score_pairs(pairs, records, copies)
     failed = errors.count()
     scored = written(scored)

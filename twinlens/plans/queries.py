@@ -10,6 +10,7 @@ from twinlens.operators import candidates as C
 from twinlens.operators import groups as G
 from twinlens.plans.fixture import DUCK_RECORDS, SPARK_RECORDS
 from twinlens.sources import store
+from twinlens.sources.scratch import written
 
 #: Score from which the queries group pairs.
 MIN_SCORE = 0.6
@@ -98,7 +99,8 @@ DUCK_MEMBERS = "select u as path, min(r) as component from (with recursive reach
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics(spark, sf_dir).withColumn("final_score", F.round(_score(), 6))
+    """Written once: reports and groups use scored pairs several times."""
+    return written(metrics(spark, sf_dir).withColumn("final_score", F.round(_score(), 6)))
 
 
 QUERIES: dict = {}
@@ -208,51 +210,132 @@ def tile_geometry(spark, sf_dir):
     return tile_regions(records(spark, sf_dir)).select("path", *(F.col(c).cast("bigint").alias(c) for c in ("tile_idx", "tx", "ty", "tw", "th")))
 
 
-_PIXELS = "from (select a.vec_id, unnest(a.embedding)::double as x, unnest(b.embedding)::double as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
+# Kernels on images made of vectors: pixels of a, and of b, the next vector, both about 0.5; eight pixels a row.
+_IMAGES = """images as (select a.vec_id::varchar as path, a.embedding::double[] as e, [0.5::double + 2 * x::double for x in a.embedding] as a, [0.5::double + 2 * x::double for x in b.embedding] as b
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+p as (select path, i, a[i + 1] as x, b[i + 1] as y from (select *, unnest(range(0, 64)) as i from images))"""
 
 
-def _pixel_pairs(spark, sf_dir) -> DataFrame:
+def _images(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    both = e.join(other, "vec_id").select("vec_id", F.explode(F.arrays_zip("embedding", "other")).alias("p"))
-    return both.select("vec_id", F.col("p.embedding").cast("double").alias("x"), F.col("p.other").cast("double").alias("y"))
+    shade = lambda c: F.transform(c, lambda x: F.lit(0.5) + 2 * x.cast("double"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), shade("embedding").alias("b"))
+    return e.join(other, "vec_id").select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").cast("array<double>").alias("e"), shade("embedding").alias("a"), "b")
 
 
-@_query(f"select vec_id, round(least(1, greatest(0, avg((x - y) * (x - y)))), 6) as mse {_PIXELS} group by vec_id")
+def _coloured(images: DataFrame) -> DataFrame:
+    """Each gray value three times, as red, green and blue."""
+    return images.select("path", *(F.flatten(F.transform(c, lambda x: F.array(x, x, x))).alias(c) for c in ("a", "b") if c in images.columns))
+
+
+def _kernel(images: DataFrame, kernel, shape: tuple[int, ...], name: str, digits: int = 6) -> DataFrame:
+    from twinlens.operators.features import kernel_values
+
+    return kernel_values(images, kernel, shape).select("path", F.round("value", digits).alias(name))
+
+
+@_query(f"with {_IMAGES} select path, round(least(1, greatest(0, avg((x - y) * (x - y)))), 6) as mse from p group by path")
 def pixel_mse(spark, sf_dir):
-    mse = F.avg((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))
-    return _pixel_pairs(spark, sf_dir).groupBy("vec_id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mse)), 6).alias("mse"))
+    from twinlens.kernels import pixels
 
+    return _kernel(_coloured(_images(spark, sf_dir)), pixels.normalized_mse, (8, 8, 3), "mse")
 
-@_query(f"select vec_id, stddev_pop(x - y) < 0.18 and stddev_pop(x + y) < 0.18 as gray, round(stddev_pop(x - y), 6) as spread {_PIXELS} group by vec_id")
+
+@_query(f"with {_IMAGES} select path, stddev_pop(0.16::double * (y - 0.5::double)) < 0.04 as gray from p group by path")
 def pixel_grayscale(spark, sf_dir):
-    a, b = F.stddev_pop(F.col("x") - F.col("y")), F.stddev_pop(F.col("x") + F.col("y"))
-    return _pixel_pairs(spark, sf_dir).groupBy("vec_id").agg(((a < 0.18) & (b < 0.18)).alias("gray"), F.round(a, 6).alias("spread"))
+    """Green and blue leave red by a part of another vector; half the usual spread is allowed for."""
+    from twinlens.kernels import pixels
+    from twinlens.operators.features import kernel_values
+
+    off = lambda x, y, sign: x + sign * 0.08 * (y - 0.5)
+    pixel = F.zip_with("a", "b", lambda x, y: F.array(x, off(x, y, 1), off(x, y, -1)))
+    images = _images(spark, sf_dir).select("path", F.flatten(pixel).alias("a"))
+    return kernel_values(images, pixels.is_grayscale, (8, 8, 3), "bool").select("path", F.col("value").alias("gray"))
+
+
+_BINS = """bins as (select path, bin, count(*) filter (where floor(floor(least(1, greatest(0, x)) * 255) / 4) = bin) as m, count(*) filter (where floor(floor(least(1, greatest(0, y)) * 255) / 4) = bin) as n
+from p, (select unnest(range(0, 64)) as bin) group by path, bin)"""
 
 
-@_query(f"select vec_id, round(least(1, greatest(0, corr(x, y))), 6) as corr {_PIXELS} group by vec_id")
+@_query(f"with {_IMAGES}, {_BINS} select path, round(least(1, greatest(0, corr(m, n))), 6) as corr from bins group by path")
 def pixel_hist_corr(spark, sf_dir):
-    return _pixel_pairs(spark, sf_dir).groupBy("vec_id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.corr("x", "y"))), 6).alias("corr"))
+    from twinlens.kernels import pixels
+
+    return _kernel(_coloured(_images(spark, sf_dir)), pixels.histogram_correlation, (8, 8, 3), "corr")
+
+
+@_query(f"""with {_IMAGES}, w as (select path, wi, wj, avg(x) as mx, avg(y) as my, var_samp(x) as vx, var_samp(y) as vy, covar_samp(x, y) as c
+from p, range(0, 2) r(wi), range(0, 2) s(wj) where i // 8 between wi and wi + 6 and i % 8 between wj and wj + 6 group by path, wi, wj)
+select path, round(least(1, greatest(0, avg((2 * mx * my + 0.0001::double) * (2 * c + 0.0009::double) / ((mx * mx + my * my + 0.0001::double) * (vx + vy + 0.0009::double))))), 6) as ssim from w group by path""")
+def pixel_ssim(spark, sf_dir):
+    from twinlens.kernels import pixels
+
+    return _kernel(_coloured(_images(spark, sf_dir)), pixels.ssim, (8, 8, 3), "ssim")
+
+
+#: Bits, the first one highest, as a signed number.
+_SIGNED = "(sum(case when bit then 1::hugeint << (63 - place) else 0 end) - case when bool_or(bit and place = 0) then 1::hugeint << 64 else 0 end)::bigint"
+_GRAY = "g as (select vec_id::varchar as path, [least(255, greatest(0, round((x + 0.5) * 255)))::int for x in embedding] as pixels from embeddings)"
+
+
+@_query(f"""with {_GRAY}, q as (select path, i, list_concat(pixels, pixels[1:8])[i + 1] as v from (select *, unnest(range(0, 72)) as i from g)),
+b as (select q.path, r.v > q.v as bit, q.i // 9 * 8 + q.i % 9 as place from q join q r on r.path = q.path and r.i = q.i + 1 where q.i % 9 < 8) select path, {_SIGNED} as value from b group by path""")
+def dhash_kernel(spark, sf_dir):
+    """Nine by eight pixels, so that nothing is resampled."""
+    from twinlens.kernels import pixels
+    from twinlens.operators.features import kernel_values
 
+    images = _gray(spark, sf_dir).select("path", F.concat("pixels", F.slice("pixels", 1, 8)).alias("a"))
+    return kernel_values(images, lambda a: pixels.dhash(a.astype("uint8")), (8, 9), "int64")
 
-@_query("""with p as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding) as x from embeddings),
-b as (select p.vec_id, (q.x > p.x) as bit, (p.i // 8) * 7 + p.i % 8 as place from p join p q on q.vec_id = p.vec_id and q.i = p.i + 1 where p.i % 8 < 7)
-select vec_id, string_agg(case when bit then '1' else '0' end, '' order by place) as bits from b group by vec_id""")
-def dhash_bits(spark, sf_dir):
-    """Is the right neighbour brighter?  The vector as 8 rows of 8."""
-    places = [i for i in range(64) if i % 8 < 7]
-    bits = [F.when(F.get("embedding", F.lit(i + 1)) > F.get("embedding", F.lit(i)), "1").otherwise("0") for i in places]
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.concat(*bits).alias("bits"))
 
+def _enlarged(kernel):
+    """Each pixel four by four times: 32 by 32, so that nothing is resampled."""
+    import numpy as np
 
-@_query("""with p as (select vec_id, least(3, floor((unnest(embedding)::double + 1) * 2))::bigint as bin from embeddings), c as (select vec_id, bin, count(*) as n from p group by vec_id, bin)
-select vec_id, bin, round(n / sqrt(sum(n * n) over (partition by vec_id))::double, 6) as weight from c""")
+    return lambda a: kernel(np.kron(a, np.ones((4, 4))).astype("uint8"))
+
+
+@_query(f"""with {_GRAY}, waves as (select k, c, sum(2 * cos(pi() * k * (2 * (4 * c + d) + 1) / 64)) as w from range(0, 8) r(k), range(0, 8) s(c), range(0, 4) t(d) group by k, c),
+q as (select path, i // 8 as y, i % 8 as x, pixels[i + 1] as v from (select *, unnest(range(0, 64)) as i from g)),
+rows as (select path, y, k, sum(v * w) as s from q join waves on c = x group by path, y, k), low as (select path, u.k as ky, rows.k as kx, sum(s * w) as f from rows join waves u on u.c = y group by path, u.k, rows.k),
+b as (select path, f > median(f) over (partition by path) as bit, ky * 8 + kx as place from low) select path, {_SIGNED} as value from b group by path""")
+def phash_kernel(spark, sf_dir):
+    from twinlens.kernels import pixels
+    from twinlens.operators.features import kernel_values
+
+    return kernel_values(_gray(spark, sf_dir).withColumnRenamed("pixels", "a"), _enlarged(pixels.phash), (8, 8), "int64")
+
+
+@_query(f"""with {_GRAY}, q as (select path, i as place, pixels[i + 1] as v from (select *, unnest(range(0, 64)) as i from g)),
+b as (select path, place, v > median(v) over (partition by path) as bit from q) select path, {_SIGNED} as value from b group by path""")
+def whash_kernel(spark, sf_dir):
+    from twinlens.kernels import pixels
+    from twinlens.operators.features import kernel_values
+
+    return kernel_values(_gray(spark, sf_dir).withColumnRenamed("pixels", "a"), _enlarged(pixels.whash), (8, 8), "int64")
+
+
+_COLOURS = """c as (select a.vec_id::varchar as path, unnest(range(0, 64)) as i, a.embedding as ea, b.embedding as eb, d.embedding as ed from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join embeddings d on d.vec_id = a.vec_id + 2),
+rgb as (select path, i, [least(255, greatest(0, round((x[i + 1] + 0.25) * 500)))::int for x in [ea, eb, ed]] as t from c), v as (select path, i, t[1] as r, t[2] as g, t[3] as b, list_max(t) as v, list_max(t) - list_min(t) as d from rgb),
+h as (select path, v, case when v > 0 then round_even(d / v::double * 255, 0) else 0 end as s,
+case when d = 0 then 0 else case when v = r then (g - b) / d::double when v = g then 2 + (b - r) / d::double else 4 + (r - g) / d::double end * 30 end as hue from v),
+n as (select path, floor(round_even(case when hue < 0 then hue + 180 else hue end, 0) % 180 / 45) * 16 + floor(s / 64) * 4 + floor(v / 64) as bin, count(*) as n from h group by all)"""
+
+
+@_query(f"with {_COLOURS} select path, bin::bigint as bin, round(n / sqrt(sum(n * n) over (partition by path))::double, 5) as weight from n")
 def color_histogram(spark, sf_dir):
-    from pyspark.sql import Window
+    from twinlens.kernels import pixels
+    from twinlens.operators.features import kernel_values
 
-    bins = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.least(F.lit(3), F.floor((F.col("x").cast("double") + 1) * 2)).cast("bigint").alias("bin"))
-    n = bins.groupBy("vec_id", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("vec_id", "bin", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("vec_id"))), 6).alias("weight"))
+    e = table(spark, sf_dir, "embeddings")
+    shade = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x + F.lit(0.25).cast("float")) * 500))).cast("int")
+    of = lambda step, name: e.select((F.col("vec_id") - step).alias("vec_id"), F.transform("embedding", shade).alias(name))
+    three = of(0, "r").join(of(1, "g"), "vec_id").join(of(2, "b"), "vec_id")
+    images = three.select(F.col("vec_id").cast("string").alias("path"), F.flatten(F.transform(F.arrays_zip("r", "g", "b"), lambda x: F.array(x.r, x.g, x.b))).alias("a"))
+    found = kernel_values(images, lambda a: pixels.color_histogram(a.astype("uint8")).astype(float), (8, 8, 3), "array<double>")
+    bins = found.select("path", F.posexplode("value").alias("bin", "weight")).where("weight > 0")
+    return bins.select("path", F.col("bin").cast("bigint").alias("bin"), F.round("weight", 5).alias("weight"))
 
 
 @_query(_with(" select path_a, path_b, final_score from scored_pairs", "scored_pairs"))
@@ -369,23 +452,24 @@ def _gray(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x + 0.5) * 255))).cast("int")).alias("pixels"))
 
 
-@_query()
-def phash_kernel(spark, sf_dir):
-    from twinlens.operators.features import hash_gray_arrays
-
-    return hash_gray_arrays(_gray(spark, sf_dir), 8).select("path", "phash", "dhash", "whash")
-
-
-@_query()
+@_query(f"with {_GRAY} select path, round(1 / (1 + exp(-8 * (1 - 0.7::double))), 6) as confidence, 5::bigint as x, 3::bigint as y from g")
 def template_match(spark, sf_dir):
+    """Every image, doubled, is found where it was put."""
     from twinlens.operators.features import locate_in_gray_arrays
 
     return locate_in_gray_arrays(_gray(spark, sf_dir), 8)
 
 
-@_query()
+@_query(_with(f""", {_TOLD} select k.component, n.size::bigint as size, round(max_score, 4) as max_score, k.canonical, string_agg(concat(told.path, ' ', printf('%.4f', round(told.final_score, 4))), ',' order by told.path) as duplicates
+from kept k join told on told.component = k.component join (select component, count(*) as size, from members group by component) n on n.component = k.component
+join (select component, max(final_score) as max_score from told group by component) m on m.component = k.component group by all""", "members"))
 def json_report(spark, sf_dir):
+    """The JSON report, parsed again."""
     from twinlens.plans.report import groups_json
 
     pairs, r = scored(spark, sf_dir), records(spark, sf_dir)
-    return groups_json(pairs.withColumn("modification_hints", F.array().cast("array<string>")), r, MIN_SCORE)
+    report = groups_json(pairs.withColumn("modification_hints", F.array().cast("array<string>")), r, MIN_SCORE)
+    body = F.from_json("group", "canonical struct<path: string>, size long, max_score double, duplicates array<struct<path: string, score: double>>")
+    told = report.select("component", body.alias("g"))
+    lines = F.transform(F.array_sort("g.duplicates"), lambda x: F.concat(x.path, F.lit(" "), F.format_string("%.4f", x.score)))
+    return told.select("component", "g.size", "g.max_score", F.col("g.canonical.path").alias("canonical"), F.array_join(lines, ",").alias("duplicates"))

@@ -61,6 +61,7 @@ def text_lines(pairs: DataFrame, records: DataFrame, min_score: float = 0.80, st
     order = G.duplicate_groups(pairs, records, min_score, strategy).select("component", F.col("size").alias("group_size"), "max_score")
     shown = rows.join(order, "component").select(
         "component", "is_original", "path", "group_size", "max_score", "modification_hints" if "modification_hints" in rows.columns else F.array().cast("array<string>").alias("modification_hints"),
+        F.col("crop_bbox") if "crop_bbox" in rows.columns else F.lit(None).cast("struct<x: int, y: int, w: int, h: int>").alias("crop_bbox"),
         "final_score", X.score_band(F.col("final_score")).alias("band"), X.format_bytes(F.col("file_size")).alias("bytes"), X.format_dimensions(F.col("width"), F.col("height")).alias("dimensions"), F.coalesce("file_size", F.lit(0)).alias("file_size"),
     ).orderBy(F.desc("group_size"), F.desc("max_score"), "component", F.desc("is_original"), "path")
     groups = duplicates = size = 0
@@ -73,7 +74,8 @@ def text_lines(pairs: DataFrame, records: DataFrame, min_score: float = 0.80, st
             duplicates += 1
             size += row.file_size
             hints = f"  [{', '.join(row.modification_hints or [])}]" if show_hints and row.modification_hints else ""
-            yield f"  duplicate  {row.path}  {row.dimensions or '?'}  {row.bytes or '?'}  {row.final_score:.2f} {row.band}{hints}"
+            box = f"  at {row.crop_bbox.x},{row.crop_bbox.y} {row.crop_bbox.w}x{row.crop_bbox.h}" if row.crop_bbox else ""
+            yield f"  duplicate  {row.path}  {row.dimensions or '?'}  {row.bytes or '?'}  {row.final_score:.2f} {row.band}{hints}{box}"
     yield f"{groups} groups, {duplicates} duplicates, {plain_bytes(size)} reclaimable" if groups else "No duplicates found."
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterable, Iterator
 
@@ -45,9 +46,8 @@ def scan_directories(spark: SparkSession, paths: Iterable[str], extensions: Iter
     def listed(batches):
         for batch in batches:
             for root in batch.column("root").to_pylist():
-                rows = list(walk(root, wanted))
-                for at in range(0, len(rows), 10_000):
-                    some = rows[at : at + 10_000]
+                found = walk(root, wanted)
+                while some := list(itertools.islice(found, 10_000)):
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.float64())], ["path", "file_size", "mtime"])
 
     if not roots:

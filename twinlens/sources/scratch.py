@@ -35,12 +35,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
-def move(spark: SparkSession, source: str, path: str) -> None:
-    """Rename a path; what stood at the new place goes first."""
+def read_text(spark: SparkSession, path: str) -> str:
     target, system = _file_system(spark, path)
-    system.delete(target, True)
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: a reader sees the old text or the new one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, system = _file_system(spark, path)
+    part = hadoop.Path(f"{path}-{uuid.uuid4().hex}")
     system.mkdirs(target.getParent())
-    system.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source), target)
+    stream = system.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, target, over)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    target, system = _file_system(spark, path)
+    return [str(x.getPath().getName()) for x in system.listStatus(target)] if system.exists(target) else []
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """Feature store: Parquet tables with fixed schemas in one folder.
 
-A table is replaced by writing its next version beside it and moving that in place, so a job may read what it replaces.
+A table is a folder of versions and a pointer, a small file that names the present one.  A table is replaced by writing its
+next version and then the pointer in one step; the version before stays for jobs that still read it.  So a job may read
+what it replaces, and one that breaks off leaves the table as it was.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from twinlens import schemas
 from twinlens.functions.expressions import area
-from twinlens.sources.scratch import exists, move
+from twinlens.sources.scratch import children, drop_path, exists, put_text, read_text
 
 #: Images of fewer pixels get no tiles.
 TILE_MIN_AREA = 250_000
@@ -58,20 +60,26 @@ class ImageStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _present(self, table: str) -> str | None:
+        pointer = f"{self.folder}/{table}/PRESENT"
+        return read_text(self.spark, pointer) if exists(self.spark, pointer) else None
+
     def read(self, table: str) -> DataFrame:
         """A table; empty until it is first written."""
-        path, schema = f"{self.folder}/{table}", self.TABLES[table]
-        if not exists(self.spark, path):
+        schema, version = self.TABLES[table], self._present(table)
+        if version is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/{version}")
 
     def write(self, table: str, rows: DataFrame) -> None:
         """Replace a table, by rows that may come from it."""
         fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.TABLES[table].fields]
-        new = f"{self.folder}/.{table}-{uuid.uuid4().hex}"
-        rows.select(*fields).write.parquet(new)
-        move(self.spark, new, f"{self.folder}/{table}")
-        self.spark.catalog.refreshByPath(f"{self.folder}/{table}")
+        before, new = self._present(table), f"version-{uuid.uuid4().hex}"
+        rows.select(*fields).write.parquet(f"{self.folder}/{table}/{new}")
+        put_text(self.spark, f"{self.folder}/{table}/PRESENT", new)
+        for name in children(self.spark, f"{self.folder}/{table}"):
+            if name.startswith("version-") and name not in (before, new):
+                drop_path(self.spark, f"{self.folder}/{table}/{name}")
 
     def uncached(self, listing: DataFrame) -> DataFrame:
         return cache_status(listing, self.read("image_records"), self.read("tile_hashes"))
