@@ -458,7 +458,7 @@ def test_toxicity(spark, empty):
     assert kept == {i for i, r in got.items() if r.predicted == 0}
     assert toxicity.score(empty, model).count() == 0
     blank = toxicity.fit(docs, labels.limit(0))
-    assert {r.score for r in toxicity.score(docs, blank).collect()} == {0.5}
+    assert all(r.score == pytest.approx(1e-4) for r in toxicity.score(docs, blank).collect()) and toxicity.filter_rows(docs, blank).count() == docs.count()
 
 
 def test_block_max_index_is_exact(monkeypatch):
@@ -620,15 +620,16 @@ def test_toxicity_scores_match_dense_cosine(spark):
     def score(t):
         q = vector(words(t))
         sims = sorted(((-sum(x * v.get(w, 0) for w, x in q.items()), k) for k, v in enumerate(vectors)))[:25]
-        votes = [(math.sqrt(examples[k][1]) / (1 + s + toxicity.CLOSE), examples[k][2] / examples[k][1]) for s, k in sims if s < 0]
-        prior = 0.1 / toxicity.CLOSE
+        votes = [(math.sqrt(examples[k][1]) * -s / (1 + s + toxicity.CLOSE), examples[k][2] / examples[k][1]) for s, k in sims if s < 0]
+        prior = toxicity.PRIOR
         share = (sum(w * y for w, y in votes) + prior * base) / (sum(w for w, _ in votes) + prior)
-        return 1 / (1 + math.exp(-(model.slope * toxicity._logit(share) + model.shift)))
+        return 1 / (1 + math.exp(-(model.slope * (toxicity._logit(share) - toxicity._logit(base)) + toxicity._logit(base))))
 
+    assert model.examples.base == model.examples.neutral == pytest.approx(base) and model.slope > 0
     got = defaultdict(list)
     for r in toxicity.score(docs, model).collect():
         got[r.doc_id].append(r.score)
-    assert len(got[8003]) == 2
+    assert len(got[8003]) == 2 and got[8001][0] == pytest.approx(base)
     for i, t in [*(r[:2] for r in rows), *asked]:
         assert got[i].pop() == pytest.approx(score(t), abs=2e-4), i
 

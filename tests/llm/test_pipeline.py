@@ -4,7 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from collections import Counter
+
 from tests.llm import corpus
+from tests.llm.test_operators import _linked, _shingles, data
+from twinlens.llm import toxicity
+from twinlens.llm.common import ALNUM_WORD, SPACE_WORD, alnum_words, cut_spans
 from twinlens.llm.queries import tokenizer
 
 ROWS = corpus.documents()
@@ -47,3 +52,83 @@ def test_stages_in_order(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.where(F.col("ids").isNull()).count() == 0
+
+
+def _stretches(gone, n):
+    """Maximal runs of marked places as [start, end)."""
+    out = []
+    for k in range(n):
+        if k in gone:
+            if out and out[-1][1] == k:
+                out[-1][1] = k + 1
+            else:
+                out.append([k, k + 1])
+    return [tuple(x) for x in out]
+
+
+def _brute(kept, benchmark):
+    """The stages after the first, plainly: (doc_id, text) of what is encoded in the end."""
+    root = _linked({i: _shingles(t, 5) for i, t in kept if i is not None})
+    rows = [(i, t) for i, t in kept if i is None or root[i] == i]
+    first = {}
+    for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0]):
+        w = data(t).split()
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            first[x] = min(first.get(x, (i, k)), (i, k))
+    cut = []
+    for i, t in rows:
+        w, gone = data(t).split(), set()
+        for k in range(len(w) - 19 if i is not None else 0):
+            if first[tuple(w[k : k + 20])] < (i, k):
+                gone.update(range(k, k + 20))
+        if not gone or len(gone) < len(w):
+            cut.append((i, cut_spans(data(t), SPACE_WORD, _stretches(gone, len(w))).decode() if gone else t))
+    windows = set()
+    for t in benchmark:
+        w = alnum_words(data(t))
+        windows.update(tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9) if w else 0))
+    out = []
+    for i, t in cut:
+        w, gone = alnum_words(data(t)), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    gone.update(range(k, k + n))
+        if not gone or len(gone) < len(w):
+            out.append((i, cut_spans(data(t), ALNUM_WORD, _stretches(gone, len(w))).decode() if gone else t))
+    return out
+
+
+def test_run_matches_brute_force(spark, folder):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    toxic = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 1").collect()}
+    kept = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id not in toxic]
+    tok = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in _brute(kept, corpus.BENCHMARK):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want[i, tuple(ids), tok.decode(ids, skip_special_tokens=False)] += 1
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in corpus_pipeline.run(spark, folder).collect()) == want
+
+
+@pytest.mark.parametrize("missing", ["documents", "labels", "benchmark"])
+def test_empty_tables_and_extra_columns(spark, folder, tmp_path, missing):
+    for name in ("documents", "labels", "benchmark"):
+        frame = spark.read.parquet(f"{folder}/{name}.parquet")
+        frame = frame.where("doc_id in (5, 200, 300, 301, 400, 600)") if name == "documents" else frame
+        frame = frame.withColumn("starts", F.lit("mine")).withColumn("digest", F.lit(1)) if name == "documents" else frame
+        (frame.limit(0) if name == missing else frame).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert sorted(docs.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "starts", "digest"])
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == (set() if missing == "documents" else {5, 300, 301, 400, 600})
+    if got:
+        assert {r.starts for r in got.values()} == {"mine"} and got[600].text is None
+        assert (corpus.BENCHMARK[0].upper() in got[400].text) == (missing == "benchmark")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(got)

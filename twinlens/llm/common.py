@@ -94,7 +94,8 @@ def parts(batch: pa.RecordBatch, column: str = "text", rows: int = 2000, most: i
         at = end
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Hand unused memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -109,13 +110,13 @@ def tidy(run):
         @functools.wraps(run)
         def outer(batches):
             yield from run(batches)
-            _trim()
+            trim()
 
     else:  # of a group, with its key
 
         @functools.wraps(run)
         def outer(key, batches):
             yield from run(key, batches)
-            _trim()
+            trim()
 
     return outer

@@ -15,12 +15,13 @@ column, it takes each block's largest weights.  Both give a bound for every bloc
 up first; a block whose bound stays below the k-th best is skipped, all others are summed, in single precision.  Sums within
 rounding of the k-th best are made again in double precision.  So the k nearest are exact.
 
-Score.  Votes of the k nearest weigh 1 / (distance + a little), more for texts that several rows have; their share of
-label 1, shrunk towards the base rate, is calibrated by a logistic curve fitted on the examples, each without its own vote.
+Score.  Votes of the k nearest weigh similarity / (distance + a little), more for texts that several rows have; their share of
+label 1 is shrunk towards that of all examples.  By how much its log-odds leave those of all examples, times a slope, the
+score's log-odds leave those of the base rate; the slope is fitted on the examples, each without its own vote.
 
-Defined cases: null and empty texts have an empty vector, which is like no example, and score the calibrated base rate;
-ties in similarity are ordered by example; repeated rows each give a row; texts of any length are taken whole; without
-documents there is no row, without examples or with one class only the score is the base rate (0.5 without labels);
+Defined cases: a text that shares no word with any example, such as a null or empty one, scores the base rate; ties in
+similarity are ordered by example; repeated rows each give a row; texts of any length are taken whole; without documents
+there is no row; without examples, or with those of one class only, the slope is 1 (and without labels nothing is toxic);
 labels that aren't 0 or 1, and rows without a doc_id, teach nothing; extra columns are ignored.
 """
 
@@ -34,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import _WORD_TABLE, fold, id_and_text, parts, text_bytes, tidy
+from twinlens.llm.common import _WORD_TABLE, fold, id_and_text, parts, text_bytes, tidy, trim
 from twinlens.llm.hashing import word_hashes
 
 #: Similarities within this of each other count as equal votes.
 CLOSE = 0.02
+#: Weight of the share of all examples among the votes.
+PRIOR = 0.5
 #: Examples of a block; most frequent words, whose weights stand in columns; texts asked at once.
 BLOCK, HEAD, ASKED = 32, 256, 64
 #: Blocks that are summed up first.
@@ -179,7 +182,9 @@ class Examples:
         self.rows, self.toxic, self.stands = (np.array([e[c] for e in examples], float) for c in (1, 2, 3))
         self.index = BlockMaxIndex([self.vector(e[4], e[5]) for e in examples], len(vocabulary))
         total = (self.rows * self.stands).sum()
-        self.base = float(((self.toxic * self.stands).sum() + 0.5) / (total + 1)) if total else 0.5
+        self.base = float(((self.toxic * self.stands).sum() + 0.5) / (total + 1)) if total else 0.0
+        #: The share of label 1 among the examples' rows: what neighbours that have nothing to say vote.
+        self.neutral = float((self.toxic.sum() + 0.5) / (self.rows.sum() + 1)) if total else 0.0
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector over the vocabulary; words outside (-1) only take their share of the length."""
@@ -199,10 +204,9 @@ class Examples:
             own = near == without
             rows, toxic = rows - own, toxic - own * label
         # rows of one text count less than as many different ones
-        weight = np.sqrt(np.maximum(rows, 0)) / (1 - sims + CLOSE)
+        weight = np.sqrt(np.maximum(rows, 0)) * sims / (1 - sims + CLOSE)
         share = np.divide(toxic, rows, out=np.zeros(len(rows)), where=rows > 0)
-        prior = 0.1 / CLOSE
-        return float(((weight * share).sum() + prior * self.base) / (weight.sum() + prior))
+        return float(((weight * share).sum() + PRIOR * self.neutral) / (weight.sum() + PRIOR))
 
 
 def _per_text(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -222,7 +226,7 @@ class Model:
     """Examples, as workers have them, and their calibration."""
 
     def __init__(self, spark, examples: Examples):
-        self.examples, self.slope, self.shift = examples, 1.0, 0.0
+        self.examples, self.slope = examples, 1.0
         self.shared = spark.sparkContext.broadcast(examples)
         if 0 < examples.toxic.sum() < examples.rows.sum():
             n = len(examples.rows)
@@ -234,29 +238,26 @@ class Model:
         self.shared.unpersist()
 
     def _calibrate(self, shares: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        x = np.array([_logit(p) for p in shares.tolist()])
-        a, b = 1.0, 0.0
-        for _ in range(50):  # Newton steps of a logistic regression with a slight pull towards (1, 0)
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([(w * (p - y) * x).sum() + (a - 1), (w * (p - y)).sum() + 0.1 * b])
-            s = w * p * (1 - p)
-            h = np.array([[(s * x * x).sum() + 1, (s * x).sum()], [(s * x).sum(), s.sum() + 0.1]])
-            step = np.linalg.solve(h, g)
-            a, b = a - step[0], b - step[1]
-            if abs(step).max() < 1e-9:
+        x, a = np.array([_logit(p) for p in shares.tolist()]) - _logit(self.examples.neutral), 1.0
+        for _ in range(50):  # Newton steps of a logistic regression with a slight pull towards 1
+            p = 1 / (1 + np.exp(-np.clip(a * x + _logit(self.examples.base), -30, 30)))
+            step = ((w * (p - y) * x).sum() + a - 1) / ((w * p * (1 - p) * x * x).sum() + 1)
+            a -= step
+            if abs(step) < 1e-9:
                 break
         if math.isfinite(a) and a > 0:
-            self.slope, self.shift = float(a), float(b)
+            self.slope = float(a)
 
     def scorer(self):
         """A function from texts to scores and evidence (doc_id, similarity, share of label 1), for workers."""
-        shared, slope, shift = self.shared, self.slope, self.shift
+        shared, slope = self.shared, self.slope
 
         def run(texts: list[bytes]):
             known: Examples = shared.value
             out = []
             for near, sims in known.index.nearest_of(known.vectors(texts), known.k):
-                x = min(30.0, max(-30.0, slope * _logit(known.share(near, sims)) + shift))
+                x = slope * (_logit(known.share(near, sims)) - _logit(known.neutral)) + _logit(known.base)
+                x = min(30.0, max(-30.0, x))
                 evidence = [(int(known.doc[i]), float(s), float(known.toxic[i] / known.rows[i])) for i, s in zip(near[:5].tolist(), sims[:5].tolist(), strict=True)]
                 out.append((1 / (1 + math.exp(-x)), evidence))
             return out
@@ -380,6 +381,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     df[term[term >= 0]] = n[term >= 0]
     idf = np.log((total + 1) / (df + 1)) + 1
     unknown = math.log((total + 1) / 2) + 1
+    del frequency, term, n, df
+    trim()
     return Model(spark, Examples(vocabulary, idf * (1 + strengths(rows, vocabulary)), unknown, rows, k))
 
 
