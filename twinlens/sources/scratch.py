@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the shared folder.  Only where none is set and Spark is one process is a folder of this machine used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,11 +70,23 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [str(x.getPath().getName()) for x in system.listStatus(target)] if system.exists(target) else []
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside give their shuffle files back when they end, not when the driver next collects garbage."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as a table and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = path or scratch_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with shuffles_freed(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
