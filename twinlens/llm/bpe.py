@@ -36,7 +36,9 @@ from twinlens.llm.common import id_and_text, parts, tidy
 #: Symbols in the widest forest; longer runs get a tree each.
 WIDEST = 64
 #: Words that a worker remembers at most, and the longest of them in bytes: together they bound the tables.
-KNOWN, LONGEST = 200_000, 64
+KNOWN, LONGEST = 400_000, 64
+#: Texts whose new words are encoded together.
+SLICE = 1000
 _NONE = np.int64(2**62)
 
 
@@ -242,7 +244,9 @@ class WordBpe:
             return [self._parts(r) for r in runs]
         out: list[list[str | int]] = []
         for r in runs:
-            if _LATIN.fullmatch(r) and "<|" not in r:
+            if r.isascii() and r.isalpha():
+                out.append([r.lower()])
+            elif _LATIN.fullmatch(r) and "<|" not in r:
                 r = r.lower() if r.isascii() else unicodedata.normalize("NFC", r).lower()
                 parts = _PRE_TOKEN.findall(r)
                 out.append(parts if r.isascii() else [p.encode().decode("latin-1").translate(_TO_SYMBOLS) for p in parts])
@@ -295,6 +299,9 @@ class WordBpe:
             for run, x in zip(some, parts, strict=True):
                 if len(x) == 1:
                     self.known[run] = self.words[x[0]]
+                elif len(x) == 2:  # a word and what stands behind or before it
+                    (n, ids, text), (m, more, rest) = self.words[x[0]], self.words[x[1]]
+                    self.known[run] = (n + m, f"{ids} {more}", f"{text} {rest}")
                 else:
                     got = [self.words[p] for p in x]
                     self.known[run] = (sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
@@ -308,7 +315,7 @@ class WordBpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library without a decoder: tokens with a space between; unknown ids are left out."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        return " ".join([self.token[i] for i in ids if i in self.token])
 
 
 def _cut(text: str, content: str, i: int) -> list[str | int]:
@@ -336,11 +343,11 @@ def coder(path: str) -> WordBpe:
 def _encode(path: str, digest: bool):
     def run(batches):
         bpe = coder(path)
-        for batch in (p for b in batches for p in parts(b)):
+        for batch in (p for b in batches for p in parts(b, most=4_000_000)):
             texts = batch.column("text").to_pylist()
             counts, ids, decoded = [], [], []
-            for at in range(0, len(texts), 500):
-                split = [t.split() for t in texts[at : at + 500]]
+            for at in range(0, len(texts), SLICE):
+                split = [t.split() for t in texts[at : at + SLICE]]
                 new = set().union(*split)
                 new.difference_update(bpe.known)
                 if new and bpe.learn(new):  # some that are needed now may have gone

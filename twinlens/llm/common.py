@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.sources.scratch import drop_path, scratch_dir, written  # noqa: F401
+from twinlens.sources.scratch import drop_path, scratch_dir, shuffles_freed, written  # noqa: F401
 
 #: What separates words in the licence and benchmark operators: every ASCII byte but digits and letters.
 _WORD_TABLE = bytes(

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import buckets_for, fold, id_and_text, parts, scratch_dir, tidy
+from twinlens.llm.common import buckets_for, fold, id_and_text, parts, scratch_dir, shuffles_freed, tidy
 from twinlens.llm.hashing import mix, word_hashes
 from twinlens.llm.shards import HashArrays, load, save, shard_of
 from twinlens.llm.substring_dedup import _pack, _unpack
@@ -328,7 +328,9 @@ def fit(docs: DataFrame, order: int = 2, held_out: int = 1, id_col: str = "doc_i
     rows = train.mapInArrow(_count(bits, order), _SCHEMA)
     for last in (False,) * (order - 1) + (True,):
         rows = rows.groupBy("kind", "shard").applyInArrow(_store(folder, bits, last), _SCHEMA)
-    return KneserNey(folder, bits, order, [json.loads(bytes(r.data)) for r in rows.where("kind = 'stat'").select("data").collect()])
+    with shuffles_freed(spark):
+        stats = rows.where("kind = 'stat'").select("data").collect()
+    return KneserNey(folder, bits, order, [json.loads(bytes(r.data)) for r in stats])
 
 
 def _score(shared):

@@ -9,7 +9,7 @@ of frequency times pieces over its pre-tokens:
    bounded size; all others, each of them rarer than those, go through an ordinary shuffle join.
 
 A pre-token of more than ``LONG`` bytes goes by its 192-bit digest, so that length keeps none out of the head and no long
-frequent one is a hot key.  Documents meet their sums by doc_id and a 128-bit digest of the text.
+frequent one is a hot key.  Documents meet their sums by doc_id and a 64-bit digest of the text.
 
 Texts are first cut into runs at single spaces and line ends, borders that the tokenizer's pattern never matches across
 (where white space stands beside white space there is no cut).  A run of Latin characters is split by that pattern, one of
@@ -29,6 +29,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,9 +190,9 @@ def _per_document(head, path: str):
                 base.append(total)
                 tail_at.append(len(tail_piece))
             entries = pa.StructArray.from_arrays([pa.array(tail_piece, pa.binary()), pa.array(tail_n, pa.int64())], ["piece", "n"])
-            digests = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+            digests = np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in texts]), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(map(len, texts), pa.int64()), pa.array(base, pa.int64()), pa.ListArray.from_arrays(pa.array(tail_at, pa.int32()), entries)],
+                [batch.column("doc_id"), pa.array(digests), pa.array(map(len, texts), pa.int64()), pa.array(base, pa.int64()), pa.ListArray.from_arrays(pa.array(tail_at, pa.int32()), entries)],
                 ["doc_id", "digest", "n_bytes", "base", "tail"],
             )
 
@@ -211,10 +212,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head_si
     table = piece_table(docs, tokenizer_path, id_col, text_col)
     rows = table.orderBy(F.desc("n"), "piece").limit(head_size).select("piece", "pieces").toArrow()
     head = spark.sparkContext.broadcast(dict(zip(rows.column("piece").to_pylist(), rows.column("pieces").to_pylist(), strict=True)))
-    mapped = id_and_text(docs, id_col, text_col).mapInArrow(_per_document(head, tokenizer_path), "doc_id long, digest binary, n_bytes long, base long, tail array<struct<piece: binary, n: long>>")
+    mapped = id_and_text(docs, id_col, text_col).mapInArrow(_per_document(head, tokenizer_path), "doc_id long, digest long, n_bytes long, base long, tail array<struct<piece: binary, n: long>>")
     # a first entry of each row carries what the head gave; its key is a row's own and matches no pre-token
     none = F.lit(None).cast("long")
-    own = F.struct(F.concat(F.lit(b"\xfe"), "digest").alias("piece"), none.alias("n"), F.col("base").alias("add"), F.col("n_bytes").alias("n_bytes"))
+    own = F.struct(F.concat(F.lit(b"\xfe"), F.col("digest").cast("binary")).alias("piece"), none.alias("n"), F.col("base").alias("add"), F.col("n_bytes").alias("n_bytes"))
     rest = F.transform("tail", lambda x: F.struct(x.piece.alias("piece"), x.n.alias("n"), none.alias("add"), none.alias("n_bytes")))
     entries = mapped.select("doc_id", "digest", F.explode(F.concat(F.array(own), rest)).alias("e")).select("doc_id", "digest", "e.*")
     joined = entries.join(table.select("piece", "pieces"), "piece", "left")
