@@ -215,7 +215,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head_si
     mapped = id_and_text(docs, id_col, text_col).mapInArrow(_per_document(head, tokenizer_path), "doc_id long, digest long, n_bytes long, base long, tail array<struct<piece: binary, n: long>>")
     # a first entry of each row carries what the head gave; its key is a row's own and matches no pre-token
     none = F.lit(None).cast("long")
-    own = F.struct(F.concat(F.lit(b"\xfe"), F.col("digest").cast("binary")).alias("piece"), none.alias("n"), F.col("base").alias("add"), F.col("n_bytes").alias("n_bytes"))
+    own = F.struct(F.concat(F.lit(b"\xfe"), F.col("digest").cast("string").cast("binary")).alias("piece"), none.alias("n"), F.col("base").alias("add"), F.col("n_bytes").alias("n_bytes"))
     rest = F.transform("tail", lambda x: F.struct(x.piece.alias("piece"), x.n.alias("n"), none.alias("add"), none.alias("n_bytes")))
     entries = mapped.select("doc_id", "digest", F.explode(F.concat(F.array(own), rest)).alias("e")).select("doc_id", "digest", "e.*")
     joined = entries.join(table.select("piece", "pieces"), "piece", "left")
