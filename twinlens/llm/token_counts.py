@@ -38,6 +38,8 @@ from twinlens.llm.common import id_and_text, parts, tidy, written
 
 #: Longest pre-token that stands for itself, in bytes; with head_size it bounds the broadcast.
 LONG = 64
+#: Bytes of text whose runs are counted together.
+TEXTS = 4_000_000
 #: Distinct pre-tokens that a task counts before it hands them on.
 FLUSH = 150_000
 
@@ -120,7 +122,9 @@ class Sizes:
         total, rest = sum(filter(None, got)), Counter()
         for run, n in Counter([r for r, x in zip(found, got, strict=True) if x is None]).items():
             size, whole = 0, True
-            for piece in map(key_of, split_run(run, self.pre_tokenize)):
+            for piece in split_run(run, self.pre_tokenize):
+                if len(piece) > LONG:
+                    piece = key_of(piece)
                 pieces = self.known.get(piece)
                 if pieces is None:
                     rest[piece] += n
@@ -144,7 +148,7 @@ def _distinct(path: str):
 
         split = Splitter(pre_tokenizer(path))
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, most=TEXTS):
                 seen: Counter = Counter()
                 for data in part.column("text").to_pylist():
                     seen.update(runs(data))
@@ -180,7 +184,7 @@ def _count_pieces(path: str):
 def _per_document(head, path: str):
     def run(batches):
         sizes = Sizes(head.value, pre_tokenizer(path))
-        for batch in (p for b in batches for p in parts(b)):
+        for batch in (p for b in batches for p in parts(b, most=TEXTS)):
             base, tail_at, tail_piece, tail_n = [], [0], [], []
             texts = batch.column("text").to_pylist()
             for data in texts:
