@@ -37,7 +37,7 @@ from twinlens.llm.hashing import mix, rolling, word_hashes
 from twinlens.operators.components import components
 
 #: Bytes of text whose pairs one task counts.
-TASK_BYTES = 6_000_000
+TASK_BYTES = 4_000_000
 #: Leaders that a bucket gets before its rest is compared whole.
 ROUNDS = 2
 #: Chance that minhashes of a pair at the threshold agree too rarely to be counted on full sets.

@@ -43,13 +43,13 @@ CLOSE = 0.02
 #: Weight of the share of all examples among the votes.
 PRIOR = 0.5
 #: Examples of a block; most frequent words, whose weights stand in columns; texts asked at once.
-BLOCK, HEAD, ASKED = 32, 256, 64
+BLOCK, HEAD, ASKED = 32, 256, 32
 #: Blocks that are summed up first.
 FIRST = 4
 #: Beyond rounding in single precision.
 MARGIN = 1e-5
 #: Bytes of text that are made into vectors together.
-PIECE_BYTES = 400_000
+PIECE_BYTES = 200_000
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -403,14 +403,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def _keep(scorer, text_col: str, threshold: float):
-    def run(batches):
-        for batch, texts in _pieces(batches, text_col):
-            yield batch.filter(pa.array([s < threshold for s, _ in scorer(texts)], pa.bool_()))
-
-    return tidy(run)
-
-
 def filter_rows(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``threshold``."""
-    return docs.mapInArrow(_keep(model.scorer(), text_col, threshold), docs.schema)
+    """The rows of ``docs``, all columns, that score below ``threshold``.  Only texts go to workers, only scores come back."""
+    scorer = model.scorer()
+
+    @F.arrow_udf("double")
+    def score_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            yield pa.array([s for _, texts in _pieces([batch]) for s, _ in scorer(texts)], pa.float64())
+            trim()
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.where(score_of(text) < threshold)
