@@ -316,3 +316,29 @@ def test_the_text_report_shows_where_a_crop_lies(spark):
     found = spark.createDataFrame([("/a", "/b", 0.9, 0.9, 0.1, 0.9, (5, 6, 70, 80), 0.95, [])], schemas.SCORED_PAIRS)
     lines = list(report.text_lines(found, recs(spark, rec("/a", width=200), rec("/b"))))
     assert any("at 5,6 70x80" in x for x in lines)
+
+
+def _beside_halves(add, times):
+    """Numbers that single precision rounds to another gray value than double precision does."""
+    f = np.float32
+    near = [y for k in range(times) for x in [f((k + 0.5) / times - add)] for y in (x, np.nextafter(x, f(9)), np.nextafter(x, f(-9)))]
+    return [float(x) for x in near if np.floor(float(f((x + f(add)) * f(times))) + 0.5) != np.floor(float(f(x + f(add))) * times + 0.5) or np.floor(float(f((x + f(add)) * f(times))) + 0.5) != np.floor((float(x) + add) * times + 0.5)]
+
+
+@pytest.mark.parametrize(("name", "add", "times"), [("color_histogram", 0.25, 500), ("dhash_kernel", 0.5, 255), ("phash_kernel", 0.5, 255), ("whash_kernel", 0.5, 255)])
+def test_gray_values_round_as_in_sql(spark, tmp_path, name, add, times):
+    duckdb = pytest.importorskip("duckdb")
+    from twinlens.plans import queries as Q
+
+    beside, rng = _beside_halves(add, times), np.random.default_rng(3)
+    rows = []
+    for k in range(300):  # beside a half among neighbours on the gray scale, so that a step of one shows; frequencies of such rows would tie
+        x = rng.choice(beside)
+        values = rng.choice(beside, 64) if name == "phash_kernel" else rng.permutation([x] * 22 + [x + 1 / times] * 21 + [x - 1 / times] * 21)
+        rows.append((k, [float(np.float32(v)) for v in values], 0))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(Q.ORACLE_SQL[name]).fetchall()
+    got = Q.QUERIES[name](spark, f"file://{tmp_path}").collect()
+    assert sorted(want) == sorted(tuple(r) for r in got)

@@ -329,7 +329,7 @@ def color_histogram(spark, sf_dir):
     from twinlens.operators.features import kernel_values
 
     e = table(spark, sf_dir, "embeddings")
-    shade = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x + F.lit(0.25).cast("float")) * 500))).cast("int")
+    shade = lambda x: _shade(x, 0.25, 500)
     of = lambda step, name: e.select((F.col("vec_id") - step).alias("vec_id"), F.transform("embedding", shade).alias(name))
     three = of(0, "r").join(of(1, "g"), "vec_id").join(of(2, "b"), "vec_id")
     images = three.select(F.col("vec_id").cast("string").alias("path"), F.flatten(F.transform(F.arrays_zip("r", "g", "b"), lambda x: F.array(x.r, x.g, x.b))).alias("a"))
@@ -447,9 +447,15 @@ def format_dimensions(spark, sf_dir):
     return records(spark, sf_dir).select("path", X.format_dimensions(F.col("width"), F.col("height")).alias("dimensions"), X.hex64(F.col("phash")).alias("phash"))
 
 
+def _shade(x: F.Column, add: float, times: int) -> F.Column:
+    """A number as a gray value, in single precision throughout as in the SQL; numbers beside a half would round otherwise."""
+    value = F.round((x + F.lit(add).cast("float")) * F.lit(times).cast("float"))
+    return F.least(F.lit(255), F.greatest(F.lit(0), value)).cast("int")
+
+
 def _gray(spark, sf_dir) -> DataFrame:
     """Vectors as 8 x 8 gray images."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x + 0.5) * 255))).cast("int")).alias("pixels"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.transform("embedding", lambda x: _shade(x, 0.5, 255)).alias("pixels"))
 
 
 @_query(f"with {_GRAY} select path, round(1 / (1 + exp(-8 * (1 - 0.7::double))), 6) as confidence, 5::bigint as x, 3::bigint as y from g")
