@@ -342,3 +342,24 @@ def test_gray_values_round_as_in_sql(spark, tmp_path, name, add, times):
     want = con.execute(Q.ORACLE_SQL[name]).fetchall()
     got = Q.QUERIES[name](spark, f"file://{tmp_path}").collect()
     assert sorted(want) == sorted(tuple(r) for r in got)
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """A broadcast goes through the driver, and band keys and written tables are larger than Spark estimates."""
+    from twinlens.plans.report import member_rows
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    records = recs(spark, *(rec(f"/{k:02d}", k, k, k, width=50 + 90 * (k % 2)) for k in range(20)))
+    scored = pairs(spark, *(pair(f"/{k:02d}", f"/{k + 1:02d}", 0.9) for k in range(0, 18, 2)))
+    tiles = spark.createDataFrame([("/03", 0, 0, 0, 50, 50, 1, 1, 1)], schemas.TILE_HASHES)
+    full = C.hash_candidates(records, nested_rows=0)
+    members = G.group_members(scored, records)
+    limit, C.NESTED_ROWS = C.NESTED_ROWS, 0
+    found = [full, C.tile_candidates(records, tiles, full), C.size_mismatches(records, full), C.with_records(full, records, ["width"]), members]
+    C.NESTED_ROWS = limit
+    found += [G.duplicate_groups(scored, records), G.member_attribution(scored, members), G.clean_plan(scored, records), member_rows(scored, records)]
+    assert not [k for k, df in enumerate(found) if "BroadcastHashJoin" in plan(df)]

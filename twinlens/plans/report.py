@@ -21,7 +21,8 @@ def member_rows(pairs: DataFrame, records: DataFrame, min_score: float = 0.80, s
     """A row per file of a group: its part (original or duplicate), size, and for duplicates score, hints and box."""
     members = G.group_members(pairs, records, min_score, strategy)
     told = G.member_attribution(pairs, members, min_score).drop("component", "canonical")
-    rows = members.join(told, "path", "left").join(records.select("path", "width", "height", "file_size", "mtime", "is_raw") if "is_raw" in records.columns else records.select("path", "width", "height", "file_size", "mtime"), "path", "left")
+    known = records.select("path", "width", "height", "file_size", "mtime", *(c for c in ("is_raw",) if c in records.columns))
+    rows = members.join(told.hint("merge"), "path", "left").join(known.hint("merge"), "path", "left")
     return rows.withColumn("is_original", F.col("path") == F.col("canonical"))
 
 
@@ -59,7 +60,7 @@ def text_lines(pairs: DataFrame, records: DataFrame, min_score: float = 0.80, st
     """Lines of the text report, group by group; the largest groups first."""
     rows = member_rows(pairs, records, min_score, strategy)
     order = G.duplicate_groups(pairs, records, min_score, strategy).select("component", F.col("size").alias("group_size"), "max_score")
-    shown = rows.join(order, "component").select(
+    shown = rows.join(order.hint("merge"), "component").select(
         "component", "is_original", "path", "group_size", "max_score", "modification_hints" if "modification_hints" in rows.columns else F.array().cast("array<string>").alias("modification_hints"),
         F.col("crop_bbox") if "crop_bbox" in rows.columns else F.lit(None).cast("struct<x: int, y: int, w: int, h: int>").alias("crop_bbox"),
         "final_score", X.score_band(F.col("final_score")).alias("band"), X.format_bytes(F.col("file_size")).alias("bytes"), X.format_dimensions(F.col("width"), F.col("height")).alias("dimensions"), F.coalesce("file_size", F.lit(0)).alias("file_size"),
