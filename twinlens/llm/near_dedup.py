@@ -279,9 +279,9 @@ class _Search:
         keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
         tables = classes.select("cid", F.explode(keys).alias("key"))
         buckets = tables.groupBy("key").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        self.open = self.keep(tables.join(buckets.select("key", "leader"), "key"))
-        members = classes.join(self.open.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep").alias("doc_id"), "h")
-        texts = _hashed(docs, id_col, text_col).join(members, ["doc_id", "h"]).select("cid", "text")
+        self.open = self.keep(tables.join(buckets.select("key", "leader").hint("merge"), "key"))
+        members = classes.join(self.open.select("cid").distinct().hint("merge"), "cid", "left_semi").select("cid", F.col("rep").alias("doc_id"), "h")
+        texts = _hashed(docs, id_col, text_col).join(members.hint("merge"), ["doc_id", "h"]).select("cid", "text")
         self.texts = self.keep(self.keep(texts).groupBy("cid").agg(F.first("text").alias("text")))
         self.compared = self.components = None
 
@@ -298,9 +298,9 @@ class _Search:
         """(u, v, n_bytes of u) of ties (u, v) that sizes and minhashes leave open and that weren't compared before."""
         ties = ties.distinct()
         if self.compared is not None:
-            ties = ties.join(self.compared, ["u", "v"], "left_anti").join(self.compared.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
+            ties = ties.join(self.compared.hint("merge"), ["u", "v"], "left_anti").join(self.compared.select(F.col("u").alias("v"), F.col("v").alias("u")).hint("merge"), ["u", "v"], "left_anti")
         sketch = F.struct("n_shingles", "n_bytes", *self.lanes)
-        both = ties.toDF("a", "b").join(self.classes.select(F.col("cid").alias("a"), sketch.alias("u")), "a").join(self.classes.select(F.col("cid").alias("b"), sketch.alias("v")), "b")
+        both = ties.toDF("a", "b").join(self.classes.select(F.col("cid").alias("a"), sketch.alias("u")).hint("merge"), "a").join(self.classes.select(F.col("cid").alias("b"), sketch.alias("v")).hint("merge"), "b")
         near = both.where(F.least("u.n_shingles", "v.n_shingles") * 100 >= F.greatest("u.n_shingles", "v.n_shingles") * self.percent)
         near = near.where(_agreeing(self.lanes, self.count) >= least_agreeing(self.count, self.percent / 100))
         return near.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("u.n_bytes").alias("n_bytes"))
@@ -310,11 +310,11 @@ class _Search:
         pairs = self.keep(self.candidates(ties))
         partners = pairs.groupBy("v").agg(F.sum(F.col("n_bytes") + 64).alias("w"))
         tasks = max(1, -(-(pairs.agg(F.sum(F.col("n_bytes") + 64)).first()[0] or 0) // TASK_BYTES))
-        dealt = pairs.join(partners, "v").select("u", "v", F.pmod(F.xxhash64("v"), F.lit(tasks)).alias("task"), F.pmod(F.xxhash64("u"), F.ceil(F.col("w") / TASK_BYTES)).alias("salt"))
+        dealt = pairs.join(partners.hint("merge"), "v").select("u", "v", F.pmod(F.xxhash64("v"), F.lit(tasks)).alias("task"), F.pmod(F.xxhash64("u"), F.ceil(F.col("w") / TASK_BYTES)).alias("salt"))
         dealt = self.keep(dealt)
         needed = dealt.select("task", "salt", F.col("u").alias("cid")).union(dealt.select("task", "salt", "v")).distinct()
         none = F.lit(None).cast("long")
-        rows = needed.join(self.texts, "cid").select("task", "salt", "cid", "text", none.alias("u"), none.alias("v"))
+        rows = needed.join(self.texts.hint("merge"), "cid").select("task", "salt", "cid", "text", none.alias("u"), none.alias("v"))
         rows = rows.union(dealt.select("task", "salt", none, F.lit(None).cast("binary"), "u", "v"))
         self.add(rows.groupBy("task", "salt").applyInArrow(_verify(self.width, self.percent), "u long, v long"))
         compared = pairs.select("u", "v")
@@ -327,9 +327,9 @@ class _Search:
     def next_leaders(self) -> bool:
         """Leaders leave their buckets; buckets that still hold several components get another one.  False if none does."""
         label = F.coalesce("component", "cid").alias("label")
-        rest = self.open.where("cid <> leader").select("key", "cid").join(self.components.toDF("cid", "component"), "cid", "left").select("key", "cid", label)
+        rest = self.open.where("cid <> leader").select("key", "cid").join(self.components.toDF("cid", "component").hint("merge"), "cid", "left").select("key", "cid", label)
         of = rest.groupBy("key").agg(F.min("label").alias("least"), F.max(F.struct("label", "cid")).alias("m")).where("least <> m.label")
-        self.open = self.keep(rest.join(of.select("key", F.col("m.cid").alias("leader"), F.col("m.label").alias("leader_label")), "key"))
+        self.open = self.keep(rest.join(of.select("key", F.col("m.cid").alias("leader"), F.col("m.label").alias("leader_label")).hint("merge"), "key"))
         return not self.open.isEmpty()
 
     def run(self) -> DataFrame:
@@ -346,13 +346,13 @@ class _Search:
     def whole(self) -> None:
         """Compare what is left of open buckets."""
         of = self.classes.select("cid", "n_bytes", "a", "b", *self.lanes)
-        members = self.open.select("key", "cid", "label").join(of.select("cid", "n_bytes"), "cid")
+        members = self.open.select("key", "cid", "label").join(of.select("cid", "n_bytes").hint("merge"), "cid")
         sizes = members.groupBy("key").agg(F.ceil(F.sum(F.col("n_bytes") + 256) / (TASK_BYTES // 2)).cast("int").alias("blocks"), F.sum(F.col("n_bytes") + 256).alias("w"))
         total = sizes.agg(F.sum(F.col("w") * F.col("blocks"))).first()[0] or 0
-        dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        dealt = members.join(sizes.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "cid", "label", "block")
-        dealt = dealt.join(of.drop("n_bytes"), "cid").join(self.texts, "cid")
+        dealt = dealt.join(of.drop("n_bytes").hint("merge"), "cid").join(self.texts.hint("merge"), "cid")
         place = F.array_position(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y)))), F.col("key")) - 1
         dealt = dealt.withColumn("number", place).withColumn("task", F.pmod(F.xxhash64("key", "first", "second"), F.lit(max(1, -(-total // TASK_BYTES)))))
         self.add(dealt.groupBy("task").applyInArrow(_link_rest(self.width, self.percent, self.groups, self.count), "u long, v long"))
@@ -371,16 +371,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
 
     # rows that share a doc_id but not a text tie the classes of their texts
     several = full.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest <> other").select("doc_id")
-    of_ids = written(full.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "cid"), "digest").select("doc_id", "cid"))
+    of_ids = written(full.join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "cid").hint("merge"), "digest").select("doc_id", "cid"))
     if not of_ids.isEmpty():
-        search.add(of_ids.join(of_ids.groupBy("doc_id").agg(F.min("cid").alias("v")), "doc_id").select(F.col("cid").alias("u"), "v"))
+        search.add(of_ids.join(of_ids.groupBy("doc_id").agg(F.min("cid").alias("v")).hint("merge"), "doc_id").select(F.col("cid").alias("u"), "v"))
         found = search.components
-    members = found.toDF("cid", "component").join(classes.select("cid", "digest", "rep"), "cid")
+    members = found.toDF("cid", "component").join(classes.select("cid", "digest", "rep").hint("merge"), "cid")
     smallest = members.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked_classes = written(members.join(smallest, "component").select("digest", "component_id"))
+    linked_classes = written(members.join(smallest.hint("merge"), "component").select("digest", "component_id"))
     search.close()
     drop_path(spark, of_ids.scratch_path)
     out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = out.join(classes.select("digest", "rep").join(linked_classes, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component")), "digest", "left")
+    out = out.join(classes.select("digest", "rep").join(linked_classes.hint("merge"), "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component")).hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
