@@ -363,3 +363,41 @@ def test_growing_sides_are_not_broadcast(spark):
     C.NESTED_ROWS = limit
     found += [G.duplicate_groups(scored, records), G.member_attribution(scored, members), G.clean_plan(scored, records), member_rows(scored, records)]
     assert not [k for k, df in enumerate(found) if "BroadcastHashJoin" in plan(df)]
+
+
+def test_no_mismatch_is_shuffled(spark):
+    """The known pairs are found by the small image, not by a join with all pairs."""
+    hashes = (0, -1, 2**32 - 1, 0x5555555555555555)
+    records = recs(spark, *(rec(f"/{k:02d}", *[hashes[k % 4]] * 3, width=50 + 90 * (k % 5)) for k in range(30)))
+    known = C.hash_candidates(records)
+    every = {tuple(x) for x in C.size_mismatches(records).select("small_path", "large_path").collect()}
+    seen = {tuple(sorted(x)) for x in known.select("path_a", "path_b").collect()}
+    want = {x for x in every if tuple(sorted(x)) not in seen}
+    assert want and want != every
+    for limit in (C.NESTED_ROWS, 0):
+        was, C.NESTED_ROWS = C.NESTED_ROWS, limit
+        found = C.size_mismatches(records, known)
+        C.NESTED_ROWS = was
+        assert sorted(want) == sorted(tuple(x) for x in found.select("small_path", "large_path").collect())
+        assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_most_similar_larger_images(spark, monkeypatch):
+    """Only the best pairs of each part become rows; many equal histograms are told apart by path."""
+    rng = np.random.default_rng(5)
+    some = rng.normal(size=(6, 64)).astype(np.float32).tolist()
+    records = recs(spark, *(rec(f"/{k:03d}", k % 40, k % 40, k % 40, width=[0, 30, 80, 100, 400, 900][k % 6], hist=some[rng.integers(6)]) for k in range(200)))
+    known = C.hash_candidates(records, {"phash": 1, "dhash": 0, "whash": 0})
+    whole = C.size_mismatches(records, known).select("small_path", "large_path", "small_color_hist", "large_color_hist").collect()
+    want = {}
+    for r in whole:
+        similarity = 0.0
+        for x, y in zip(r.small_color_hist, r.large_color_hist, strict=True):
+            similarity += x * y
+        want.setdefault(r.small_path, []).append((-similarity, r.large_path))
+    want = {(a, b, -s) for a, found in want.items() for s, b in sorted(found)[:7]}
+    monkeypatch.setattr(C, "LARGE_ROWS", 70)
+    monkeypatch.setattr(C, "SMALL_ROWS", 60)
+    found = C.size_mismatch_candidates(records, known, per_small=7)
+    assert want == {(r.small_path, r.large_path, r.similarity) for r in found.collect()}
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
