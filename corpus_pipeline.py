@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.llm import bpe, decontamination, near_dedup, substring_dedup, toxicity
-from twinlens.llm.common import drop_path, written
+from twinlens.llm.common import drop_path, trim_driver, written
 from twinlens.llm.queries import table, tokenizer
 
 
@@ -37,8 +37,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.filter_rows(docs, model)
+    kept = toxicity.filter_rows(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    trim_driver(spark)  # of the examples, which workers have now
+    return kept
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -401,3 +401,29 @@ def test_most_similar_larger_images(spark, monkeypatch):
     found = C.size_mismatch_candidates(records, known, per_small=7)
     assert want == {(r.small_path, r.large_path, r.similarity) for r in found.collect()}
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_written_tables_hand_freed_native_memory_back(spark):
+    """The driver's JVM doesn't keep what it has freed."""
+    import re
+    import time
+
+    from twinlens.sources.scratch import written
+
+    jvm = spark.sparkContext._jvm
+
+    def megabytes():
+        with open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    for _ in range(4):  # first runs take heap and classes
+        written(spark.range(3)).count()
+    stay, go = jvm.java.util.Vector(), jvm.java.util.Vector()
+    for k in range(2500):
+        (go if k % 10 else stay).add(jvm.java.nio.ByteBuffer.allocateDirect(100_000))
+    go.removeAllElements()
+    jvm.System.gc()
+    time.sleep(1)
+    before = megabytes()
+    assert written(spark.range(3)).count() == 3
+    assert megabytes() < before - 80 and stay.size() == 250

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlens.sources.scratch import drop_path, scratch_dir, shuffles_freed, written  # noqa: F401
+from twinlens.sources.scratch import drop_path, scratch_dir, shuffles_freed, trim_jvm, written  # noqa: F401
 
 #: What separates words in the licence and benchmark operators: every ASCII byte but digits and letters.
 _WORD_TABLE = bytes(
@@ -103,6 +103,12 @@ def trim() -> None:
         pass
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """The same for the driver's two processes, after work that took much of their memory for a short time."""
+    trim()
+    trim_jvm(spark)
+
+
 def tidy(run):
     """A task's function that hands unused memory back to the system when it is done: reused workers stay small."""
     if run.__code__.co_argcount == 1:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import _WORD_TABLE, fold, id_and_text, parts, text_bytes, tidy, trim
+from twinlens.llm.common import _WORD_TABLE, fold, id_and_text, parts, text_bytes, tidy, trim, trim_driver
 from twinlens.llm.hashing import word_hashes
 
 #: Similarities within this of each other count as equal votes.
@@ -81,7 +81,7 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)])
         value = np.concatenate([np.zeros(0, np.float32), *(v.astype(np.float32) for _, v in vectors)])
         df = np.bincount(term, minlength=n_terms)
         head = np.sort(np.argsort(-df, kind="stable")[:HEAD])
@@ -371,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     words = [np.frombuffer(w.as_py(), np.uint64) for w in made.column("words")]
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
     counts = [np.frombuffer(c.as_py(), np.int32) for c in made.column("counts")]
-    rows = list(zip(*(made.column(c).to_pylist() for c in ("doc_id", "n", "n1", "stands")), [np.searchsorted(vocabulary, w) for w in words], counts, strict=True))
+    rows = list(zip(*(made.column(c).to_pylist() for c in ("doc_id", "n", "n1", "stands")), [np.searchsorted(vocabulary, w).astype(np.int32) for w in words], counts, strict=True))
     del made, words
     shared = spark.sparkContext.broadcast(vocabulary)
     frequency = id_and_text(docs, id_col, text_col).select("text").mapInArrow(_document_frequencies(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -382,8 +382,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     idf = np.log((total + 1) / (df + 1)) + 1
     unknown = math.log((total + 1) / 2) + 1
     del frequency, term, n, df
+    trim_driver(spark)
+    known = Examples(vocabulary, idf * (1 + strengths(rows, vocabulary)), unknown, rows, k)
+    del rows, counts, vocabulary, idf
     trim()
-    return Model(spark, Examples(vocabulary, idf * (1 + strengths(rows, vocabulary)), unknown, rows, k))
+    return Model(spark, known)
 
 
 def _score(scorer):
