@@ -344,6 +344,23 @@ def test_gray_values_round_as_in_sql(spark, tmp_path, name, add, times):
     assert sorted(want) == sorted(tuple(r) for r in got)
 
 
+def test_equal_middle_frequencies_are_told_apart_as_in_sql(spark, tmp_path):
+    """Images that equal their transpose; on one thread the SQL's sums have one order, on several they haven't."""
+    duckdb = pytest.importorskip("duckdb")
+    from twinlens.plans import queries as Q
+
+    rows = []
+    for seed in range(200):
+        x = np.random.default_rng(seed).integers(0, 256, (8, 8))
+        image = np.triu(x) + np.triu(x, 1).T
+        rows.append((seed, [float(np.float32(v / 255 - 0.5)) for v in image.ravel()], 0))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(Q.ORACLE_SQL["phash_kernel"]).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in Q.phash_kernel(spark, f"file://{tmp_path}").collect())
+
+
 def test_growing_sides_are_not_broadcast(spark):
     """A broadcast goes through the driver, and band keys and written tables are larger than Spark estimates."""
     from twinlens.plans.report import member_rows

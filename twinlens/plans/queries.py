@@ -301,10 +301,11 @@ q as (select path, i // 8 as y, i % 8 as x, pixels[i + 1] as v from (select *, u
 rows as (select path, y, k, sum(v * w) as s from q join waves on c = x group by path, y, k), low as (select path, u.k as ky, rows.k as kx, sum(s * w) as f from rows join waves u on u.c = y group by path, u.k, rows.k),
 b as (select path, f > median(f) over (partition by path) as bit, ky * 8 + kx as place from low) select path, {_SIGNED} as value from b group by path""")
 def phash_kernel(spark, sf_dir):
+    """Each pixel stands for four by four of the 32 by 32, so that nothing is resampled."""
     from twinlens.kernels import pixels
     from twinlens.operators.features import kernel_values
 
-    return kernel_values(_gray(spark, sf_dir).withColumnRenamed("pixels", "a"), _enlarged(pixels.phash), (8, 8), "int64")
+    return kernel_values(_gray(spark, sf_dir).withColumnRenamed("pixels", "a"), pixels.phash_of_square, (8, 8), "int64")
 
 
 @_query(f"""with {_GRAY}, q as (select path, i as place, pixels[i + 1] as v from (select *, unnest(range(0, 64)) as i from g)),
